@@ -253,7 +253,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), fold(docs[key], folds).alias("fold"))
     key_type = to_arrow_type(docs.schema[key].dataType)
 
