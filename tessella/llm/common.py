@@ -69,7 +69,7 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: i
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Bound the rows of an Arrow batch, and with them a Python worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def fold(doc_id, n: int):

@@ -30,9 +30,11 @@ BATCH, MISS = 16, 1e-6
 #: The first hashes, one byte of each, are compared inside a bucket.
 FIRST = 64
 #: Bucket members that one block holds.
-BLOCK = 1_500
+BLOCK = 500
 #: Lists of bare ids of at most so many rows are broadcast.
 ID_ROWS = 500_000
+#: Words whose hashes a worker remembers before it starts afresh.
+MEMO = 120_000
 #: Parts that the partners of one document are dealt to when sets are compared.
 SALT = 256
 
@@ -59,7 +61,7 @@ class Shingler:
         words = (text or "").encode("utf-8").lower().split()
         if len(words) < WORDS:
             return np.array([self.digest(b" ".join(words), 1)], np.uint64) if words else np.zeros(0, np.uint64)
-        if len(self.memo) > 500_000:
+        if len(self.memo) > MEMO:
             self.memo.clear()
         memo, digest = self.memo, self.digest
         for w in words:
@@ -169,41 +171,102 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block's members in different groups that their first hashes do not rule out.
-
-    Rows come sorted by (bucket, i, j); in a block of two parts (i < j), only pairs across are made.
-    """
-
-    def run(rows: list[tuple]) -> list[tuple[int, int]]:
-        (_, i, j), part = rows[0][0], np.array([r[1] for r in rows])
-        ids, group, n = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4))
-        first = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, FIRST)
-        least, out = least_matches(FIRST), []
-        for k in range(len(rows) - 1) if i == j else np.flatnonzero(part == i):
-            others = np.arange(k + 1, len(rows)) if i == j else np.flatnonzero(part == j)
-            small, large = np.minimum(n[k], n[others]), np.maximum(n[k], n[others])
-            others = others[(group[others] != group[k]) & (100 * small >= PERCENT * large)]
-            others = others[(first[others] == first[k]).sum(axis=1) >= least]
-            out += [(min(ids[k], x), max(ids[k], x)) for x in ids[others].tolist()]
-        return out
-
-    def emit(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in pairs], pa.int64()), pa.array([int(p[1]) for p in pairs], pa.int64())], ["a", "b"])
-
-    rows, seen = [], set()
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with the same (bucket, i, j), which the rows come sorted by."""
+    key, rows = None, []
     for batch in batches:
-        for bucket, i, j, part, doc, group, n, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if rows and rows[0][0] != (bucket, i, j):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != key:
                 if len(rows) > 1:
-                    new = [p for p in run(rows) if p not in seen]
-                    seen = seen if len(seen) < 500_000 else set()
-                    seen.update(new)
-                    yield emit(new)
-                rows = []
-            rows.append(((bucket, i, j), part, doc, group, n, first))
+                    yield key, rows
+                key, rows = row[:3], []
+            rows.append(row)
     if len(rows) > 1:
-        yield emit([p for p in run(rows) if p not in seen])
+        yield key, rows
+
+
+class _Block:
+    """Members of a block; each pair of different groups is met once, those of one part of two in their own block."""
+
+    def __init__(self, key: tuple, rows: list[tuple]):
+        self.parts = None if key[1] == key[2] else np.array([r[3] for r in rows])
+        self.first = key[1]
+        self.ids, self.group, self.n = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(member, later or opposite members that their groups and sizes leave)."""
+        for k in range(len(self.ids)):
+            if self.parts is None:
+                others = np.arange(k + 1, len(self.ids))
+            elif self.parts[k] == self.first:
+                others = np.flatnonzero(self.parts != self.first)
+            else:
+                continue
+            small, large = np.minimum(self.n[k], self.n[others]), np.maximum(self.n[k], self.n[others])
+            others = others[(self.group[others] != self.group[k]) & (100 * small >= PERCENT * large)]
+            if len(others):
+                yield k, others
+
+
+def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of a block that have a partner in another group which their first hashes do not rule out."""
+    least, names = least_matches(FIRST), ["bucket", "i", "j", "part", "doc_id", "component", "n_shingles"]
+    for key, rows in _blocks(batches):
+        block, found = _Block(key, rows), np.zeros(len(rows), bool)
+        first = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, FIRST)
+        for k, others in block.pairs():
+            if found[k] and found[others].all():
+                continue
+            near = others[(first[others] == first[k]).sum(axis=1) >= least]
+            found[near] = True
+            found[k] |= len(near) > 0
+        kept = [r[:7] for r, f in zip(rows, found, strict=True) if f]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if x in ("i", "j", "part") else pa.int64()) for x, c in zip(names, zip(*kept, strict=True), strict=True)], names)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirmed links that join groups of a block: no more than it has members.
+
+    Members come with signature and set.  A pair is compared in the first band that
+    it shares, batch by batch, and confirmed on the full sets unless its groups have
+    been joined in this block before.
+    """
+    for key, rows in _blocks(batches):
+        block = _Block(key, rows)
+        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint32).reshape(-1, HASHES)
+        sets = [np.frombuffer(r[8], np.uint64) for r in rows]
+        band = int(np.flatnonzero(band_keys(sig[:1])[0] == key[0])[0])
+        root = {int(g): int(g) for g in block.group}
+
+        def find(g: int) -> int:
+            while root[g] != g:
+                root[g] = root[root[g]]
+                g = root[g]
+            return g
+
+        links = []
+        for k, others in block.pairs():
+            mine = find(int(block.group[k]))
+            others = others[[find(int(g)) != mine for g in block.group[others]]]
+            if not len(others):
+                continue
+            same = (sig[others] == sig[k]).reshape(-1, BANDS, ROWS).all(axis=2)
+            others = others[same.argmax(axis=1) == band]
+            others = others[survivors(np.broadcast_to(sig[k], (len(others), HASHES)), sig[others])]
+            if not len(others):
+                continue
+            flat = np.concatenate([sets[o] for o in others])
+            place = np.searchsorted(sets[k], flat).clip(max=len(sets[k]) - 1)
+            size = block.n[others]
+            both = np.add.reduceat(sets[k][place] == flat, np.cumsum(size) - size, dtype=np.int64)
+            for o in others[100 * both >= PERCENT * (block.n[k] + size - both)]:
+                x, y = find(int(block.group[k])), find(int(block.group[o]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((int(block.ids[k]), int(block.ids[o])))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
 
 def _needed(pairs: DataFrame) -> DataFrame:
@@ -215,6 +278,12 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= ID_ROWS else ids
 
 
+def sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, set) of some documents, shingled again: sets of all documents are never kept."""
+    some = texts.join(_few(ids), texts["doc_id"] == ids["id"]).select("doc_id", "text")
+    return materialize(some.mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]), "dup-sets")
+
+
 def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold: pruned on signatures, confirmed on full sets."""
     ids = materialize(_needed(pairs), "dup-ids")
@@ -222,7 +291,7 @@ def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     left, right = some.select(F.col("id").alias("a"), F.col("sig").alias("x")), some.select(F.col("id").alias("b"), F.col("sig").alias("y"))
     close = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_prune, "a long, b long"), "dup-close")
     ids = materialize(_needed(close), "dup-close-ids")
-    sets = materialize(texts.join(_few(ids), texts["doc_id"] == ids["id"]).select("doc_id", "text").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]), "dup-sets")
+    sets = sets_of(ids, texts)
     salted = close.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int"))
     partners = salted.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "set")
     own = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "set")
@@ -271,14 +340,14 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Shingles are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 500)
     texts = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     signed = materialize(texts.mapInArrow(_sign, "doc_id long, n_shingles long, set_id binary, sig binary"), "dup-signed")
     full = signed.filter("doc_id is not null and n_shingles > 0")
     classes = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1"), "dup-classes")
     copies = classes.agg(F.sum("n")).first()[0] or 0
 
-    marked = lookup_join(signed, classes, "set_id", "n", copies).withColumn("alone", F.col("rep").isNull()).withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")))
+    marked = lookup_join(signed, classes, "set_id", "n", copies).withColumn("alone", F.col("rep").isNull()).withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     reps = marked.filter("rep = doc_id")
     reps = materialize(reps.filter("alone").unionByName(reps.filter("not alone").dropDuplicates(["doc_id"])).select("doc_id", "n_shingles", "sig"), "dup-reps")
 
@@ -305,10 +374,14 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "component", "n_shingles", first_bytes("sig").alias("first"))
         count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.repartition(count, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        more = dealt.mapInArrow(_block_pairs, "a long, b long").distinct()
-        more = materialize(more.join(stars, ["a", "b"], "left_anti"), "dup-more")
-        links = materialize(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(verify(more, reps, texts)), "dup-all-links")
+        deal = lambda d: d.repartition(count, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        member = "bucket long, i int, j int, part int, doc_id long, component long, n_shingles long"
+        near = materialize(deal(rows).mapInArrow(_open_members, member), "dup-near")
+        ids = materialize(near.select(F.col("doc_id").alias("id")).distinct(), "dup-near-ids")
+        loaded = near.join(reps.select("doc_id", "sig"), "doc_id").join(sets_of(ids, texts).withColumnRenamed("id", "doc_id"), "doc_id")
+        loaded = loaded.select("bucket", "i", "j", "part", "doc_id", "component", "n_shingles", "sig", "set")
+        more = materialize(deal(loaded).mapInArrow(_block_links, "a long, b long"), "dup-more")
+        links = materialize(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "dup-all-links")
         groups = components(links)
 
     sized = groups.join(classes.select(F.col("rep").alias("id"), "n"), "id", "left")
