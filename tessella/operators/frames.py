@@ -42,15 +42,14 @@ def fold_frames(frames, start: float = 0.0):
 
 @query(
     "frame_blend_fold",
-    """WITH RECURSIVE f AS (SELECT user_id, frame, frame % 4 AS mode, (duration % 16) / 16.0::DOUBLE AS v, (event_id % 8) / 8.0::DOUBLE AS alpha FROM frames WHERE frame < 12),
+    """WITH RECURSIVE f AS (SELECT user_id, frame, frame % 4 AS mode, (duration % 16) / 16.0::DOUBLE AS v, (event_id % 8) / 8.0::DOUBLE AS alpha FROM frames),
 fold AS (SELECT user_id, -1 AS frame, 0.0::DOUBLE AS canvas FROM f GROUP BY 1 UNION ALL
   SELECT f.user_id, f.frame, CASE f.mode WHEN 0 THEN v WHEN 1 THEN canvas + v WHEN 2 THEN canvas * least(greatest(v, 0), 1) ELSE v * alpha + canvas * (1 - alpha) END
   FROM fold JOIN f ON f.user_id = fold.user_id AND f.frame = fold.frame + 1)
 SELECT user_id, round(arg_max(canvas, frame), 6) AS canvas FROM fold GROUP BY user_id""",
 )
 def frame_blend_fold(spark, sf_dir):
-    d = V.frames(spark, sf_dir).filter("frame < 12")
-    d = d.select("user_id", "frame", (F.col("frame") % 4).alias("mode"), (F.col("duration") % 16 / 16.0).alias("v"), (F.col("event_id") % 8 / 8.0).alias("alpha"))
+    d = V.frames(spark, sf_dir).select("user_id", "frame", (F.col("frame") % 4).alias("mode"), (F.col("duration") % 16 / 16.0).alias("v"), (F.col("event_id") % 8 / 8.0).alias("alpha"))
     return fold_frames(d).select("user_id", F.round("canvas", 6).alias("canvas"))
 
 

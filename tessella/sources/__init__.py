@@ -1 +1 @@
-
+"""Container and codestream readers: bytes in, rows out."""

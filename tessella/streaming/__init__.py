@@ -1 +1 @@
-
+"""Stateful streaming operators."""
