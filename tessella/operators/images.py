@@ -185,3 +185,89 @@ def slide_levels(spark, sf_dir):
 
     out = scan.scan_levels(d.mapInArrow(run, "path string, content binary"))
     return out.select("path", "layout", "ifd", "kind", "name", "width", "height", F.round("downsample", 6).alias("downsample"))
+
+
+def _tiled_slide(p: np.ndarray, size: int = 32) -> bytes:
+    """A one-level slide of lossless tiles; the last tile is left out where there are several rows of them."""
+    h, w = p.shape
+    wide = np.pad(p, ((0, -h % size), (0, -w % size)), mode="edge")
+    tiles = [jpeg2000.encode([wide[j : j + size, i : i + size]], levels=2) for j in range(0, h, size) for i in range(0, w, size)]
+    if len(tiles) > 2:
+        tiles[-1] = b""
+    return tiff.build([[(tiff.WIDTH, 4, [w]), (tiff.HEIGHT, 4, [h]), (tiff.COMPRESSION, 3, [33005]), (tiff.TILE_W, 3, [size]), (tiff.TILE_H, 3, [size])]], [tiles])
+
+
+@query("slide_region_read", "SELECT image_id, ((y - 4) // 2)::INT AS y, ((x - 10) // 2)::INT AS x, CASE WHEN y >= 32 AND x >= 32 THEN 255 ELSE v END AS v FROM raster WHERE y >= 4 AND y < 50 AND (y - 4) % 2 = 0 AND x >= 10 AND x < 60 AND (x - 10) % 2 = 0")
+def slide_region_read(spark, sf_dir):
+    """Every second pixel of a region of a tiled slide; the missing tile shows the background."""
+    from tessella.sources import slides
+
+    def rows(_, data):
+        layout, dirs = tiff.read(data)
+        height = tiff.structure(layout, dirs)[0]["height"]
+        for y, row in enumerate(slides.read_region(data, 0, 10, 4, 50, min(50, height) - 4, 2)[:, :, 0]):
+            yield {"y": y, "row": row.tolist()}
+
+    out = scan._scan(files(V.planes(spark, sf_dir), _tiled_slide), rows, "path string, y int, row array<int>, error string")
+    return V.pixels(out.select(F.col("path").cast("long").alias("image_id"), "y", "row"))
+
+
+@query("slide_tile_index", "SELECT image_id::VARCHAR AS path, t::INT AS tile, (t % 2)::INT AS tx, (t // 2)::INT AS ty, NOT (t = 3) AS present FROM (SELECT image_id, count(DISTINCT y) AS h FROM raster GROUP BY 1), (SELECT unnest(range(4)) AS t) WHERE t < 2 * ((h + 31) // 32)")
+def slide_tile_index(spark, sf_dir):
+    out = scan.scan_tiles(files(V.planes(spark, sf_dir), _tiled_slide))
+    return out.select("path", "tile", "tx", "ty", (F.col("byte_length") > 0).alias("present"))
+
+
+@query("jpeg_strip_read")
+def jpeg_strip_read(spark, sf_dir):
+    """A region of a JPEG with restart intervals, decoded from the intervals it touches."""
+    from tessella.sources import jpeg, slides
+
+    whole = files(V.planes(spark, sf_dir), lambda p: jpeg.encode(np.clip(p, 0, 255).astype(np.uint8), 95, restart=4))
+    rows = lambda _, data: ({"y": y, "row": r.tolist()} for y, r in enumerate(slides.read_strips(data, 8, 8, 40, 40)[:, :, 0]))
+    out = scan._scan(whole, rows, "path string, y int, row array<int>, error string")
+    return V.pixels(out.select(F.col("path").cast("long").alias("image_id"), "y", "row"))
+
+
+@query(
+    "lf_smoothing",
+    """WITH t AS (SELECT image_id, y, x, v, lag(v) OVER c AS u, lead(v) OVER c AS d FROM raster WINDOW c AS (PARTITION BY image_id, x ORDER BY y)),
+s AS (SELECT *, lag(v) OVER o AS l, lead(v) OVER o AS r, lag(u) OVER o AS ul, lead(u) OVER o AS ur, lag(d) OVER o AS dl, lead(d) OVER o AS dr FROM t WINDOW o AS (PARTITION BY image_id, y ORDER BY x)),
+m AS (SELECT *, 0.05226273532324128::DOUBLE * v + 0.20345139757231578::DOUBLE * (u + d + l + r) + 0.0334829185968739::DOUBLE * (ul + ur + dl + dr) AS mean FROM s)
+SELECT image_id, y, x, round(CASE WHEN u IS NULL OR d IS NULL OR l IS NULL OR r IS NULL THEN v ELSE v + (mean - v) * greatest(0, 3 - 4 * greatest(0.5, abs(v - mean) / 40)) END, 5) AS v FROM m""",
+)
+def lf_smoothing(spark, sf_dir):
+    from tessella.functions.kernels import smooth_low_frequency
+
+    rows = per_image(V.planes(spark, sf_dir), lambda p: smooth_low_frequency([p.astype(float)], [40.0])[0], "double")
+    return V.pixels(rows.withColumn("row", F.transform("row", lambda v: F.round(v, 5))))
+
+
+@query("palette_implicit", "SELECT image_id, y, x, CASE WHEN v < 100 THEN v * 2 WHEN v < 164 THEN ((v - 100) % 4) * 255 // 4 + 32 ELSE ((v - 164) % 5) * 255 // 4 END AS c0, CASE WHEN v < 100 THEN v + 1 WHEN v < 164 THEN ((v - 100) // 4 % 4) * 255 // 4 + 32 ELSE ((v - 164) // 5 % 5) * 255 // 4 END AS c1 FROM raster")
+def palette_implicit(spark, sf_dir):
+    """Indexes past the explicit colours stand for two built-in colour cubes: column expressions."""
+    over = F.col("v") - 100
+
+    def channel(c, explicit):
+        small = F.floor(over / 4**c).cast("int") % 4
+        large = F.floor((over - 64) / 5**c).cast("int") % 5
+        return F.when(F.col("v") < 100, explicit).when(F.col("v") < 164, F.floor(small * 255 / 4).cast("int") + 32).otherwise(F.floor(large * 255 / 4).cast("int"))
+
+    return V.raster(spark, sf_dir).select("image_id", "y", "x", channel(0, F.col("v") * 2).alias("c0"), channel(1, F.col("v") + 1).alias("c1"))
+
+
+_CORNERS = {1: ("a", "b", "c", "d"), 2: ("63 - c", "b", "63 - a", "d"), 3: ("63 - c", "63 - d", "63 - a", "63 - b"), 4: ("a", "63 - d", "c", "63 - b"), 5: ("b", "a", "d", "c"), 6: ("b", "63 - c", "d", "63 - a"), 7: ("63 - d", "63 - c", "63 - b", "63 - a"), 8: ("63 - d", "a", "63 - b", "c")}
+
+
+@query("inverse_orient_rect", "WITH q AS (SELECT DISTINCT x0 % 30 AS a, y0 % 30 AS b, x0 % 30 + rw % 32 AS c, y0 % 30 + rh % 32 AS d FROM requests) " + " UNION ALL ".join(f"SELECT a, b, c, d, {k} AS orientation, {w[0]} AS sx0, {w[1]} AS sy0, {w[2]} AS sx1, {w[3]} AS sy1 FROM q" for k, w in _CORNERS.items()))
+def inverse_orient_rect(spark, sf_dir):
+    """The source rectangle (both corners inclusive) of an oriented one, for all orientations of a 64 x 64 image."""
+    r = V.requests(spark, sf_dir)
+    q = r.select((F.col("x0") % 30).alias("a"), (F.col("y0") % 30).alias("b"), (F.col("x0") % 30 + F.col("rw") % 32).alias("c"), (F.col("y0") % 30 + F.col("rh") % 32).alias("d")).distinct()
+    from tessella.operators.geometry import orient
+
+    options = []
+    for k in range(1, 9):
+        (x0, y0), (x1, y1) = orient(k, F.col("a"), F.col("b"), V.SIDE, V.SIDE), orient(k, F.col("c"), F.col("d"), V.SIDE, V.SIDE)
+        options.append(F.struct(F.lit(k).alias("orientation"), F.least(x0, x1).alias("sx0"), F.least(y0, y1).alias("sy0"), F.greatest(x0, x1).alias("sx1"), F.greatest(y0, y1).alias("sy1")))
+    return q.select("a", "b", "c", "d", F.inline(F.array(*options)))

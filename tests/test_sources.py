@@ -173,3 +173,73 @@ def test_scans(spark, tmp_path):
     scan.register(spark)
     again = spark.read.format("raster").option("mode", "info").load(f"{tmp_path}/*")
     assert {(r.path.rsplit("/")[-1], r.width) for r in again.collect() if r.width} == {("a.jp2", 50), ("c.tif", 5), ("d.jxl", 10)}
+
+
+def test_prefix_codes():
+    from tessella.functions.huffman import canonical, code_lengths
+
+    counts = {i: 2**i for i in range(20)}
+    for limit in (5, 8, 16):
+        lengths = code_lengths(counts, limit)
+        assert max(lengths.values()) <= limit and sum(2.0**-n for n in lengths.values()) == 1
+        codes = canonical(lengths)
+        assert len({f"{c:0{n}b}" for c, n in codes.values()}) == 20
+    assert code_lengths({7: 3}) == {7: 1} and code_lengths({}) == {}
+
+
+@pytest.mark.parametrize("shape", [(16, 16), (33, 50), (64, 48, 3)])
+def test_jpeg_round_trip(shape):
+    y, x = np.mgrid[: shape[0], : shape[1]]
+    image = ((x * 3 + y * 2) % 256).astype(np.uint8) if len(shape) == 2 else np.stack([x * 4 % 256, y * 3 % 256, (x + y) % 256], axis=2).astype(np.uint8)
+    from tessella.sources import jpeg
+
+    for restart in (0, 1, 2):
+        out = jpeg.decode(jpeg.encode(image, 100, restart))
+        assert np.abs(out.reshape(image.shape).astype(int) - image).mean() < 3
+    h, planes = jpeg.coefficients(jpeg.encode(image, 95))
+    assert (h.width, h.height) == (shape[1], shape[0]) and len(planes) == (3 if len(shape) == 3 else 1)
+    with pytest.raises(ValueError):
+        jpeg.decode(b"\xff\xd8\xff\xd9")
+
+
+def test_restart_intervals_as_tiles():
+    from tessella.sources import jpeg, slides
+
+    image = np.random.default_rng(3).integers(0, 256, (40, 64)).astype(np.uint8)
+    data = jpeg.encode(image, 100, restart=4)
+    head = jpeg.read_header(data)
+    starts = jpeg.restart_starts(data, head.scan_at)
+    assert len(starts) == 10 and jpeg.check_starts(data, starts) and not jpeg.check_starts(data, [starts[0], starts[1] + 1])
+    whole = jpeg.decode(data)
+    assert (slides.read_strips(data, 10, 5, 40, 20) == whole[5:25, 10:50]).all()
+
+
+@pytest.mark.parametrize("layout,code", [("classic", 33005), ("big", 33003), ("oversize", 7), ("classic", 1)])
+def test_slide_regions(layout, code):
+    from tessella.sources import jpeg, slides
+
+    rng = np.random.default_rng(5)
+    image = rng.integers(0, 256, (70, 90, 3)).astype(np.uint8)
+    tiles = []
+    for j in range(3):
+        for i in range(3):
+            t = np.zeros((32, 32, 3), np.uint8)
+            part = image[j * 32 : j * 32 + 32, i * 32 : i * 32 + 32]
+            t[: part.shape[0], : part.shape[1]] = part
+            channels = [t[:, :, c].astype(int) for c in range(3)]
+            tiles.append(jpeg2000.encode(channels, levels=2) if code > 9 else jpeg.encode(t, 100) if code == 7 else t.tobytes())
+    tiles[4] = b""
+    entries = [(tiff.WIDTH, 4, [90]), (tiff.HEIGHT, 4, [70]), (tiff.TILE_W, 3, [32]), (tiff.TILE_H, 3, [32]), (tiff.COMPRESSION, 3, [code]), (tiff.FORMAT_FLAG, 4, [1]), (tiff.LENS, 11, [20.0])]
+    data = tiff.build([entries], [tiles], layout)
+    image[32:64, 32:64] = 255
+    for x, y, w, h, step in ((0, 0, 90, 70, 1), (10, 20, 60, 45, 1), (5, 3, 80, 60, 3), (60, 40, 60, 60, 2)):
+        want = np.full((h, w, 3), 255, np.uint8)
+        part = image[y : y + h, x : x + w]
+        want[: part.shape[0], : part.shape[1]] = part
+        got = slides.read_region(data, 0, x, y, w, h, step)
+        if code in (33005, 1):
+            assert (got == want[::step, ::step]).all()
+        else:
+            assert got.shape == want[::step, ::step].shape
+    rows = [{"kind": "level", "level": i, "downsample": d} for i, d in enumerate((1.0, 4.0, 4.0, 16.0))]
+    assert [slides.best_level(rows, d) for d in (0.5, 1, 3.9, 4, 15.99, 99)] == [0, 0, 0, 1, 1, 3]
