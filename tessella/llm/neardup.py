@@ -30,7 +30,7 @@ BATCH, MISS = 16, 1e-6
 #: The first hashes, one byte of each, are compared inside a bucket.
 FIRST = 64
 #: Bucket members that one block holds.
-BLOCK = 500
+BLOCK = 800
 #: Lists of bare ids of at most so many rows are broadcast.
 ID_ROWS = 500_000
 #: Words whose hashes a worker remembers before it starts afresh.
@@ -131,7 +131,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingle = Shingler()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["id", "set"])
+        sets = [shingle(t.as_py()) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], ["id", "set", "sig"])
 
 
 def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
@@ -279,9 +280,9 @@ def _few(ids: DataFrame) -> DataFrame:
 
 
 def sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, set) of some documents, shingled again: sets of all documents are never kept."""
+    """(id, set, sig) of some documents, shingled again: sets of all documents are never kept."""
     some = texts.join(_few(ids), texts["doc_id"] == ids["id"]).select("doc_id", "text")
-    return materialize(some.mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]), "dup-sets")
+    return materialize(some.mapInArrow(_sets, "id long, set binary, sig binary").dropDuplicates(["id"]), "dup-sets")
 
 
 def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -293,6 +294,7 @@ def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     ids = materialize(_needed(close), "dup-close-ids")
     sets = sets_of(ids, texts)
     salted = close.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int"))
+    sets = sets.select("id", "set")
     partners = salted.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "set")
     own = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "set")
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -378,7 +380,7 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         member = "bucket long, i int, j int, part int, doc_id long, component long, n_shingles long"
         near = materialize(deal(rows).mapInArrow(_open_members, member), "dup-near")
         ids = materialize(near.select(F.col("doc_id").alias("id")).distinct(), "dup-near-ids")
-        loaded = near.join(reps.select("doc_id", "sig"), "doc_id").join(sets_of(ids, texts).withColumnRenamed("id", "doc_id"), "doc_id")
+        loaded = near.join(sets_of(ids, texts).withColumnRenamed("id", "doc_id"), "doc_id")
         loaded = loaded.select("bucket", "i", "j", "part", "doc_id", "component", "n_shingles", "sig", "set")
         more = materialize(deal(loaded).mapInArrow(_block_links, "a long, b long"), "dup-more")
         links = materialize(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "dup-all-links")
