@@ -47,9 +47,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents by the sources' targets; a document taken twice stands twice."""
-    plan = materialize(mixing.mix(docs, whole=True).filter("epochs > 0").select(F.col("doc_id").alias("_id"), "epochs"), "pipeline-mix")
-    chosen = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select(*docs.columns)
+    return mixing.mix_whole(docs)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

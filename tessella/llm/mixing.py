@@ -42,19 +42,11 @@ def targets(sizes: list[int], weights: list[float], most: int = MOST_EPOCHS) ->
     return out
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, seed: str = "mix", whole: bool = False) -> DataFrame:
-    """What the mix takes of each document: key, source, size, source_size, target, epochs, taken.
-
-    ``taken`` counts words, repeats included.  The document at which a source's
-    budget ends gives the words that are still wanted; with ``whole`` documents
-    stay whole, and that one is taken if at least half of it fits.  ``epochs`` is
-    the number of whole copies.  Order: md5 of seed and key, then key, then size;
-    null keys hash as an empty text.  Null is a source of its own.  An empty table
-    gives an empty result.  The driver collects one row for each source.
-    """
+def _ordered(docs: DataFrame, key: str, text: str, source: str, weights: tuple[float, ...], seed: str) -> DataFrame:
+    """Each document's size, its source's plan, and the words of its source before it in hash order."""
     spark = docs.sparkSession
     slim = docs.select(docs[key].alias("key"), docs[source].alias("source"), words(docs[text]).alias("size"))
-    slim = materialize(slim.withColumn("draw", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit(""))))), "mix-sizes")
+    slim = materialize(slim.withColumn("draw", draw(F.col("key"), seed)), "mix-sizes")
     known = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     known.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # UTF-8 strings sort by code point
     shares = [float(weights[i % len(weights)]) for i in range(len(known))]
@@ -70,22 +62,57 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     offsets = sums.withColumn("offset", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("source").alias("_source"), F.col("range").alias("_range"), "offset")
     within = Window.partitionBy("source", "range").orderBy("draw", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(offsets, rows["source"].eqNullSafe(offsets["_source"]) & (rows["range"] == offsets["_range"])).withColumn("before", F.col("before") + F.col("offset"))
-    fits = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    if whole:
-        fits = F.when((fits * 2 >= F.col("size")) & (fits > 0), F.col("size")).otherwise(F.lit(0))
-    rows = rows.withColumn("extra", fits)
+    rows = rows.join(offsets, rows["source"].eqNullSafe(offsets["_source"]) & (rows["range"] == offsets["_range"]))
+    return rows.withColumn("before", F.col("before") + F.col("offset"))
+
+
+def draw(key: Column, seed: str) -> Column:
+    """The hash that a document is ordered by within its source; null keys hash as an empty text."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit(""))))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
+    """What the mix takes of each document: key, source, size, source_size, target, epochs, taken.
+
+    ``taken`` counts words, repeats included.  The document at which a source's
+    budget ends gives the words that are still wanted; ``epochs`` is the number of
+    whole copies.  Order: md5 of seed and key, then key, then size.
+    Null is a source of its own.  An empty table gives an empty result.  The
+    driver collects one row for each source.
+    """
+    rows = _ordered(docs, key, text, source, weights, seed)
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     return rows.select(
         F.col("key").alias(key),
         F.col("source").alias(source),
         "size",
         "source_size",
         "target",
-        (F.col("epochs") + F.when(F.col("extra") > 0, (F.col("extra") == F.col("size")).cast("int")).otherwise(0)).alias("epochs"),
-        (F.col("epochs") * F.col("size") + F.col("extra")).cast("bigint").alias("taken"),
+        (F.col("epochs") + F.when(extra > 0, (extra == F.col("size")).cast("int")).otherwise(0)).alias("epochs"),
+        (F.col("epochs") * F.col("size") + extra).cast("bigint").alias("taken"),
     )
 
 
+def mix_whole(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, seed: str = "mix") -> DataFrame:
+    """The mixed documents, whole, as rows of ``docs``: one row for each copy.
+
+    A source's cut is a place in its hash order: the document there is taken if at
+    least half of it fits.  Only the cuts (one row a source) go back to the
+    documents, so their texts are not shuffled.  Rows that share the cut's key are
+    taken together.
+    """
+    spark = docs.sparkSession
+    rows = _ordered(docs, key, text, source, weights, seed)
+    taken = (F.col("before") < F.col("rest")) & ((F.col("rest") - F.col("before")) * 2 >= F.col("size"))
+    kind = docs.schema[key].dataType.simpleString()
+    cuts = rows.groupBy("source", "epochs").agg(F.max(F.when(taken, F.struct("draw", "key"))).alias("cut")).collect()
+    cuts = spark.createDataFrame([(r["source"], r["epochs"], r["cut"]) for r in cuts], f"_source string, _epochs long, _cut struct<draw:string,key:{kind}>")
+    found = docs.join(F.broadcast(cuts), docs[source].eqNullSafe(cuts["_source"]))
+    more = F.coalesce(F.struct(draw(docs[key], seed).alias("draw"), docs[key].alias("key")) <= F.col("_cut"), F.lit(False))
+    copies = F.col("_epochs") + more.cast("int")
+    return found.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*(docs[c] for c in docs.columns))
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

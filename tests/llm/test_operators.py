@@ -167,6 +167,21 @@ def test_mixing(spark, sf_dir, hard, none):
     assert sorted(map(str, again)) == sorted(map(str, out))
 
 
+def test_mix_whole_comes_near_its_targets(spark, hard, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    goal = {r.source: (r.target, r.source_size) for r in mixing.mix(docs).collect()}
+    out = mixing.mix_whole(docs)
+    assert out.columns == docs.columns
+    got, largest, copies = {}, {}, {}
+    for r in out.select("doc_id", "source", mixing.words(out.text).alias("n")).collect():
+        got[r.source] = got.get(r.source, 0) + r.n
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+    for r in docs.select("source", mixing.words(docs.text).alias("n")).collect():
+        largest[r.source] = max(largest.get(r.source, 0), r.n)
+    assert all(abs(got[s] - t) <= largest[s] / 2 + 1 for s, (t, _) in goal.items()) and max(copies.values()) <= 3
+    assert mixing.mix_whole(hard).columns == hard.columns and mixing.mix_whole(none).count() == 0
+
+
 # ---- chat
 
 
