@@ -1,9 +1,9 @@
 """JPEG 2000 codestreams: headers, tile index, packets, lossless and lossy coding, JP2 boxes.
 
-One precinct a resolution and one quality layer are written; all five progression
-orders, several tiles, component transforms, both wavelets, regions and reduced
-resolutions are read.  Streams with subsampled components, several layers or
-precincts, or coding-style extras are refused by name.
+Tiles, quality layers, precincts, all five progression orders, component transforms,
+both wavelets, subsampled components, packet markers, regions and reduced resolutions
+are written or read.  Per-component overrides, packed packet headers, bypass and
+terminated passes are refused by name.
 """
 
 from __future__ import annotations
@@ -48,6 +48,9 @@ class Header:
     block: tuple[int, int] = (64, 64)
     reversible: bool = True
     style: int = 0
+    sop: bool = False
+    eph: bool = False
+    precincts: list[tuple[int, int]] = field(default_factory=list)  # (log2 w, log2 h) by resolution; none: 2^15
     quant: int = 0
     guard: int = GUARD
     steps: list[tuple[int, int]] = field(default_factory=list)  # (exponent, mantissa)
@@ -93,7 +96,9 @@ def parse(data: bytes, at: int = 0, end: int | None = None) -> tuple[Header, lis
         elif marker == COD:
             scod, prog, layers, mct, levels, bw, bh, style, wave = struct.unpack_from(">BBHBBBBBB", body)
             header.progression, header.layers, header.transform, header.levels = PROGRESSIONS[prog], layers, bool(mct), levels
-            header.block, header.style, header.reversible = (4 << bw, 4 << bh), style | (scod & 7) << 8, wave == 1
+            header.block, header.style, header.reversible = (4 << bw, 4 << bh), style, wave == 1
+            header.sop, header.eph = bool(scod & 2), bool(scod & 4)
+            header.precincts = [(b & 15, b >> 4) for b in body[10 : 11 + levels]] if scod & 1 else []
         elif marker == QCD:
             header.quant, header.guard = body[0] & 31, body[0] >> 5
             if header.quant == 0:
@@ -145,15 +150,92 @@ def bands_of(rect: tuple[int, int, int, int], levels: int):
     return out
 
 
-def blocks_of(band, size: tuple[int, int]):
-    """Code blocks of a band, row by row: (column, row, x0, y0, x1, y1), and the grid."""
-    _, _, x0, y0, x1, y1 = band
-    if x1 <= x0 or y1 <= y0:
-        return [], (0, 0)
-    w, h = size
-    cx0, cy0, cx1, cy1 = x0 // w, y0 // h, -(-x1 // w), -(-y1 // h)
-    out = [(cx - cx0, cy - cy0, max(x0, cx * w), max(y0, cy * h), min(x1, cx * w + w), min(y1, cy * h + h)) for cy in range(cy0, cy1) for cx in range(cx0, cx1)]
-    return out, (cx1 - cx0, cy1 - cy0)
+@dataclass
+class Block:
+    column: int
+    row: int
+    rect: tuple[int, int, int, int]
+    planes: int = 0
+    passes: int = 0
+    data: bytes = b""
+    bits: int = 3
+    seen: bool = False
+
+
+@dataclass
+class Part:
+    """A band's share of a precinct: its blocks, their grid and its tag trees."""
+
+    band: int
+    name: str
+    limit: int
+    blocks: list[Block]
+    grid: tuple[int, int]
+    included: TagTree | None = None
+    missing: TagTree | None = None
+
+
+@dataclass
+class Precinct:
+    res: int
+    comp: int
+    number: int
+    at: tuple[int, int]  # row and column on the reference grid where a position order meets it
+    parts: list[Part]
+
+
+def component_rect(header: Header, c: int, rect: tuple[int, int, int, int]) -> tuple[int, int, int, int]:
+    dx, dy = header.sub[c]
+    return -(-rect[0] // dx), -(-rect[1] // dy), -(-rect[2] // dx), -(-rect[3] // dy)
+
+
+def precincts_of(header: Header, rect: tuple[int, int, int, int]) -> list[Precinct]:
+    """All precincts of a tile with their code blocks."""
+    out, levels = [], header.levels
+    for c in range(len(header.bits)):
+        own = component_rect(header, c, rect)
+        layout = bands_of(own, levels)
+        dx, dy = header.sub[c]
+        for r in range(levels + 1):
+            pw, ph = header.precincts[r] if header.precincts else (15, 15)
+            x0, y0, x1, y1 = (_ceil(v, levels - r) for v in own)
+            if x1 <= x0 or y1 <= y0:
+                continue
+            cols, rows = range(x0 >> pw, _ceil(x1, pw)), range(y0 >> ph, _ceil(y1, ph))
+            for number, (py, px) in enumerate((j, i) for j in rows for i in cols):
+                at = (max(rect[1], dy * (py << ph) << (levels - r)), max(rect[0], dx * (px << pw) << (levels - r)))
+                parts = []
+                half = int(r > 0)
+                for index, (res, name, *band) in enumerate(layout):
+                    if res != r:
+                        continue
+                    # the precinct's window on the band, and the code blocks inside it
+                    wx, wy = 1 << (pw - half), 1 << (ph - half)
+                    bx0, by0, bx1, by1 = max(band[0], px * wx), max(band[1], py * wy), min(band[2], px * wx + wx), min(band[3], py * wy + wy)
+                    w, h = min(header.block[0], wx), min(header.block[1], wy)
+                    blocks, grid = [], (0, 0)
+                    if bx1 > bx0 and by1 > by0:
+                        cx0, cy0, cx1, cy1 = bx0 // w, by0 // h, -(-bx1 // w), -(-by1 // h)
+                        grid = (cx1 - cx0, cy1 - cy0)
+                        blocks = [Block(cx - cx0, cy - cy0, (max(bx0, cx * w), max(by0, cy * h), min(bx1, cx * w + w), min(by1, cy * h + h))) for cy in range(cy0, cy1) for cx in range(cx0, cx1)]
+                    parts.append(Part(index, name, header.guard + _exponent(header, index) - 1, blocks, grid))
+                out.append(Precinct(r, c, number, at, parts))
+    return out
+
+
+#: Sort keys of the packets (layer, precinct) of a tile by progression.
+ORDERS = {
+    "LRCP": lambda n, p: (n, p.res, p.comp, p.number),
+    "RLCP": lambda n, p: (p.res, n, p.comp, p.number),
+    "RPCL": lambda n, p: (p.res, p.at, p.comp, p.number, n),
+    "PCRL": lambda n, p: (p.at, p.comp, p.res, p.number, n),
+    "CPRL": lambda n, p: (p.comp, p.at, p.res, p.number, n),
+}
+
+
+def packet_sequence(header: Header, precincts: list[Precinct]) -> list[tuple[int, Precinct]]:
+    key = ORDERS[header.progression]
+    return sorted(((n, p) for n in range(header.layers) for p in precincts), key=lambda t: key(*t))
 
 
 # ---- packet headers
@@ -321,18 +403,28 @@ def inverse_component_transform(planes: list[np.ndarray], reversible: bool) -> l
     return [y + 1.402 * v, y - 0.344136 * u - 0.714136 * v, y + 1.772 * u, *planes[3:]]
 
 
-def encode(planes: list[np.ndarray], bits: int = 8, signed: bool = False, levels: int = 3, tile: int | None = None, lossless: bool = True, step: float = 1 / 16, progression: str = "LRCP") -> bytes:
-    """A codestream of equally sized planes; lossless, or with quantiser steps that are multiples of ``step``."""
-    h, w = planes[0].shape
+def encode(
+    planes: list[np.ndarray], bits: int = 8, signed: bool = False, levels: int = 3, tile: int | None = None, lossless: bool = True, step: float = 1 / 16, progression: str = "LRCP",
+    layers: int = 1, precinct: int | None = None, markers: bool = False, sub: list[tuple[int, int]] | None = None, size: tuple[int, int] | None = None,
+) -> bytes:
+    """A codestream; lossless, or with quantiser steps that are multiples of ``step``.
+
+    ``precinct`` is the log2 of the precincts' sides.  Passes are dealt evenly to the
+    ``layers``.  With ``sub`` (column and row steps of each component), ``size`` is the
+    image's width and height on the reference grid.
+    """
+    h, w = planes[0].shape if size is None else size[::-1]
     tile = tile or max(w, h)
-    transform = len(planes) >= 3
-    header = Header(w, h, 0, 0, tile, tile, 0, 0, [bits] * len(planes), [signed] * len(planes), [(1, 1)] * len(planes), progression, 1, transform, levels, (64, 64), lossless)
+    transform = len(planes) >= 3 and sub is None
+    sub = sub or [(1, 1)] * len(planes)
+    header = Header(w, h, 0, 0, tile, tile, 0, 0, [bits] * len(planes), [signed] * len(planes), sub, progression, layers, transform, levels, (64, 64), lossless, 0, markers, markers)
+    header.precincts = [(precinct, precinct)] * (levels + 1) if precinct else []
     header.steps = _steps(levels, bits, lossless, transform, step)
     header.quant = 0 if lossless else 2
     out = [struct.pack(">H", SOC)]
     seg = lambda marker, body: struct.pack(">HH", marker, len(body) + 2) + body
-    out.append(seg(SIZ, struct.pack(">HIIIIIIIIH", 0, w, h, 0, 0, tile, tile, 0, 0, len(planes)) + b"".join(bytes([(bits - 1) | signed << 7, 1, 1]) for _ in planes)))
-    out.append(seg(COD, struct.pack(">BBHBBBBBB", 0, PROGRESSIONS.index(progression), 1, int(transform), levels, 4, 4, 0, int(lossless))))
+    out.append(seg(SIZ, struct.pack(">HIIIIIIIIH", 0, w, h, 0, 0, tile, tile, 0, 0, len(planes)) + b"".join(bytes([(bits - 1) | signed << 7, dx, dy]) for dx, dy in sub)))
+    out.append(seg(COD, struct.pack(">BBHBBBBBB", int(precinct is not None) | 6 * markers, PROGRESSIONS.index(progression), layers, int(transform), levels, 4, 4, 0, int(lossless)) + bytes([precinct << 4 | precinct] * (levels + 1) if precinct else [])))
     quant = bytes(e << 3 for e, _ in header.steps) if lossless else b"".join(struct.pack(">H", e << 11 | m) for e, m in header.steps)
     out.append(seg(QCD, bytes([header.quant | GUARD << 5]) + quant))
     for t in range(header.grid[0] * header.grid[1]):
@@ -342,63 +434,79 @@ def encode(planes: list[np.ndarray], bits: int = 8, signed: bool = False, levels
     return b"".join(out)
 
 
-def _packet_order(header: Header):
-    """(resolution, component) of each packet of a tile with one precinct a resolution."""
-    res, comps = range(header.levels + 1), range(len(header.bits))
-    if header.progression in ("LRCP", "RLCP", "RPCL"):
-        return [(r, c) for r in res for c in comps]
-    if header.progression == "PCRL":
-        return [(r, c) for c in comps for r in res]
-    return [(r, c) for c in comps for r in res]
-
-
 def _encode_tile(header: Header, t: int, planes: list[np.ndarray]) -> bytes:
-    x0, y0, x1, y1 = rect = header.tile_rect(t)
-    shift = 0 if header.signed[0] else 1 << (header.bits[0] - 1)
-    part = [p[y0:y1, x0:x1].astype(np.int64) - shift for p in planes]
+    rect = header.tile_rect(t)
+    part = []
+    for c, p in enumerate(planes):
+        x0, y0, x1, y1 = component_rect(header, c, rect)
+        part.append(p[y0:y1, x0:x1].astype(np.int64) - (0 if header.signed[c] else 1 << (header.bits[c] - 1)))
     if header.transform:
         part = component_transform(part, header.reversible)
-    layout = bands_of(rect, header.levels)
-    packets = {}
+    bands = {}
     for c, plane in enumerate(part):
-        ll, fine = wavelet.forward(plane, header.levels, x0, y0, header.reversible)
-        for index, band in enumerate(layout):
-            r, name, bx0, by0, *_ = band
+        own = component_rect(header, c, rect)
+        ll, fine = wavelet.forward(plane, header.levels, own[0], own[1], header.reversible)
+        for index, (r, name, bx0, by0, *_) in enumerate(bands_of(own, header.levels)):
             coef = ll if name == "LL" else fine[header.levels - r][name]
             if not header.reversible:
                 coef = (np.sign(coef) * np.floor(np.abs(coef) / _step_size(header, index, name, c))).astype(np.int64)
-            limit = header.guard + _exponent(header, index) - 1
-            blocks, grid = blocks_of(band, header.block)
-            coded = [(cx, cy, *BlockEncoder(coef[j0 - by0 : j1 - by0, i0 - bx0 : i1 - bx0], name).encode()) for cx, cy, i0, j0, i1, j1 in blocks]
-            packets.setdefault((r, c), []).append((grid, limit, coded))
-    return b"".join(_packet(packets[k]) for k in _packet_order(header))
+            bands[c, index] = (coef, bx0, by0)
+    precincts = precincts_of(header, rect)
+    for p in precincts:
+        for q in p.parts:
+            coef, bx0, by0 = bands[p.comp, q.band]
+            for b in q.blocks:
+                x0, y0, x1, y1 = b.rect
+                b.planes, b.passes, b.data = BlockEncoder(coef[y0 - by0 : y1 - by0, x0 - bx0 : x1 - bx0], q.name).encode()
+                if b.planes > q.limit:
+                    raise ValueError("a coefficient needs more bit planes than its band has")
+    out = []
+    for i, (layer, p) in enumerate(packet_sequence(header, precincts)):
+        if header.sop:
+            out.append(struct.pack(">HHH", 0xFF91, 4, i & 0xFFFF))
+        head, bodies = _packet(header, layer, p)
+        out += [head, b"\xff\x92" if header.eph else b"", *bodies]
+    return b"".join(out)
+
+
+def _share(total: int, layer: int, layers: int) -> tuple[int, int]:
+    """What of ``total`` things comes before a layer, and with it."""
+    return total * layer // layers, total * (layer + 1) // layers
 
 
-def _packet(bands) -> bytes:
+def _packet(header: Header, layer: int, p: Precinct) -> tuple[bytes, list[bytes]]:
     out, bodies = _BitWriter(), []
     out.put(1)
-    for (gw, gh), limit, coded in bands:
-        if not coded:
+    for q in p.parts:
+        if not q.blocks:
             continue
-        included = TagTree(gw, gh, [0 if n else 1 for _, _, _, n, _ in coded])
-        missing = TagTree(gw, gh, [limit - planes if n else limit for _, _, planes, n, _ in coded])
-        for cx, cy, planes, n, data in coded:
-            included.write(out, cx, cy, 1)
-            if not n:
+        if layer == 0:
+            first = [next((n for n in range(header.layers) if _share(b.passes, n, header.layers)[1]), header.layers) for b in q.blocks]
+            q.included = TagTree(*q.grid, first)
+            q.missing = TagTree(*q.grid, [q.limit - b.planes for b in q.blocks])
+        for b in q.blocks:
+            before, after = _share(b.passes, layer, header.layers)
+            if b.seen:
+                out.put(int(after > before))
+            else:
+                q.included.write(out, b.column, b.row, layer + 1)
+            if after == before:
                 continue
-            if planes > limit:
-                raise ValueError("a coefficient needs more bit planes than its band has")
-            for k in range(1, limit - planes + 2):
-                missing.write(out, cx, cy, k)
+            if not b.seen:
+                b.seen = True
+                for k in range(1, q.limit - b.planes + 2):
+                    q.missing.write(out, b.column, b.row, k)
+            n = after - before
+            low, high = (len(b.data) * k // b.passes for k in (before, after))
             _put_passes(out, n)
-            size = max(len(data).bit_length(), 1)
-            extra = max(0, size - 3 - (n.bit_length() - 1))
-            for _ in range(extra):
+            size = max((high - low).bit_length(), 1)
+            while b.bits + n.bit_length() - 1 < size:
                 out.put(1)
+                b.bits += 1
             out.put(0)
-            out.put(len(data), 3 + extra + n.bit_length() - 1)
-            bodies.append(data)
-    return out.finish() + b"".join(bodies)
+            out.put(high - low, b.bits + n.bit_length() - 1)
+            bodies.append(b.data[low:high])
+    return out.finish(), bodies
 
 
 # ---- decoder
@@ -406,34 +514,49 @@ def _packet(bands) -> bytes:
 
 def check(header: Header) -> None:
     """Refuse what is not decoded, by name."""
-    if header.layers != 1:
-        raise Unsupported(f"{header.layers} quality layers")
     if header.style:
-        raise Unsupported(f"coding style {header.style:#x}")
-    if any(s != (1, 1) for s in header.sub):
-        raise Unsupported("subsampled components")
+        raise Unsupported(f"code-block style {header.style:#x}")
     if max(header.bits) > 31:
         raise Unsupported("more than 31 bits a sample")
 
 
 def decode_tile(header: Header, t: int, body: bytes, reduction: int = 0) -> tuple[list[np.ndarray], list[str]]:
     """Samples of a tile at a reduced resolution, and warnings; what is missing from a cut-off body is zero."""
-    rect = header.tile_rect(t)
-    layout, warnings = bands_of(rect, header.levels), []
-    coef = {(c, i): np.zeros((max(0, b[5] - b[3]), max(0, b[4] - b[2])), np.int64 if header.reversible else np.float64) for c in range(len(header.bits)) for i, b in enumerate(layout)}
-    at = 0
+    rect, warnings = header.tile_rect(t), []
+    precincts = precincts_of(header, rect)
     try:
-        for r, c in _packet_order(header):
-            at = _decode_packet(header, body, at, r, c, layout, coef, r > header.levels - reduction)
+        at = 0
+        for layer, p in packet_sequence(header, precincts):
+            at = _read_packet(header, body, at, layer, p)
     except (IndexError, EOFError) as e:
         warnings.append(f"tile {t}: {e or 'data ends early'}")
+    coef = {}
+    for p in precincts:
+        if p.res > header.levels - reduction:
+            continue
+        layout = bands_of(component_rect(header, p.comp, rect), header.levels)
+        for q in p.parts:
+            _, _, bx0, by0, bx1, by1 = layout[q.band]
+            plane = coef.setdefault((p.comp, q.band), np.zeros((by1 - by0, bx1 - bx0), np.int64 if header.reversible else np.float64))
+            for b in q.blocks:
+                if b.passes:
+                    x0, y0, x1, y1 = b.rect
+                    v = BlockDecoder(b.data, x1 - x0, y1 - y0, q.name).decode(b.planes, b.passes)
+                    if not header.reversible:
+                        v = (v + np.sign(v) * 0.5) * _step_size(header, q.band, q.name, p.comp)
+                    plane[y0 - by0 : y1 - by0, x0 - bx0 : x1 - bx0] = v
     planes = []
     for c in range(len(header.bits)):
-        fine = [{} for _ in range(header.levels)]
-        for i, (r, name, *_) in enumerate(layout):
+        own = component_rect(header, c, rect)
+        fine: list[dict] = [{} for _ in range(header.levels)]
+        ll = None
+        for i, (r, name, x0, y0, x1, y1) in enumerate(bands_of(own, header.levels)):
+            plane = coef.get((c, i), np.zeros((max(0, y1 - y0), max(0, x1 - x0)), np.int64 if header.reversible else np.float64))
             if r:
-                fine[header.levels - r][name] = coef[c, i]
-        planes.append(wavelet.inverse(coef[c, 0], fine, rect[0], rect[1], header.reversible, reduction))
+                fine[header.levels - r][name] = plane
+            else:
+                ll = plane
+        planes.append(wavelet.inverse(ll, fine, own[0], own[1], header.reversible, reduction))
     if header.transform:
         planes = inverse_component_transform(planes, header.reversible)
     out = []
@@ -445,45 +568,45 @@ def decode_tile(header: Header, t: int, body: bytes, reduction: int = 0) -> tupl
     return out, warnings
 
 
-def _decode_packet(header, body, at, r, c, layout, coef, skip: bool) -> int:
+def _read_packet(header: Header, body: bytes, at: int, layer: int, p: Precinct) -> int:
+    """Take a packet's header and its blocks' bytes; blocks that are cut off do not count."""
+    if body[at : at + 2] == b"\xff\x91":
+        at += 6
     if at >= len(body):
         raise EOFError("packets are missing")
-    source = _BitReader(body, at)
-    found = []
+    source, found = _BitReader(body, at), []
     if source.get():
-        for i, band in enumerate(layout):
-            if band[0] != r:
-                continue
-            blocks, (gw, gh) = blocks_of(band, header.block)
-            if not blocks:
+        for q in p.parts:
+            if not q.blocks:
                 continue
-            included, missing = TagTree(gw, gh), TagTree(gw, gh)
-            limit = header.guard + _exponent(header, i) - 1
-            for cx, cy, *where in blocks:
-                if not included.read(source, cx, cy, 1):
+            if q.included is None:
+                q.included, q.missing = TagTree(*q.grid), TagTree(*q.grid)
+            for b in q.blocks:
+                if not (source.get() if b.seen else q.included.read(source, b.column, b.row, layer + 1)):
                     continue
-                zero = 1
-                while not missing.read(source, cx, cy, zero):
-                    zero += 1
-                    if zero > limit + 1:
-                        raise EOFError("broken bit planes")
+                if not b.seen:
+                    b.seen, zero = True, 1
+                    while not q.missing.read(source, b.column, b.row, zero):
+                        zero += 1
+                        if zero > q.limit + 1:
+                            raise EOFError("broken bit planes")
+                    b.planes = q.limit - zero + 1
                 n = _get_passes(source)
-                bits = 3
                 while source.get():
-                    bits += 1
-                found.append((i, band, where, limit - zero + 1, n, source.get(bits + n.bit_length() - 1)))
+                    b.bits += 1
+                    if b.bits > 32:
+                        raise EOFError("broken lengths")
+                found.append((b, n, source.get(b.bits + n.bit_length() - 1)))
     at = source.finish()
-    for i, band, (x0, y0, x1, y1), planes, n, size in found:
-        data = body[at : at + size]
-        at += size
-        if skip:
-            continue
-        if at > len(body):
+    if body[at : at + 2] == b"\xff\x92":
+        at += 2
+    for b, n, size in found:
+        if at + size > len(body):
             raise EOFError("a code block is cut off")
-        q = BlockDecoder(data, x1 - x0, y1 - y0, band[1]).decode(planes, n)
-        if not header.reversible:
-            q = (q + np.sign(q) * 0.5) * _step_size(header, i, band[1], c)
-        coef[c, i][y0 - band[3] : y1 - band[3], x0 - band[2] : x1 - band[2]] = q
+        if b.passes + n > max(0, 3 * b.planes - 2):
+            raise EOFError("too many passes")
+        b.data, b.passes = b.data + body[at : at + size], b.passes + n
+        at += size
     return at
 
 
@@ -508,8 +631,8 @@ def decode(data: bytes, region: tuple[int, int, int, int] | None = None, reducti
     region = full if region is None else (max(region[0], full[0]), max(region[1], full[1]), min(region[2], full[2]), min(region[3], full[3]))
     if region[0] >= region[2] or region[1] >= region[3]:
         raise ValueError("the region is outside the image")
-    ox, oy, ex, ey = (_ceil(v, reduction) for v in region)
-    out = [np.zeros((ey - oy, ex - ox), np.int64) for _ in header.bits]
+    window = [tuple(_ceil(v, reduction) for v in component_rect(header, c, region)) for c in range(len(header.bits))]
+    out = [np.zeros((ey - oy, ex - ox), np.int64) for ox, oy, ex, ey in window]
     bodies: dict[int, bytes] = {}
     for p in sorted(parts, key=lambda p: (p.tile, p.part)):
         bodies[p.tile] = bodies.get(p.tile, b"") + data[p.start : p.end]
@@ -519,11 +642,12 @@ def decode(data: bytes, region: tuple[int, int, int, int] | None = None, reducti
             continue
         planes, more = decode_tile(header, t, bodies[t], reduction)
         warnings += more
-        tx0, ty0, tx1, ty1 = (_ceil(v, reduction) for v in header.tile_rect(t))
-        a, b, c, d = max(tx0, ox), max(ty0, oy), min(tx1, ex), min(ty1, ey)
-        if a < c and b < d:
-            for o, p in zip(out, planes, strict=True):
-                o[b - oy : d - oy, a - ox : c - ox] = p[b - ty0 : d - ty0, a - tx0 : c - tx0]
+        for c, (o, p) in enumerate(zip(out, planes, strict=True)):
+            ox, oy, ex, ey = window[c]
+            tx0, ty0, tx1, ty1 = (_ceil(v, reduction) for v in component_rect(header, c, header.tile_rect(t)))
+            x0, y0, x1, y1 = max(tx0, ox), max(ty0, oy), min(tx1, ex), min(ty1, ey)
+            if x0 < x1 and y0 < y1:
+                o[y0 - oy : y1 - oy, x0 - ox : x1 - ox] = p[y0 - ty0 : y1 - ty0, x0 - tx0 : x1 - tx0]
     return out, warnings
 
 

@@ -39,6 +39,26 @@ def test_lossy_and_reduced():
         jpeg2000.decode(fine, (200, 200, 300, 300))
 
 
+@pytest.mark.parametrize("order", jpeg2000.PROGRESSIONS)
+@pytest.mark.parametrize("layers,precinct,markers", [(3, None, True), (1, 5, False), (4, 6, True)])
+def test_layers_and_precincts(order, layers, precinct, markers):
+    p = picture(90, 120, 3)
+    data = jpeg2000.encode(p, tile=70, levels=3, progression=order, layers=layers, precinct=precinct, markers=markers)
+    out, warnings = jpeg2000.decode(data)
+    assert not warnings and all((a == b).all() for a, b in zip(p, out, strict=True))
+    small, _ = jpeg2000.decode(data, (10, 20, 100, 80), 1)
+    assert (small[0] == jpeg2000.decode(data, None, 1)[0][0][10:40, 5:50]).all()
+
+
+@pytest.mark.parametrize("order", jpeg2000.PROGRESSIONS)
+def test_subsampled_components(order):
+    luma = picture(61, 75, 1)[0]
+    chroma = [luma[::2, ::2], luma[::2, ::2] ^ 1]
+    data = jpeg2000.encode([luma, *chroma], tile=40, progression=order, sub=[(1, 1), (2, 2), (2, 2)], size=(75, 61), precinct=5)
+    out, warnings = jpeg2000.decode(data)
+    assert not warnings and all((a == b).all() for a, b in zip([luma, *chroma], out, strict=True))
+
+
 def test_cut_off_streams_keep_what_came():
     p = picture(100, 100, 1)
     data = jpeg2000.encode(p, tile=50)
@@ -196,6 +216,9 @@ def test_jpeg_round_trip(shape):
     for restart in (0, 1, 2):
         out = jpeg.decode(jpeg.encode(image, 100, restart))
         assert np.abs(out.reshape(image.shape).astype(int) - image).mean() < 3
+    for quality in (40, 100):
+        plain, later = (jpeg.coefficients(jpeg.encode(image, quality, progressive=p)) for p in (False, True))
+        assert later[0].sof == 0xC2 and all((a == b).all() for a, b in zip(plain[1], later[1], strict=True))
     h, planes = jpeg.coefficients(jpeg.encode(image, 95))
     assert (h.width, h.height) == (shape[1], shape[0]) and len(planes) == (3 if len(shape) == 3 else 1)
     with pytest.raises(ValueError):
