@@ -113,6 +113,11 @@ def _send(parts: int):
     return run
 
 
+def _stamp(keys: np.ndarray) -> bytes:
+    """Eight bytes that tell key lists apart."""
+    return np.bitwise_xor.reduce(keys, initial=np.uint64(0)).tobytes()
+
+
 def _sum_range(table: pa.Table) -> pa.Table:
     """Totals of one key range, sent back to every block in the block's order; block -1: distinct keys and their sum."""
     blocks, kinds = table.column("block").to_pylist(), table.column("kind").to_pylist()
@@ -134,7 +139,7 @@ def _sum_range(table: pa.Table) -> pa.Table:
         at = 0
         for i in rows:
             m = len(keys[i]) // 8
-            out.append((blocks[i], part, kind, b"", back[at : at + m].tobytes()))
+            out.append((blocks[i], part, kind, _stamp(np.frombuffer(keys[i], np.uint64)), back[at : at + m].tobytes()))
             at += m
         out.append((-1, part, kind, b"", np.array([(sums > 0).sum(), sums.sum()], np.int64).tobytes()))
     return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.binary()), pa.array([x[4] for x in out], pa.binary())], names=["block", "part", "kind", "keys", "counts"])
@@ -162,10 +167,11 @@ def _unpack(table: pa.Table) -> tuple[list, np.ndarray, Tokens, np.ndarray, np.n
     ids, texts, folds = pickle.loads(zstandard.ZstdDecompressor().decompress(body))
     t = Tokens(texts)
     found = []
-    for kind, order in ((1, t.order), (2, t.pair_order)):
+    for kind, keys, order in ((1, t.hash, t.order), (2, t.pair_hash, t.pair_order)):
         rows = sorted((p, i) for i, (k, p) in enumerate(zip(kinds, parts, strict=True)) if k == kind)
         got = np.concatenate([np.frombuffer(table.column("counts")[i].as_py(), np.int64) for _, i in rows])
-        if len(got) != len(order):
+        stamps = np.array([np.frombuffer(table.column("keys")[i].as_py(), np.uint64)[0] for _, i in rows], np.uint64)
+        if len(got) != len(order) or _stamp(stamps) != _stamp(keys):
             raise RuntimeError("a block was dealt differently when it was read again; write the input to a table first")
         counts = np.empty(len(order), np.int64)
         counts[order] = got
