@@ -271,3 +271,20 @@ def inverse_orient_rect(spark, sf_dir):
         (x0, y0), (x1, y1) = orient(k, F.col("a"), F.col("b"), V.SIDE, V.SIDE), orient(k, F.col("c"), F.col("d"), V.SIDE, V.SIDE)
         options.append(F.struct(F.lit(k).alias("orientation"), F.least(x0, x1).alias("sx0"), F.least(y0, y1).alias("sy0"), F.greatest(x0, x1).alias("sx1"), F.greatest(y0, y1).alias("sy1")))
     return q.select("a", "b", "c", "d", F.inline(F.array(*options)))
+
+
+@query("jxl_lossless_round_trip", "SELECT image_id, y, x, v FROM raster")
+def jxl_lossless_round_trip(spark, sf_dir):
+    """Lossless images in containers of two parts, written, found by their boxes and decoded."""
+    from tessella.sources import modular
+
+    wrapped = files(V.planes(spark, sf_dir), lambda p: boxes.wrap_jxl(modular.encode([p], 8), parts=2))
+    return V.pixels(scan.scan_planes(wrapped).select(F.col("path").cast("long").alias("image_id"), "y", "row"))
+
+
+@query("jxl_info", "SELECT image_id::VARCHAR AS path, 'jxl' AS format, 64::BIGINT AS width, count(DISTINCT y) AS height, 1 AS channels, 1 AS tiles, 'grey' AS colour, true AS lossless FROM raster GROUP BY image_id")
+def jxl_info(spark, sf_dir):
+    from tessella.sources import modular
+
+    out = scan.scan_info(files(V.planes(spark, sf_dir), lambda p: modular.encode([p], 8)))
+    return out.select("path", "format", "width", "height", "channels", "tiles", "colour", "lossless")

@@ -27,7 +27,7 @@ class Bits:
     def __init__(self, data: bytes | None = None):
         self.reading = data is not None
         self.data = data or b""
-        self.at, self.acc = 0, 0
+        self.at, self.acc, self.done = 0, 0, bytearray()
 
     def u(self, n: int, value: int = 0) -> int:
         if self.reading:
@@ -39,7 +39,11 @@ class Bits:
             value = int(value)
             if not 0 <= value < 1 << n:
                 raise ValueError(f"{value} does not fit {n} bits")
-            self.acc |= value << self.at
+            self.acc |= value << self.at - 8 * len(self.done)
+            if self.at + n >= 8 * len(self.done) + 64:
+                k = (self.at + n) // 8 - len(self.done)
+                self.done += (self.acc & (1 << 8 * k) - 1).to_bytes(k, "little")
+                self.acc >>= 8 * k
         self.at += n
         return value
 
@@ -87,7 +91,7 @@ class Bits:
         self.u(-self.at % 8, 0)
 
     def bytes(self) -> bytes:
-        return self.acc.to_bytes((self.at + 7) // 8, "little")
+        return bytes(self.done) + self.acc.to_bytes((self.at + 7) // 8 - len(self.done), "little")
 
 
 def _size_ratio(height: int, code: int) -> int:
@@ -424,12 +428,7 @@ def write_headers(width: int, height: int, meta: dict | None = None, first: dict
     if first is not None:
         f = frame(b, first, m, width, height)
         contents(b, sizes or [], geometry(f)["sections"])
-    return b"\xff\x0a" + _shifted(b)
-
-
-def _shifted(b: Bits) -> bytes:
-    """The signature is two whole bytes, so alignment is the same with or without it."""
-    return b.bytes()
+    return b"\xff\x0a" + b.bytes()  # whole bytes, so alignment is the same with or without them
 
 
 def required_level(width: int, height: int, icc: int, extra: int, bits: int, black: bool) -> int | None:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tessella.sources import boxes, jpeg2000, tiff
+from tessella.sources import boxes, jpeg2000, jpegxl, modular, tiff
 
 BOXES = "path string, seq int, depth int, type string, header_offset long, payload_offset long, payload_length long, error string"
 ENTRIES = "path string, layout string, ifd int, tag int, type int, count long, value double, text string, error string"
@@ -121,8 +121,16 @@ def _info_rows(_, data):
     kind = boxes.sniff(data)
     if kind in ("jxl", "jxl-container"):
         stream = b"".join(data[p : p + n] for _, _, p, n in boxes.jxl_segments(data))
-        w, h = boxes.jxl_size(stream)
-        yield {"format": kind, "width": w, "height": h, "warnings": []}
+        try:
+            head = jpegxl.read_headers(stream)
+        except EOFError:
+            w, h = boxes.jxl_size(stream)
+            yield {"format": kind, "width": w, "height": h, "warnings": ["the headers are cut off"]}
+            return
+        m = head["metadata"]
+        grey = m["colour"]["space"] == "grey"
+        channels = (1 if grey else 3) + len(m["extra"])
+        yield {"format": kind, "width": head["width"], "height": head["height"], "channels": channels, "bits": [m["depth"]["bits"]] * (1 if grey else 3) + [e["depth"]["bits"] for e in m["extra"]], "levels": 0, "tiles": head["geometry"]["groups"] if "geometry" in head else None, "colour": m["colour"]["space"], "lossless": head["frame"]["modular"] and not m["xyb"] if "frame" in head else None, "warnings": []}
         return
     if kind in ("tiff", "tiff-big"):
         layout, dirs = tiff.read(data)
@@ -144,8 +152,16 @@ def scan_planes(files: DataFrame, region: tuple[int, int, int, int] | None = Non
     """Decoded rows of every channel, of a region and at a reduced resolution; only the region's tiles are decoded."""
 
     def rows(_, data):
-        _, at, end = _codestream(data)
-        planes, warnings = jpeg2000.decode(data, region, reduction, at, end)
+        if boxes.sniff(data) in ("jxl", "jxl-container"):
+            if reduction:
+                raise ValueError("no reduced resolutions in this format")
+            stream = b"".join(data[p : p + n] for _, _, p, n in boxes.jxl_segments(data))
+            planes, warnings = modular.decode(stream), []
+            if region is not None:
+                planes = [p[region[1] : region[3], region[0] : region[2]] for p in planes]
+        else:
+            _, at, end = _codestream(data)
+            planes, warnings = jpeg2000.decode(data, region, reduction, at, end)
         x0, y0 = ((v + (1 << reduction) - 1) >> reduction for v in (region or (0, 0))[:2])
         for c, p in enumerate(planes):
             for y, row in enumerate(p.astype(np.int32)):

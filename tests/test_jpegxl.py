@@ -92,3 +92,46 @@ def test_whole_header():
 def test_levels():
     assert X.required_level(1000, 1000, 0, 1, 8, False) == 5 and X.required_level(1000, 1000, 0, 1, 8, True) == 10
     assert X.required_level(1 << 19, 100, 0, 0, 8, False) == 10 and X.required_level(1 << 31, 1, 0, 0, 8, False) is None
+
+
+def test_distributions():
+    from tessella.sources import modular as M
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 17, 200):
+        counts = M.normalise((rng.random(n) ** 4 * 1000).astype(int).tolist() if n > 2 else [5] * n, 256)
+        assert sum(counts) == 4096
+        b = X.Bits()
+        assert M.distribution(b, 256, counts) == counts
+        assert M.distribution(X.Bits(b.bytes() + bytes(8)), 256) == counts
+        places = M.Slots(counts, 8).places()
+        assert sorted(p for s in places for p in s) == list(range(4096))
+
+
+def test_symbols_round_trip():
+    from tessella.sources import modular as M
+
+    rng = np.random.default_rng(3)
+    symbols = [(int(c), int(v)) for c, v in zip(rng.integers(0, 3, 3000), rng.integers(0, 70000, 3000) >> rng.integers(0, 17, 3000), strict=True)]
+    b = X.Bits()
+    M.Code.fit(b, 3, symbols).write(b, symbols)
+    b.align()
+    r = X.Bits(b.bytes())
+    reader = M.Symbols(r, M.Code.read(r, 3))
+    assert [(c, reader.get(c)) for c, _ in symbols] == symbols
+    reader.finish()
+
+
+@pytest.mark.parametrize("h,w,n,bits", [(1, 1, 1, 8), (20, 31, 1, 8), (24, 17, 3, 8), (9, 40, 3, 12), (16, 16, 1, 16)])
+def test_lossless_images(h, w, n, bits):
+    from tessella.sources import modular as M
+
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[:h, :w]
+    planes = [(x * 5 + y * 3 * c + rng.integers(0, 9, (h, w))) % (1 << bits) for c in range(n)]
+    data = M.encode(planes, bits)
+    assert all((a == b).all() for a, b in zip(planes, M.decode(data), strict=True))
+    head = X.read_headers(data)
+    assert (head["width"], head["height"], head["metadata"]["depth"]["bits"], head["body"] + head["sections"][0][1]) == (w, h, bits, len(data))
+    with pytest.raises((ValueError, EOFError)):
+        M.decode(data[:-6])
