@@ -134,46 +134,60 @@ def tendency(b: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
 WP_P1, WP_P2, WP_P3, WP_W = 16, 10, (7, 7, 7, 0, 0), (13, 12, 12, 12)
 
 
+_DIV24 = [(1 << 24) // (i + 1) for i in range(64)]
+
+
+class WeightedPredictor:
+    """The self-correcting predictor of one channel: four guesses, weighted by their recent errors nearby."""
+
+    def __init__(self, width: int):
+        self.w = width
+        self.errors = [[[0] * 4 for _ in range(width)] for _ in range(2)]
+        self.misses = [[0] * width for _ in range(2)]
+
+    def predict(self, x: int, y: int, vw: int, vn: int, vnw: int, vne: int, vnn: int) -> int:
+        """The prediction; ``largest`` is then the largest miss nearby."""
+        last = x + 1 >= self.w
+        now, above = self.misses[y & 1], self.misses[y & 1 ^ 1]
+        tw, tn = now[x - 1] if x else 0, above[x] if y else 0
+        tnw, tne = above[x - 1] if x and y else tn, above[x + 1] if y and not last else tn
+        self.largest = max((tw, tn, tnw, tne), key=abs)
+        self.guess = (8 * (vw + vne - vn), 8 * vn - ((tw + tn + tne) * WP_P1 >> 5), 8 * vw - ((tw + tn + tnw) * WP_P2 >> 5), 8 * vn - ((tnw * WP_P3[0] + tn * WP_P3[1] + tne * WP_P3[2] + 8 * (vnn - vn) * WP_P3[3] + 8 * (vnw - vw) * WP_P3[4]) >> 5))
+        none = (0, 0, 0, 0)
+        row, up = self.errors[y & 1], self.errors[y & 1 ^ 1]
+        n, w = up[x] if y else none, row[x - 1] if x else none
+        nw, ww, ne = up[x - 1] if x and y else n, row[x - 2] if x > 1 else none, up[x + 1] if y and not last else n
+        weights = []
+        for i in range(4):
+            total = (n[i] + w[i] + nw[i] + ww[i] + ne[i] + (w[i] if last else 0)) & 0xFFFFFFFF
+            shift = max((total + 1).bit_length() - 6, 0)
+            weights.append(4 + (WP_W[i] * _DIV24[total >> shift] >> shift))
+        drop = max(sum(weights).bit_length() - 5, 0)
+        weights = [k >> drop for k in weights]
+        total = sum(weights)
+        p = (sum(g * k for g, k in zip(self.guess, weights, strict=True)) + (total >> 1) - 1) * _DIV24[total - 1] >> 24
+        if ((tn ^ tw) | (tn ^ tnw)) <= 0:
+            p = min(max(p, 8 * min(vw, vn, vne)), 8 * max(vw, vn, vne))
+        self.at, self.fine = (x, y), p
+        return (p + 3) >> 3
+
+    def learn(self, v: int) -> None:
+        x, y = self.at
+        self.errors[y & 1][x] = [(abs(g - 8 * v) + 3) >> 3 for g in self.guess]
+        self.misses[y & 1][x] = self.fine - 8 * v
+
+
 def weighted_predictions(plane: np.ndarray) -> np.ndarray:
-    """Predictions of the self-correcting weighted predictor for every sample of a plane, in raster order."""
+    """Predictions of the self-correcting predictor for every sample of a plane."""
     h, w = plane.shape
     px = plane.astype(int).tolist()
-    div24 = [(1 << 24) // (i + 1) for i in range(64)]
-    err = [[[0] * 4 for _ in range(w)] for _ in range(2)]
-    true = [[0] * w for _ in range(2)]
-    out = np.zeros((h, w), np.int64)
+    wp, out = WeightedPredictor(w), np.zeros((h, w), np.int64)
     for y in range(h):
-        now, above = y & 1, y & 1 ^ 1
-        row, north = px[y], px[y - 1] if y else None
+        row, up = px[y], px[y - 1] if y else None
         for x in range(w):
-            vw = row[x - 1] if x else north[x] if y else 0
-            vn = north[x] if y else vw
-            vnw = north[x - 1] if x and y else vw
-            vne = north[x + 1] if y and x + 1 < w else vn
-            vnn = px[y - 2][x] if y > 1 else vn
-            tw = true[now][x - 1] if x else 0
-            tn = true[above][x] if y else 0
-            tnw = true[above][x - 1] if y and x else tn
-            tne = true[above][x + 1] if y and x + 1 < w else tn
-            guess = (8 * (vw + vne - vn), 8 * vn - ((tw + tn + tne) * WP_P1 >> 5), 8 * vw - ((tw + tn + tnw) * WP_P2 >> 5), 8 * vn - ((tnw * WP_P3[0] + tn * WP_P3[1] + tne * WP_P3[2] + 8 * (vnn - vn) * WP_P3[3] + 8 * (vnw - vw) * WP_P3[4]) >> 5))
-            weights = []
-            for i in range(4):
-                en = err[above][x][i] if y else 0
-                ew = err[now][x - 1][i] if x else 0
-                enw = err[above][x - 1][i] if y and x else en
-                eww = err[now][x - 2][i] if x > 1 else 0
-                ene = err[above][x + 1][i] if y and x + 1 < w else en
-                total = (en + ew + enw + eww + ene + (ew if x + 1 >= w else 0)) & 0xFFFFFFFF
-                shift = max((total + 1).bit_length() - 1 - 5, 0)
-                weights.append(4 + (WP_W[i] * div24[total >> shift] >> shift))
-            drop = max(sum(weights).bit_length() - 1 - 4, 0)
-            weights = [k >> drop for k in weights]
-            total = sum(weights)
-            p = (sum(g * k for g, k in zip(guess, weights, strict=True)) + (total >> 1) - 1) * div24[total - 1] >> 24
-            if ((tn ^ tw) | (tn ^ tnw)) <= 0:
-                p = min(max(p, 8 * min(vw, vn, vne)), 8 * max(vw, vn, vne))
-            out[y, x] = (p + 3) >> 3
-            v = row[x]
-            err[now][x] = [(abs(g - 8 * v) + 3) >> 3 for g in guess]
-            true[now][x] = p - 8 * v
+            vw = row[x - 1] if x else up[x] if y else 0
+            vn = up[x] if y else vw
+            vnw = up[x - 1] if x and y else vw
+            out[y, x] = wp.predict(x, y, vw, vn, vnw, up[x + 1] if y and x + 1 < w else vn, px[y - 2][x] if y > 1 else vn)
+            wp.learn(row[x])
     return out

@@ -1,15 +1,16 @@
 """Lossless JPEG XL images of one group: trees, adaptive distributions, predictors and colour transforms.
 
-Written: 8 to 16 bits, one or three channels, up to 1024 x 1024, one leaf a channel.
-Read: such streams with any tree, predictors, colour transforms and range-coded
-distributions.  Prefix codes, copies, palettes, squeezes and several groups are
-refused by name.
+Written: 8 to 16 bits, one or three channels, up to 1024 x 1024, with a colour
+transform, a palette or squeezes, and one predictor.  Read: such streams with any
+tree, predictor and transforms, and range-coded distributions.  Prefix codes, copies,
+palette deltas and several groups are refused by name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from tessella.functions.blocks import WeightedPredictor
 from tessella.functions.colour import RCT_ORDERS
 from tessella.sources import jpegxl
 from tessella.sources.jpegxl import Bits
@@ -375,7 +376,7 @@ def _predict(k: int, west: int, north: int, nw: int, ne: int, nn: int, nee: int,
     raise Unsupported(f"predictor {k}")
 
 
-def _property(p: int, channel: int, stream: int, x: int, y: int, px, near, earlier) -> int:
+def _property(p: int, channel: int, stream: int, x: int, y: int, px, near, earlier, wp) -> int:
     west, north, nw, ne, nn, _, ww = near
     if p < 4:
         return (channel, stream, y, x)[p]
@@ -389,7 +390,7 @@ def _property(p: int, channel: int, stream: int, x: int, y: int, px, near, earli
     if p < 15:
         return (west + north - nw, west - nw, nw - north, north - ne, north - nn, west - ww)[p - 9]
     if p == 15:
-        raise Unsupported("the self-correcting predictor's error as a property")
+        return wp.largest
     k = (p - 16) >> 2
     if k >= len(earlier):
         return 0
@@ -431,35 +432,169 @@ def _inverse_rct(kind: int, coded: list[np.ndarray]) -> list[np.ndarray]:
     return back
 
 
-def encode(planes: list[np.ndarray], bits: int = 8) -> bytes:
-    """A lossless codestream of one or three planes."""
+_CHANNEL = ((0, 3), (8, 6), (72, 10), (1096, 13))
+
+
+def default_squeezes(shapes: list[tuple[int, int]], meta: int) -> list[tuple[bool, bool, int, int]]:
+    """(horizontal, in place, first channel, channels): chroma once each way, then alternately until nothing is above eight."""
+    n, (w, h) = len(shapes) - meta, shapes[meta]
+    out = []
+    if n > 2 and shapes[meta + 1] == (w, h):
+        out += [(True, False, meta + 1, 2), (False, False, meta + 1, 2)]
+    tall = w <= h
+    while w > 8 or h > 8:
+        if w > 8 and not tall:
+            out.append((True, True, meta, n))
+            w = (w + 1) // 2
+        tall = False
+        if h > 8:
+            out.append((False, True, meta, n))
+            h = (h + 1) // 2
+    return out
+
+
+class Layout:
+    """Channel shapes as transforms change them, how to undo these, and, writing, the channels themselves."""
+
+    def __init__(self, shapes: list[tuple[int, int]], bits: int, planes: list[np.ndarray] | None = None):
+        self.shapes, self.bits, self.planes, self.meta = list(shapes), bits, planes, 0
+        self.undo: list = []
+
+    def rct(self, begin: int, kind: int) -> None:
+        if self.planes is not None:
+            self.planes[begin : begin + 3] = _forward_rct(kind, self.planes[begin : begin + 3])
+
+        def back(planes):
+            planes[begin : begin + 3] = _inverse_rct(kind, planes[begin : begin + 3])
+
+        self.undo.append(back)
+
+    def palette(self, begin: int, n: int, colours: int) -> None:
+        from tessella.functions.kernels import palette_colours
+
+        self.shapes = [(colours, n), *self.shapes[: begin + 1], *self.shapes[begin + n :]]
+        self.meta = self.meta + 1 if begin >= self.meta else self.meta + 2 - n
+
+        def back(planes):
+            explicit, index = planes.pop(0), planes[begin]
+            if (index < 0).any():
+                raise Unsupported("palette deltas")
+            index = np.minimum(index, colours - 1) if n == 1 else index
+            planes[begin : begin + 1] = list(palette_colours(index, explicit, self.bits))
+
+        self.undo.append(back)
+
+    def squeeze(self, horizontal: bool, in_place: bool, begin: int, n: int) -> None:
+        from tessella.functions.blocks import squeeze, unsqueeze
+
+        turn = (lambda p: p) if horizontal else np.transpose
+        at = begin + n if in_place else len(self.shapes)
+        rest = []
+        for k in range(begin, begin + n):
+            w, h = self.shapes[k]
+            self.shapes[k] = ((w + 1) // 2, h) if horizontal else (w, (h + 1) // 2)
+            rest.append((w // 2, h) if horizontal else (w, h // 2))
+        self.shapes[at:at] = rest
+        if begin < self.meta:
+            self.meta += n
+        if self.planes is not None:
+            both = [squeeze(turn(p)) for p in self.planes[begin : begin + n]]
+            self.planes[begin : begin + n] = [turn(a) for a, _ in both]
+            self.planes[at:at] = [turn(r) for _, r in both]
+
+        def back(planes):
+            rest = planes[at : at + n]
+            del planes[at : at + n]
+            for k in range(n):
+                planes[begin + k] = turn(unsqueeze(turn(planes[begin + k]), turn(rest[k])))
+
+        self.undo.append(back)
+
+    def restore(self, planes: list[np.ndarray]) -> list[np.ndarray]:
+        for back in reversed(self.undo):
+            back(planes)
+        return planes
+
+
+def transforms(b: Bits, layout: Layout, wanted: list[tuple] = ()) -> None:
+    """The list of transforms: ("rct", begin, type), ("palette", begin, channels, colours) or ("squeeze",), read or written."""
+    for i in range(b.choice(((0, 0), (1, 0), (2, 4), (18, 8)), len(wanted))):
+        name, *args = wanted[i] if wanted else (None,)
+        kind = b.u(2, ("rct", "palette", "squeeze").index(name) if name else 0)
+        if kind == 0:
+            layout.rct(b.choice(_CHANNEL, args[0] if args else 0), b.choice(((6, 0), (0, 2), (2, 4), (10, 6)), args[1] if args else 0))
+        elif kind == 1:
+            begin, n = b.choice(_CHANNEL, args[0] if args else 0), b.choice(((1, 0), (3, 0), (4, 0), (1, 13)), args[1] if args else 1)
+            colours = b.choice(((0, 8), (256, 10), (1280, 12), (5376, 16)), args[2] if args else 0)
+            if b.choice(((0, 0), (1, 8), (257, 10), (1281, 16))):
+                raise Unsupported("palette deltas")
+            b.u(4)
+            layout.palette(begin, n, colours)
+        elif kind == 2:
+            steps = b.choice(((0, 0), (1, 4), (9, 6), (41, 8)))
+            plan = [(b.flag(), b.flag(), b.choice(_CHANNEL), b.choice(((1, 0), (2, 0), (3, 0), (4, 4)))) for _ in range(steps)]
+            for step in plan or default_squeezes(layout.shapes, layout.meta):
+                layout.squeeze(*step)
+        else:
+            raise ValueError("an unknown transform")
+
+
+def find_palette(planes: list[np.ndarray], most: int = 1024) -> tuple[np.ndarray, np.ndarray] | None:
+    """(colours as channels x count, index plane) sorted by brightness; None for too many or too few colours."""
+    flat = np.stack([p.ravel() for p in planes])
+    colours, index = np.unique(flat, axis=1, return_inverse=True)
+    n = colours.shape[1]
+    if not 2 <= n <= most or 4 * n >= flat.shape[1]:
+        return None
+    weight = np.array([3, 6, 1][: len(planes)] if len(planes) > 1 else [1])
+    order = np.argsort(weight @ colours[: len(weight)], kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    return colours[:, order], place[index].reshape(planes[0].shape)
+
+
+def encode(planes: list[np.ndarray], bits: int = 8, predictor: int = 5, use_palette: bool = True, squeeze: bool = False) -> bytes:
+    """A lossless codestream of one or three planes; a palette is used where one is found."""
     h, w = planes[0].shape
     if len(planes) not in (1, 3) or max(h, w) > 1024:
         raise ValueError("one or three planes of at most 1024 x 1024 are written")
-    rct = len(planes) == 3
-    coded = _forward_rct(6, [p.astype(np.int64) for p in planes]) if rct else [planes[0].astype(np.int64)]
+    n, wanted = len(planes), []
+    layout = Layout([(w, h)] * n, bits, [p.astype(np.int64) for p in planes])
+    found = find_palette(planes) if use_palette and not squeeze else None
+    if found:
+        wanted = [("palette", 0, n, found[0].shape[1])]
+    else:
+        wanted = [("rct", 0, 6)] * (n == 3) + [("squeeze",)] * squeeze
+    tail = Bits()  # what follows the code: flags and transforms
+    tail.flag(True)  # the global tree is used
+    tail.flag(True)  # default predictor parameters
+    transforms(tail, layout, wanted)
+    coded = [np.atleast_2d(found[0]), found[1]] if found else layout.planes
     b = Bits()
     b.flag(True)  # default low-frequency steps
     b.flag(True)  # a tree follows
-    tree = channel_tree(len(coded))
+    leaves = len(coded) if len(coded) <= 8 else 1
+    tree = channel_tree(leaves, predictor)
     Code.fit(b, 6, tree).write(b, tree)
     symbols = []
     for c, plane in enumerate(coded):
-        px = plane.tolist()
-        ctx = len(coded) - 1 - c  # leaves are numbered as they come: the last channel first
-        symbols += [(ctx, pack(px[y][x] - _predict(5, *_neighbours(px, x, y, w)))) for y in range(h) for x in range(w)]
-    code = Code.fit(b, len(coded), symbols)
-    b.flag(True)  # the global tree is used
-    b.flag(True)  # default predictor parameters
-    b.choice(((0, 0), (1, 0), (2, 4), (18, 8)), int(rct))
-    if rct:
-        b.u(2, 0)
-        b.choice(((0, 3), (8, 6), (72, 10), (1096, 13)), 0)
-        b.choice(((6, 0), (0, 2), (2, 4), (10, 6)), 6)
+        px, (ph, pw) = plane.tolist(), plane.shape
+        ctx = leaves - 1 - c if leaves > 1 else 0  # leaves are numbered as they come: the last channel first
+        wp = WeightedPredictor(pw) if predictor == 6 else None
+        for y in range(ph):
+            for x in range(pw):
+                near = _neighbours(px, x, y, pw)
+                guess = wp.predict(x, y, *near[:5]) if wp else _predict(predictor, *near)
+                symbols.append((ctx, pack(px[y][x] - guess)))
+                if wp:
+                    wp.learn(px[y][x])
+    code = Code.fit(b, leaves, symbols)
+    for i in range(tail.at):
+        b.u(1, tail.bytes()[i >> 3] >> (i & 7) & 1)
     code.write(b, symbols)
     b.align()
     body = b.bytes()
-    meta = {"depth": {"bits": bits, "exponent": 0}, "xyb": False, "colour": {} if rct else {"space": "grey"}}
+    meta = {"depth": {"bits": bits, "exponent": 0}, "xyb": False, "colour": {} if n == 3 else {"space": "grey"}}
     return jpegxl.write_headers(w, h, meta, {"modular": True, "group_shift": 10, "filter": {"gab": False, "epf": 0}}, [len(body)]) + body
 
 
@@ -478,36 +613,38 @@ def decode(data: bytes) -> list[np.ndarray]:
     if not b.flag():
         for _ in range(3):
             b.f16()
+    most = min(1 << 22, 1024 + w * h * channels // 16)
     tree = code = None
     if b.flag():
-        tree, leaves = read_tree(b, min(1 << 22, 1024 + w * h * channels // 16))
+        tree, leaves = read_tree(b, most)
         code = Code.read(b, leaves)
     own = not b.flag()
     if not b.flag():
         raise Unsupported("other parameters of the self-correcting predictor")
-    transforms = []
-    for _ in range(b.choice(((0, 0), (1, 0), (2, 4), (18, 8)))):
-        if b.u(2):
-            raise Unsupported("palettes or squeezes")
-        transforms.append((b.choice(((0, 3), (8, 6), (72, 10), (1096, 13))), b.choice(((6, 0), (0, 2), (2, 4), (10, 6)))))
+    layout = Layout([(w, h)] * channels, meta["depth"]["bits"])
+    transforms(b, layout)
     if own:
-        tree, leaves = read_tree(b, min(1 << 22, 1024 + w * h * channels // 16))
+        tree, leaves = read_tree(b, most)
         code = Code.read(b, leaves)
+    if tree is None:
+        raise ValueError("no tree")
+    corrects = any(n[0] == 15 or n[0] is None and n[2] == 6 for n in tree)
     reader, out = Symbols(b, code), []
-    for c in range(channels):
-        px = [[0] * w for _ in range(h)]
-        earlier = out[::-1]
-        for y in range(h):
-            for x in range(w):
-                near = _neighbours(px, x, y, w)
+    for c, (cw, ch) in enumerate(layout.shapes):
+        px = [[0] * cw for _ in range(ch)]
+        earlier = [p for p in reversed(out) if len(p) == ch and ch and len(p[0]) == cw]
+        wp = WeightedPredictor(cw) if corrects else None
+        for y in range(ch):
+            for x in range(cw):
+                near = _neighbours(px, x, y, cw)
+                guess = wp.predict(x, y, *near[:5]) if wp else 0
                 node = tree[0]
                 while node[0] is not None:
-                    node = tree[node[2] if _property(node[0], c, 0, x, y, px, near, earlier) > node[1] else node[3]]
+                    node = tree[node[2] if _property(node[0], c, 0, x, y, px, near, earlier, wp) > node[1] else node[3]]
                 _, ctx, predictor, offset, times = node
-                px[y][x] = unpack(reader.get(ctx)) * times + offset + _predict(predictor, *near)
+                px[y][x] = unpack(reader.get(ctx)) * times + offset + (guess if predictor == 6 else _predict(predictor, *near))
+                if wp:
+                    wp.learn(px[y][x])
         out.append(px)
     reader.finish()
-    planes = [np.array(p, np.int64) for p in out]
-    for begin, kind in reversed(transforms):
-        planes[begin : begin + 3] = _inverse_rct(kind, planes[begin : begin + 3])
-    return planes
+    return layout.restore([np.array(p, np.int64).reshape(ch, cw) for p, (cw, ch) in zip(out, layout.shapes, strict=True)])

@@ -135,3 +135,18 @@ def test_lossless_images(h, w, n, bits):
     assert (head["width"], head["height"], head["metadata"]["depth"]["bits"], head["body"] + head["sections"][0][1]) == (w, h, bits, len(data))
     with pytest.raises((ValueError, EOFError)):
         M.decode(data[:-6])
+    for options in ({"predictor": 6}, {"predictor": 13}, {"squeeze": True}, {"use_palette": False}):
+        assert all((a == b).all() for a, b in zip(planes, M.decode(M.encode(planes, bits, **options)), strict=True)), options
+
+
+def test_lossless_palettes():
+    from tessella.sources import modular as M
+
+    rng = np.random.default_rng(6)
+    index = rng.integers(0, 7, (20, 30))
+    for n in (1, 3):
+        planes = [rng.integers(0, 256, 7)[index] for _ in range(n)]
+        colours, found = M.find_palette(planes)
+        assert colours.shape[0] == n and (colours[:, found] == np.stack(planes)).all()
+        small, large = M.encode(planes), M.encode(planes, use_palette=False)
+        assert len(small) < len(large) and all((a == b).all() for a, b in zip(planes, M.decode(small), strict=True))
