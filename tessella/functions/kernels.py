@@ -247,3 +247,45 @@ def demosaic(plane: np.ndarray, pattern: str = "RGGB") -> np.ndarray:
 def half_float(x: np.ndarray) -> np.ndarray:
     """Snapped to binary16."""
     return x.astype(np.float16).astype(np.float32)
+
+
+def find_copies(values: list[int], least: int = 3, window: int = 1 << 20, chain: int = 48) -> list[tuple]:
+    """Literals ("lit", value) and copies ("copy", length, distance), greedily, by chains of earlier triples."""
+    seen: dict[tuple, list[int]] = {}
+    out, i, n = [], 0, len(values)
+
+    def remember(at: int) -> None:
+        if at + least <= n:
+            seen.setdefault(tuple(values[at : at + least]), []).append(at)
+
+    while i < n:
+        best, where = 0, 0
+        for j in reversed(seen.get(tuple(values[i : i + least]), [])[-chain:]):
+            if i - j > window:
+                break
+            k = least
+            while i + k < n and values[j + k] == values[i + k]:
+                k += 1
+            if k > best:
+                best, where = k, j
+        if best >= least:
+            out.append(("copy", best, i - where))
+            for at in range(i, i + best):
+                remember(at)
+            i += best
+        else:
+            out.append(("lit", values[i]))
+            remember(i)
+            i += 1
+    return out
+
+
+def undo_copies(items: list[tuple]) -> list[int]:
+    out: list[int] = []
+    for kind, a, *rest in items:
+        if kind == "lit":
+            out.append(a)
+        else:
+            for _ in range(a):
+                out.append(out[-rest[0]])
+    return out

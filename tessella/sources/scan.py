@@ -162,6 +162,8 @@ def scan_planes(files: DataFrame, region: tuple[int, int, int, int] | None = Non
         else:
             _, at, end = _codestream(data)
             planes, warnings = jpeg2000.decode(data, region, reduction, at, end)
+            if at:
+                planes = jpeg2000.present(planes, boxes.jp2_info(data))
         x0, y0 = ((v + (1 << reduction) - 1) >> reduction for v in (region or (0, 0))[:2])
         for c, p in enumerate(planes):
             for y, row in enumerate(p.astype(np.int32)):

@@ -266,3 +266,41 @@ def test_slide_regions(layout, code):
             assert got.shape == want[::step, ::step].shape
     rows = [{"kind": "level", "level": i, "downsample": d} for i, d in enumerate((1.0, 4.0, 4.0, 16.0))]
     assert [slides.best_level(rows, d) for d in (0.5, 1, 3.9, 4, 15.99, 99)] == [0, 0, 0, 1, 1, 3]
+
+
+def test_profiles():
+    from tessella.sources import icc
+
+    srgb = np.linalg.inv(icc.D50_TO_SRGB)
+    data = icc.build(srgb, 2.2)
+    ramp = np.repeat(np.arange(0, 256, 15)[:, None], 3, axis=1).astype(np.uint8)
+    out = icc.to_srgb(ramp, data)
+    # a grey ramp with gamma 2.2: only the curves differ from sRGB's
+    linear = (ramp / 255.0) ** (round(2.2 * 256) / 256)
+    want = np.where(linear <= 0.0031308, 12.92 * linear, 1.055 * linear ** (1 / 2.4) - 0.055) * 255
+    assert np.abs(out - want).max() < 0.6 and (out[0] == 0).all() and (out[-1] == 255).all()
+    assert icc.matrix_profile(data[:16] + b"CMYK" + data[20:]) is None
+    table = b"curv" + bytes(4) + (3).to_bytes(4, "big") + np.array([0, 10000, 65535], ">u2").tobytes()
+    assert np.isclose(icc.curve(table)(0.5), 10000 / 65535)
+    para = b"para" + bytes(4) + b"\0\3\0\0" + np.array([2.4, 1 / 1.055, 0.055 / 1.055, 1 / 12.92, 0.04045], dtype=float).__mul__(65536).round().astype(">i4").tobytes()
+    assert np.isclose(icc.curve(para)(0.5), 0.2140, atol=1e-3) and np.isclose(icc.curve(para)(0.01), 0.01 / 12.92, atol=1e-5)
+    with pytest.raises(ValueError):
+        icc.tags(b"x" * 200)
+
+
+def test_rate_control_and_presentation():
+    p = picture(64, 64, 1)
+    data, error = jpeg2000.encode_to_target(p, 2.0)
+    assert 1.0 < error < 4.0 and len(data) < len(jpeg2000.encode(p))
+    info = {"palette": [[1, 2, 3], [4, 5, 6]], "mapping": [(0, 1, 0), (0, 1, 1), (0, 1, 2)], "channels": [(0, 0, 3), (1, 1, 0), (2, 0, 1)]}
+    out = jpeg2000.present([np.array([[0, 1, 9]])], info)
+    assert [o.tolist() for o in out] == [[[3, 6, 6]], [[1, 4, 4]], [[2, 5, 5]]]
+
+
+def test_copies():
+    from tessella.functions import kernels
+
+    rng = np.random.default_rng(8)
+    for values in ([], [1], [5] * 50, rng.integers(0, 3, 300).tolist(), [1, 2, 3, 4] * 20):
+        assert kernels.undo_copies(kernels.find_copies(values)) == values
+    assert len(kernels.find_copies([1, 2, 3, 4] * 20)) == 5
