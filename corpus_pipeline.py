@@ -20,20 +20,32 @@ LEAST_SHARE = 0.35
 MOST_TOXIC = 0.5
 
 
+def _keep(docs: DataFrame, judge, condition) -> DataFrame:
+    """Rows of ``docs`` that ``judge`` gives results which meet ``condition``; columns of any names pass through."""
+    names = docs.columns
+    plain = docs.toDF(*(f"_{i}" for i in range(len(names))))
+    key, text = (f"_{names.index(c)}" for c in ("doc_id", "text"))
+    seen = judge(plain, key=key, text=text, carry=tuple(c for c in plain.columns if c != key))
+    return seen.filter(condition).select(*plain.columns).toDF(*names)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some learned language; those without a letter, or with no language of weight, go."""
-    columns = docs.columns
-    rest = tuple(c for c in columns if c != "doc_id")
-    seen = langid.identify(docs, langid.fit(docs), carry=rest)
-    return seen.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*columns)
+    """Documents in some learned language; those without a letter, or with no language of weight, go.
+
+    Where no row has a language, nothing is learned and every document goes.
+    """
+    model = langid.fit(docs)
+    good = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)
+    return _keep(docs, lambda d, **k: langid.identify(d, model, **k), good)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below MOST_TOXIC, by a model of the labels of these documents."""
-    columns = docs.columns
+    """Documents that score below MOST_TOXIC, by a model of the labels of these documents.
+
+    Without labels of both kinds among them, nothing is learned and all stay.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    seen = toxicity.score(docs, model, spans=False, carry=tuple(c for c in columns if c != "doc_id"))
-    return seen.filter(F.col("score") < MOST_TOXIC).select(*columns)
+    return _keep(docs, lambda d, **k: toxicity.score(d, model, spans=False, **k), F.col("score") < MOST_TOXIC)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -369,3 +369,18 @@ def test_pipeline(spark, sf_dir):
     assert sorted(kept) == sorted(set(groups.values()))
     out = corpus_pipeline.run(spark, sf_dir)
     assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in seen[4].collect())
+
+
+def test_stages_take_hard_rows(spark, sf_dir, hard, none):
+    """Null, empty and repeated rows, and columns named like the stages' own."""
+    import corpus_pipeline
+
+    for docs in (hard, none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = common.materialize(stage(spark, docs, sf_dir), "hard")
+            assert out.columns == docs.columns, name
+            assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in docs.collect()}, name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, hard, sf_dir).collect()]
+    assert kept.count(None) == 2 and 6 not in kept and 11 not in kept and 0 in kept
+    assert {r.doc_id for r in corpus_pipeline.toxicity_stage(spark, hard, sf_dir).collect()} == {r.doc_id for r in hard.collect()}
