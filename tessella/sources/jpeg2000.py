@@ -2,14 +2,15 @@
 
 Tiles, quality layers, precincts, all five progression orders, component transforms,
 both wavelets, subsampled components, packet markers, regions and reduced resolutions
-are written or read.  Per-component overrides, packed packet headers, bypass and
-terminated passes are refused by name.
+are written or read, and so are overrides for components and tiles, changes of
+progression and regions of interest.  Packed packet headers, bypass and terminated
+passes are refused by name.
 """
 
 from __future__ import annotations
 
 import struct
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
@@ -17,7 +18,8 @@ from tessella.functions import wavelet
 from tessella.functions.mq import BlockDecoder, BlockEncoder
 
 # Markers.
-SOC, SOT, SOD, EOC, SIZ, COD, COC, QCD, QCC, POC = 0xFF4F, 0xFF90, 0xFF93, 0xFFD9, 0xFF51, 0xFF52, 0xFF53, 0xFF5C, 0xFF5D, 0xFF5F
+SOC, SOT, SOD, EOC, SIZ, COD, COC, QCD, QCC, RGN, POC = 0xFF4F, 0xFF90, 0xFF93, 0xFFD9, 0xFF51, 0xFF52, 0xFF53, 0xFF5C, 0xFF5D, 0xFF5E, 0xFF5F
+PACKED = (0xFF60, 0xFF61)
 PROGRESSIONS = ("LRCP", "RLCP", "RPCL", "PCRL", "CPRL")
 GUARD = 2
 #: log2 of the L2 norms' ratio is left to the step: one base step for all bands, by quality.
@@ -55,6 +57,16 @@ class Header:
     guard: int = GUARD
     steps: list[tuple[int, int]] = field(default_factory=list)  # (exponent, mantissa)
 
+    roi: int = 0
+    changes: list[tuple[int, int, int, int, int, str]] = field(default_factory=list)  # (res, comp, layer end, res end, comp end, order)
+    overrides: dict[tuple[int, int], list[dict]] = field(default_factory=dict)  # (tile or -1, component or -1) -> fields
+
+    def view(self, tile: int, comp: int = -1) -> Header:
+        """The header that holds for a tile and component: main, main component, tile, tile component, each over the one before."""
+        keys = [(-1, comp), (tile, -1), (tile, comp)] if comp >= 0 else [(tile, -1)]
+        fields = {k: v for key in keys for d in self.overrides.get(key, ()) for k, v in d.items()}
+        return replace(self, **fields) if fields else self
+
     @property
     def grid(self) -> tuple[int, int]:
         return -(-(self.width - self.tile_x0) // self.tile_w), -(-(self.height - self.tile_y0) // self.tile_h)
@@ -93,20 +105,10 @@ def parse(data: bytes, at: int = 0, end: int | None = None) -> tuple[Header, lis
             header = Header(*v[1:9], [(c[0] & 0x7F) + 1 for c in comps], [bool(c[0] >> 7) for c in comps], [(c[1], c[2]) for c in comps])
             if not header.tile_w or not header.tile_h:
                 raise ValueError("empty tiles")
-        elif marker == COD:
-            scod, prog, layers, mct, levels, bw, bh, style, wave = struct.unpack_from(">BBHBBBBBB", body)
-            header.progression, header.layers, header.transform, header.levels = PROGRESSIONS[prog], layers, bool(mct), levels
-            header.block, header.style, header.reversible = (4 << bw, 4 << bh), style, wave == 1
-            header.sop, header.eph = bool(scod & 2), bool(scod & 4)
-            header.precincts = [(b & 15, b >> 4) for b in body[10 : 11 + levels]] if scod & 1 else []
-        elif marker == QCD:
-            header.quant, header.guard = body[0] & 31, body[0] >> 5
-            if header.quant == 0:
-                header.steps = [(b >> 3, 0) for b in body[1:]]
-            else:
-                header.steps = [(v >> 11, v & 2047) for (v,) in struct.iter_unpack(">H", body[1:])]
-        elif marker in (COC, QCC, POC):
-            raise Unsupported(f"marker {marker:04X}")
+        elif marker in (COD, COC, QCD, QCC, RGN, POC):
+            _style(header, marker, body, -1)
+        elif marker in PACKED:
+            raise Unsupported("packed packet headers")
         elif marker == SOT:
             tile, length, part, _ = struct.unpack(">HIBB", body)
             stop = end if length == 0 else at + length
@@ -115,7 +117,12 @@ def parse(data: bytes, at: int = 0, end: int | None = None) -> tuple[Header, lis
                 if k + 4 > end:
                     warnings.append(f"tile {tile}: its header is cut off")
                     break
-                k += 2 + struct.unpack_from(">H", data, k + 2)[0]
+                marker, size = struct.unpack_from(">HH", data, k)
+                if marker in PACKED:
+                    raise Unsupported("packed packet headers")
+                if marker in (COD, COC, QCD, QCC, RGN, POC):
+                    _style(header, marker, data[k + 4 : k + 2 + size], tile)
+                k += 2 + size
             if stop > end:
                 warnings.append(f"tile {tile}: {stop - end} bytes are missing")
                 stop = end
@@ -132,6 +139,45 @@ def parse(data: bytes, at: int = 0, end: int | None = None) -> tuple[Header, lis
     return header, parts, warnings
 
 
+def _coding(body: bytes, custom: int) -> dict:
+    levels, bw, bh, style, wave = body[:5]
+    return {"levels": levels, "block": (4 << bw, 4 << bh), "style": style, "reversible": wave == 1, "precincts": [(b & 15, b >> 4) for b in body[5 : 6 + levels]] if custom else []}
+
+
+def _quantiser(body: bytes) -> dict:
+    kind = body[0] & 31
+    steps = [(b >> 3, 0) for b in body[1:]] if kind == 0 else [(v >> 11, v & 2047) for (v,) in struct.iter_unpack(">H", body[1:])]
+    return {"quant": kind, "guard": body[0] >> 5, "steps": steps}
+
+
+def _style(header: Header, marker: int, body: bytes, tile: int) -> None:
+    """Take a marker segment into the main header, or into the overrides of its tile and component."""
+    wide = 2 if len(header.bits) > 256 else 1
+    number = lambda at: int.from_bytes(body[at : at + wide], "big")
+    comp, fields = -1, {}
+    if marker == COD:
+        scod, prog, layers, mct = struct.unpack_from(">BBHB", body)
+        fields = {"progression": PROGRESSIONS[prog], "layers": layers, "transform": bool(mct), "sop": bool(scod & 2), "eph": bool(scod & 4)} | _coding(body[5:], scod & 1)
+    elif marker == QCD:
+        fields = _quantiser(body)
+    elif marker == COC:
+        comp, fields = number(0), _coding(body[wide + 1 :], body[wide] & 1)
+    elif marker == QCC:
+        comp, fields = number(0), _quantiser(body[wide:])
+    elif marker == RGN:
+        comp, fields = number(0), {"roi": body[wide + 1]}
+    else:
+        size, changes = 5 + 2 * wide, []
+        for at in range(0, len(body) - size + 1, size):
+            changes.append((body[at], number(at + 1), struct.unpack_from(">H", body, at + 1 + wide)[0], body[at + 3 + wide], number(at + 4 + wide) or 256, PROGRESSIONS[body[at + 4 + 2 * wide]]))
+        fields = {"changes": changes}
+    if tile < 0 and comp < 0:
+        for k, v in fields.items():
+            setattr(header, k, v)
+    else:
+        header.overrides.setdefault((tile, comp), []).append(fields)
+
+
 # ---- geometry
 
 
@@ -189,10 +235,12 @@ def component_rect(header: Header, c: int, rect: tuple[int, int, int, int]) -> t
     return -(-rect[0] // dx), -(-rect[1] // dy), -(-rect[2] // dx), -(-rect[3] // dy)
 
 
-def precincts_of(header: Header, rect: tuple[int, int, int, int]) -> list[Precinct]:
+def precincts_of(main: Header, t: int) -> list[Precinct]:
     """All precincts of a tile with their code blocks."""
-    out, levels = [], header.levels
-    for c in range(len(header.bits)):
+    out, rect = [], main.tile_rect(t)
+    for c in range(len(main.bits)):
+        header = main.view(t, c)
+        levels = header.levels
         own = component_rect(header, c, rect)
         layout = bands_of(own, levels)
         dx, dy = header.sub[c]
@@ -218,7 +266,7 @@ def precincts_of(header: Header, rect: tuple[int, int, int, int]) -> list[Precin
                         cx0, cy0, cx1, cy1 = bx0 // w, by0 // h, -(-bx1 // w), -(-by1 // h)
                         grid = (cx1 - cx0, cy1 - cy0)
                         blocks = [Block(cx - cx0, cy - cy0, (max(bx0, cx * w), max(by0, cy * h), min(bx1, cx * w + w), min(by1, cy * h + h))) for cy in range(cy0, cy1) for cx in range(cx0, cx1)]
-                    parts.append(Part(index, name, header.guard + _exponent(header, index) - 1, blocks, grid))
+                    parts.append(Part(index, name, header.guard + _exponent(header, index) - 1 + header.roi, blocks, grid))
                 out.append(Precinct(r, c, number, at, parts))
     return out
 
@@ -234,8 +282,16 @@ ORDERS = {
 
 
 def packet_sequence(header: Header, precincts: list[Precinct]) -> list[tuple[int, Precinct]]:
-    key = ORDERS[header.progression]
-    return sorted(((n, p) for n in range(header.layers) for p in precincts), key=lambda t: key(*t))
+    """Packets in the order they are stored; with changes of progression, each comes where it is first due."""
+    every = [(n, p) for n in range(header.layers) for p in precincts]
+    if not header.changes:
+        return sorted(every, key=lambda t: ORDERS[header.progression](*t))
+    out, seen = [], set()
+    for r0, c0, layers, r1, c1, order in header.changes:
+        part = [(n, p) for n, p in every if r0 <= p.res < r1 and c0 <= p.comp < c1 and n < layers and (n, id(p)) not in seen]
+        out += sorted(part, key=lambda t, order=order: ORDERS[order](*t))
+        seen.update((n, id(p)) for n, p in part)
+    return out
 
 
 # ---- packet headers
@@ -406,12 +462,15 @@ def inverse_component_transform(planes: list[np.ndarray], reversible: bool) -> l
 def encode(
     planes: list[np.ndarray], bits: int = 8, signed: bool = False, levels: int = 3, tile: int | None = None, lossless: bool = True, step: float = 1 / 16, progression: str = "LRCP",
     layers: int = 1, precinct: int | None = None, markers: bool = False, sub: list[tuple[int, int]] | None = None, size: tuple[int, int] | None = None,
+    own_levels: dict[int, int] | None = None, changes: list[tuple[int, int, int, int, int, str]] | None = None, roi: int = 0,
 ) -> bytes:
     """A codestream; lossless, or with quantiser steps that are multiples of ``step``.
 
     ``precinct`` is the log2 of the precincts' sides.  Passes are dealt evenly to the
     ``layers``.  With ``sub`` (column and row steps of each component), ``size`` is the
-    image's width and height on the reference grid.
+    image's width and height on the reference grid.  ``own_levels`` gives components
+    other decomposition levels, ``changes`` is a list of progression segments, and
+    ``roi`` lifts every second coefficient of the first component by so many planes.
     """
     h, w = planes[0].shape if size is None else size[::-1]
     tile = tile or max(w, h)
@@ -427,6 +486,21 @@ def encode(
     out.append(seg(COD, struct.pack(">BBHBBBBBB", int(precinct is not None) | 6 * markers, PROGRESSIONS.index(progression), layers, int(transform), levels, 4, 4, 0, int(lossless)) + bytes([precinct << 4 | precinct] * (levels + 1) if precinct else [])))
     quant = bytes(e << 3 for e, _ in header.steps) if lossless else b"".join(struct.pack(">H", e << 11 | m) for e, m in header.steps)
     out.append(seg(QCD, bytes([header.quant | GUARD << 5]) + quant))
+    for c, n in (own_levels or {}).items():
+        steps = _steps(n, bits, lossless, transform, step)
+        body = bytes([c, int(precinct is not None), n, 4, 4, 0, int(lossless)]) + bytes([precinct << 4 | precinct] * (n + 1) if precinct else [])
+        _style(header, COC, body, -1)
+        out.append(seg(COC, body))
+        body = bytes([c, header.quant | GUARD << 5]) + (bytes(e << 3 for e, _ in steps) if lossless else b"".join(struct.pack(">H", e << 11 | m) for e, m in steps))
+        _style(header, QCC, body, -1)
+        out.append(seg(QCC, body))
+    if roi:
+        _style(header, RGN, bytes([0, 0, roi]), -1)
+        out.append(seg(RGN, bytes([0, 0, roi])))
+    if changes:
+        body = b"".join(struct.pack(">BBHBBB", r0, c0, n, r1, c1, PROGRESSIONS.index(o)) for r0, c0, n, r1, c1, o in changes)
+        _style(header, POC, body, -1)
+        out.append(seg(POC, body))
     for t in range(header.grid[0] * header.grid[1]):
         body = _encode_tile(header, t, planes)
         out.append(seg(SOT, struct.pack(">HIBB", t, len(body) + 14, 0, 1)) + struct.pack(">H", SOD) + body)
@@ -444,14 +518,19 @@ def _encode_tile(header: Header, t: int, planes: list[np.ndarray]) -> bytes:
         part = component_transform(part, header.reversible)
     bands = {}
     for c, plane in enumerate(part):
+        h = header.view(t, c)
         own = component_rect(header, c, rect)
-        ll, fine = wavelet.forward(plane, header.levels, own[0], own[1], header.reversible)
-        for index, (r, name, bx0, by0, *_) in enumerate(bands_of(own, header.levels)):
-            coef = ll if name == "LL" else fine[header.levels - r][name]
-            if not header.reversible:
-                coef = (np.sign(coef) * np.floor(np.abs(coef) / _step_size(header, index, name, c))).astype(np.int64)
+        ll, fine = wavelet.forward(plane, h.levels, own[0], own[1], h.reversible)
+        for index, (r, name, bx0, by0, *_) in enumerate(bands_of(own, h.levels)):
+            coef = ll if name == "LL" else fine[h.levels - r][name]
+            if not h.reversible:
+                coef = (np.sign(coef) * np.floor(np.abs(coef) / _step_size(h, index, name, c))).astype(np.int64)
+            if h.roi:
+                if np.abs(coef).max(initial=0) >= 1 << h.roi:
+                    raise ValueError("the region of interest is lifted by too little")
+                coef = np.where(np.arange(coef.size).reshape(coef.shape) % 2 == 0, coef << h.roi, coef)
             bands[c, index] = (coef, bx0, by0)
-    precincts = precincts_of(header, rect)
+    precincts = precincts_of(header, t)
     for p in precincts:
         for q in p.parts:
             coef, bx0, by0 = bands[p.comp, q.band]
@@ -514,16 +593,20 @@ def _packet(header: Header, layer: int, p: Precinct) -> tuple[bytes, list[bytes]
 
 def check(header: Header) -> None:
     """Refuse what is not decoded, by name."""
-    if header.style:
-        raise Unsupported(f"code-block style {header.style:#x}")
+    styles = {header.style} | {d["style"] for ds in header.overrides.values() for d in ds if "style" in d}
+    if any(styles):
+        raise Unsupported(f"code-block style {max(styles):#x}")
     if max(header.bits) > 31:
         raise Unsupported("more than 31 bits a sample")
 
 
 def decode_tile(header: Header, t: int, body: bytes, reduction: int = 0) -> tuple[list[np.ndarray], list[str]]:
     """Samples of a tile at a reduced resolution, and warnings; what is missing from a cut-off body is zero."""
-    rect, warnings = header.tile_rect(t), []
-    precincts = precincts_of(header, rect)
+    header, rect, warnings = header.view(t), header.tile_rect(t), []
+    views = [header.view(t, c) for c in range(len(header.bits))]
+    if reduction > min(v.levels for v in views):
+        raise ValueError(f"reduction {reduction} in tile {t}")
+    precincts = precincts_of(header, t)
     try:
         at = 0
         for layer, p in packet_sequence(header, precincts):
@@ -532,36 +615,39 @@ def decode_tile(header: Header, t: int, body: bytes, reduction: int = 0) -> tupl
         warnings.append(f"tile {t}: {e or 'data ends early'}")
     coef = {}
     for p in precincts:
-        if p.res > header.levels - reduction:
+        h = views[p.comp]
+        if p.res > h.levels - reduction:
             continue
-        layout = bands_of(component_rect(header, p.comp, rect), header.levels)
+        layout = bands_of(component_rect(header, p.comp, rect), h.levels)
         for q in p.parts:
             _, _, bx0, by0, bx1, by1 = layout[q.band]
-            plane = coef.setdefault((p.comp, q.band), np.zeros((by1 - by0, bx1 - bx0), np.int64 if header.reversible else np.float64))
+            plane = coef.setdefault((p.comp, q.band), np.zeros((by1 - by0, bx1 - bx0), np.int64 if h.reversible else np.float64))
             for b in q.blocks:
                 if b.passes:
                     x0, y0, x1, y1 = b.rect
                     v = BlockDecoder(b.data, x1 - x0, y1 - y0, q.name).decode(b.planes, b.passes)
-                    if not header.reversible:
-                        v = (v + np.sign(v) * 0.5) * _step_size(header, q.band, q.name, p.comp)
+                    if h.roi:
+                        v = np.where(np.abs(v) >= 1 << h.roi, np.sign(v) * (np.abs(v) >> h.roi), v)
+                    if not h.reversible:
+                        v = (v + np.sign(v) * 0.5) * _step_size(h, q.band, q.name, p.comp)
                     plane[y0 - by0 : y1 - by0, x0 - bx0 : x1 - bx0] = v
     planes = []
     for c in range(len(header.bits)):
-        own = component_rect(header, c, rect)
-        fine: list[dict] = [{} for _ in range(header.levels)]
+        own, h = component_rect(header, c, rect), views[c]
+        fine: list[dict] = [{} for _ in range(h.levels)]
         ll = None
-        for i, (r, name, x0, y0, x1, y1) in enumerate(bands_of(own, header.levels)):
-            plane = coef.get((c, i), np.zeros((max(0, y1 - y0), max(0, x1 - x0)), np.int64 if header.reversible else np.float64))
+        for i, (r, name, x0, y0, x1, y1) in enumerate(bands_of(own, h.levels)):
+            plane = coef.get((c, i), np.zeros((max(0, y1 - y0), max(0, x1 - x0)), np.int64 if h.reversible else np.float64))
             if r:
-                fine[header.levels - r][name] = plane
+                fine[h.levels - r][name] = plane
             else:
                 ll = plane
-        planes.append(wavelet.inverse(ll, fine, own[0], own[1], header.reversible, reduction))
+        planes.append(wavelet.inverse(ll, fine, own[0], own[1], h.reversible, reduction))
     if header.transform:
         planes = inverse_component_transform(planes, header.reversible)
     out = []
     for c, p in enumerate(planes):
-        if not header.reversible:
+        if p.dtype != np.int64:
             p = np.floor(p + 0.5).astype(np.int64)
         half = 1 << (header.bits[c] - 1)
         out.append(np.clip(p, -half, half - 1) if header.signed[c] else np.clip(p + half, 0, 2 * half - 1))
@@ -625,8 +711,9 @@ def decode(data: bytes, region: tuple[int, int, int, int] | None = None, reducti
     """Planes of a region at a reduced resolution; only its tiles are decoded.  (planes, warnings)."""
     header, parts, warnings = parse(data, at, end)
     check(header)
-    if not 0 <= reduction <= header.levels:
-        raise ValueError(f"reduction {reduction}; the stream has {header.levels} levels")
+    least = min([header.levels, *(d["levels"] for ds in header.overrides.values() for d in ds if "levels" in d)])
+    if not 0 <= reduction <= least:
+        raise ValueError(f"reduction {reduction}; the stream has {least} levels")
     full = (header.x0, header.y0, header.width, header.height)
     region = full if region is None else (max(region[0], full[0]), max(region[1], full[1]), min(region[2], full[2]), min(region[3], full[3]))
     if region[0] >= region[2] or region[1] >= region[3]:

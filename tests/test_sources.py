@@ -59,6 +59,21 @@ def test_subsampled_components(order):
     assert not warnings and all((a == b).all() for a, b in zip([luma, *chroma], out, strict=True))
 
 
+def test_overrides_changes_and_regions_of_interest():
+    p = picture(70, 90, 2)
+    segments = [(0, 0, 2, 2, 2, "RLCP"), (0, 0, 3, 6, 1, "CPRL"), (0, 0, 3, 6, 2, "LRCP")]
+    for options in ({"own_levels": {1: 1}}, {"changes": segments, "layers": 3}, {"roi": 11}, {"own_levels": {0: 5}, "precinct": 6, "tile": 50, "changes": segments, "layers": 3, "roi": 12}):
+        data = jpeg2000.encode(p, **options)
+        out, warnings = jpeg2000.decode(data)
+        assert not warnings and all((a == b).all() for a, b in zip(p, out, strict=True)), options
+    main, own = jpeg2000.parse(jpeg2000.encode(p, own_levels={1: 1}))[0], {1: 1}
+    assert main.view(0, 0).levels == 3 and main.view(0, 1).levels == 1 and len(main.view(0, 1).steps) == 4 and own
+    with pytest.raises(ValueError, match="1 levels"):
+        jpeg2000.decode(jpeg2000.encode(p, own_levels=own), None, 2)
+    main.overrides[0, -1] = [{"levels": 4}]
+    assert (main.view(0, 1).levels, main.view(1, 1).levels, main.view(0).levels) == (4, 1, 4)
+
+
 def test_cut_off_streams_keep_what_came():
     p = picture(100, 100, 1)
     data = jpeg2000.encode(p, tile=50)
