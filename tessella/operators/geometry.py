@@ -165,12 +165,13 @@ def orientation_1_to_8(spark, sf_dir):
     return d.select("image_id", "v", F.inline(options)).select("image_id", "orientation", F.col("nx").alias("x"), F.col("ny").alias("y"), "v")
 
 
-@query("missing_tiles_anti", f"SELECT image_id, tile FROM ({_TILES}) t WHERE level = 0 AND NOT EXISTS (SELECT 1 FROM requests r WHERE r.image_id = t.image_id AND t.x0 < r.x0 + rw AND t.x1 > r.x0 AND t.y0 < r.y0 + rh AND t.y1 > r.y0)")
+@query("missing_tiles_anti", f"SELECT image_id, count(*) AS missing, min(tile) AS first_missing FROM ({_TILES}) t WHERE level = 0 AND NOT EXISTS (SELECT 1 FROM requests r WHERE r.image_id = t.image_id AND t.x0 < r.x0 + rw AND t.x1 > r.x0 AND t.y0 < r.y0 + rh AND t.y1 > r.y0) GROUP BY image_id")
 def missing_tiles_anti(spark, sf_dir):
-    """Tiles that no request touched."""
+    """Tiles that no request touched: how many of each image, and the first."""
     levels = V.levels(spark, sf_dir)
     seen = request_tiles(V.requests(spark, sf_dir), levels).select("image_id", "tx", "ty").distinct()
-    return tiles(levels.filter("level = 0")).join(seen, ["image_id", "tx", "ty"], "left_anti").select("image_id", "tile")
+    left = tiles(levels.filter("level = 0")).join(seen, ["image_id", "tx", "ty"], "left_anti")
+    return left.groupBy("image_id").agg(F.count("*").alias("missing"), F.min("tile").alias("first_missing"))
 
 
 @query("background_fill", f"SELECT t.image_id, tile, coalesce(v, 255) AS v FROM ({_TILES}) t LEFT JOIN (SELECT o_orderkey AS image_id, max(l_partkey % 255)::INT AS v, 0::BIGINT AS tx FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) s ON s.image_id = t.image_id AND s.tx = t.tx WHERE level = 3")
@@ -224,9 +225,9 @@ def level_kind(spark, sf_dir):
 PACKETS = {"lrcp": ("layer", "res", "comp", "prec"), "rlcp": ("res", "layer", "comp", "prec"), "rpcl": ("res", "py", "px", "comp", "layer"), "pcrl": ("py", "px", "comp", "res", "layer"), "cprl": ("comp", "py", "px", "res", "layer")}
 
 
-def packets(levels: DataFrame) -> DataFrame:
-    """Packets of a tile: 2 layers, 3 resolutions, 3 components, and a precinct grid that grows with resolution."""
-    d = levels.filter("level = 4")
+def packets(customers: DataFrame) -> DataFrame:
+    """Packets of a tile for each customer: 2 layers, 3 resolutions, 3 components, and a precinct grid that grows with resolution."""
+    d = customers.select(F.col("c_custkey").alias("image_id"))
     for name, n in (("layer", 2), ("res", 3), ("comp", 3)):
         d = d.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     side = F.call_function("shiftleft", F.lit(1), F.col("res"))
@@ -235,12 +236,12 @@ def packets(levels: DataFrame) -> DataFrame:
     return d.withColumn("px", F.col("prec") % side * step).withColumn("py", F.floor(F.col("prec") / side).cast("int") * step)
 
 
-_PACKETS = "SELECT *, (prec % (1 << res)) * (256 >> res) AS px, (prec // (1 << res)) * (256 >> res) AS py FROM (SELECT image_id, layer, res, comp, unnest(range((1 << res) * (1 << res)))::INT AS prec FROM levels, (SELECT unnest(range(2))::INT AS layer), (SELECT unnest(range(3))::INT AS res), (SELECT unnest(range(3))::INT AS comp) WHERE level = 4)"
+_PACKETS = "SELECT *, (prec % (1 << res)) * (256 >> res) AS px, (prec // (1 << res)) * (256 >> res) AS py FROM (SELECT image_id, layer, res, comp, unnest(range((1 << res) * (1 << res)))::INT AS prec FROM (SELECT c_custkey AS image_id FROM customer), (SELECT unnest(range(2))::INT AS layer), (SELECT unnest(range(3))::INT AS res), (SELECT unnest(range(3))::INT AS comp))"
 for _name, _order in PACKETS.items():
 
     def _ordered(spark, sf_dir, order=_order):
         w = Window.partitionBy("image_id").orderBy(*order)
-        return packets(V.levels(spark, sf_dir)).select("image_id", "layer", "res", "comp", "prec", (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
+        return packets(V.table(spark, sf_dir, "customer")).select("image_id", "layer", "res", "comp", "prec", (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
 
     query(f"packet_order_{_name}", f"SELECT image_id, layer, res, comp, prec, row_number() OVER (PARTITION BY image_id ORDER BY {', '.join(_order)}) - 1 AS ordinal FROM ({_PACKETS})")(_ordered)
 
@@ -248,7 +249,7 @@ for _name, _order in PACKETS.items():
 @query("packet_once_dedup", f"WITH p AS ({_PACKETS}), s AS (SELECT *, 0 AS segment FROM p WHERE res < 2 UNION ALL SELECT *, 1 FROM p WHERE comp < 2), k AS (SELECT *, row_number() OVER (PARTITION BY image_id, layer, res, comp, prec ORDER BY segment) AS seen FROM s) SELECT image_id, layer, res, comp, prec, segment, row_number() OVER (PARTITION BY image_id ORDER BY segment, layer, res, comp, prec) - 1 AS ordinal FROM k WHERE seen = 1")
 def packet_once_dedup(spark, sf_dir):
     """Two progression segments that overlap; a packet is emitted by the first."""
-    p = packets(V.levels(spark, sf_dir))
+    p = packets(V.table(spark, sf_dir, "customer"))
     both = p.filter("res < 2").withColumn("segment", F.lit(0)).unionByName(p.filter("comp < 2").withColumn("segment", F.lit(1)))
     first = both.groupBy("image_id", "layer", "res", "comp", "prec").agg(F.min("segment").alias("segment"))
     w = Window.partitionBy("image_id").orderBy("segment", "layer", "res", "comp", "prec")
