@@ -1,9 +1,9 @@
-"""Lossless JPEG XL images of one group: trees, adaptive distributions, predictors and colour transforms.
+"""Lossless JPEG XL images: groups, trees, adaptive distributions, predictors and transforms.
 
-Written: 8 to 16 bits, one or three channels, up to 1024 x 1024, with a colour
-transform, a palette or squeezes, and one predictor.  Read: such streams with any
-tree, predictor and transforms, and range-coded distributions.  Prefix codes, copies,
-palette deltas and several groups are refused by name.
+Written: 8 to 16 bits, one or three channels, with a colour transform, a palette or
+(in one group) squeezes, and one predictor.  Read: such streams with any tree,
+predictor and transforms, and range-coded distributions.  Prefix codes, copies,
+palette deltas, several passes and squeezes over several groups are refused by name.
 """
 
 from __future__ import annotations
@@ -553,12 +553,46 @@ def find_palette(planes: list[np.ndarray], most: int = 1024) -> tuple[np.ndarray
     return colours[:, order], place[index].reshape(planes[0].shape)
 
 
-def encode(planes: list[np.ndarray], bits: int = 8, predictor: int = 5, use_palette: bool = True, squeeze: bool = False) -> bytes:
+#: Streams of other kinds that come before the groups' in the numbering of streams.
+_TABLES = 17
+
+
+def _symbols(plane: np.ndarray, ctx: int, predictor: int) -> list[tuple[int, int]]:
+    px, (h, w) = plane.tolist(), plane.shape
+    wp, out = WeightedPredictor(w) if predictor == 6 else None, []
+    for y in range(h):
+        for x in range(w):
+            near = _neighbours(px, x, y, w)
+            guess = wp.predict(x, y, *near[:5]) if wp else _predict(predictor, *near)
+            out.append((ctx, pack(px[y][x] - guess)))
+            if wp:
+                wp.learn(px[y][x])
+    return out
+
+
+def _global_channels(layout: Layout, dim: int) -> int:
+    """How many channels the frame's own stream holds: those of transforms, then the first that fit a group."""
+    n = 0
+    for i, (w, h) in enumerate(layout.shapes):
+        if i >= layout.meta and max(w, h) > dim:
+            break
+        n += 1
+    return n
+
+
+def _groups(w: int, h: int, dim: int) -> list[tuple[int, int]]:
+    return [(x, y) for y in range(0, h, dim) for x in range(0, w, dim)]
+
+
+def encode(planes: list[np.ndarray], bits: int = 8, predictor: int = 5, use_palette: bool = True, squeeze: bool = False, group_shift: int = 10) -> bytes:
     """A lossless codestream of one or three planes; a palette is used where one is found."""
     h, w = planes[0].shape
-    if len(planes) not in (1, 3) or max(h, w) > 1024:
-        raise ValueError("one or three planes of at most 1024 x 1024 are written")
-    n, wanted = len(planes), []
+    if len(planes) not in (1, 3):
+        raise ValueError("one or three planes are written")
+    n, wanted, dim = len(planes), [], 1 << group_shift
+    several = max(w, h) > dim
+    if several and squeeze:
+        raise ValueError("squeezes are written in one group")
     layout = Layout([(w, h)] * n, bits, [p.astype(np.int64) for p in planes])
     found = find_palette(planes) if use_palette and not squeeze else None
     if found:
@@ -570,46 +604,89 @@ def encode(planes: list[np.ndarray], bits: int = 8, predictor: int = 5, use_pale
     tail.flag(True)  # default predictor parameters
     transforms(tail, layout, wanted)
     coded = [np.atleast_2d(found[0]), found[1]] if found else layout.planes
+    own = _global_channels(layout, dim) if several else len(coded)
+    leaves = len(coded) if len(coded) <= 8 else 1
+    ctx = lambda c: leaves - 1 - c if leaves > 1 else 0  # noqa: E731  leaves are numbered as they come: the last channel first
+    streams = [[s for c, p in enumerate(coded[:own]) for s in _symbols(p, ctx(c), predictor)]]
+    if several:
+        streams += [[s for c, p in enumerate(coded[own:]) for s in _symbols(p[y : y + dim, x : x + dim], ctx(c), predictor)] for x, y in _groups(w, h, dim)]
     b = Bits()
     b.flag(True)  # default low-frequency steps
     b.flag(True)  # a tree follows
-    leaves = len(coded) if len(coded) <= 8 else 1
     tree = channel_tree(leaves, predictor)
     Code.fit(b, 6, tree).write(b, tree)
-    symbols = []
-    for c, plane in enumerate(coded):
-        px, (ph, pw) = plane.tolist(), plane.shape
-        ctx = leaves - 1 - c if leaves > 1 else 0  # leaves are numbered as they come: the last channel first
-        wp = WeightedPredictor(pw) if predictor == 6 else None
-        for y in range(ph):
-            for x in range(pw):
-                near = _neighbours(px, x, y, pw)
-                guess = wp.predict(x, y, *near[:5]) if wp else _predict(predictor, *near)
-                symbols.append((ctx, pack(px[y][x] - guess)))
-                if wp:
-                    wp.learn(px[y][x])
-    code = Code.fit(b, leaves, symbols)
+    code = Code.fit(b, leaves, [s for stream in streams for s in stream])
     for i in range(tail.at):
         b.u(1, tail.bytes()[i >> 3] >> (i & 7) & 1)
-    code.write(b, symbols)
+    code.write(b, streams[0])
     b.align()
-    body = b.bytes()
+    sections = [b.bytes()]
+    if several:
+        sections += [b""] * (1 + -(-w // (8 * dim)) * -(-h // (8 * dim)))  # nothing in the coarse groups and between
+        for stream in streams[1:]:
+            b = Bits()
+            b.flag(True)
+            b.flag(True)
+            transforms(b, Layout([], bits))
+            code.write(b, stream)
+            b.align()
+            sections.append(b.bytes())
     meta = {"depth": {"bits": bits, "exponent": 0}, "xyb": False, "colour": {} if n == 3 else {"space": "grey"}}
-    return jpegxl.write_headers(w, h, meta, {"modular": True, "group_shift": 10, "filter": {"gab": False, "epf": 0}}, [len(body)]) + body
+    return jpegxl.write_headers(w, h, meta, {"modular": True, "group_shift": group_shift, "filter": {"gab": False, "epf": 0}}, [len(s) for s in sections]) + b"".join(sections)
+
+
+def _channels(b: Bits, tree: list[tuple], code: Code, shapes: list[tuple[int, int]], stream: int) -> list[np.ndarray]:
+    """The channels of one stream."""
+    corrects = any(n[0] == 15 or n[0] is None and n[2] == 6 for n in tree)
+    reader, out = Symbols(b, code), []
+    for c, (w, h) in enumerate(shapes):
+        px = [[0] * w for _ in range(h)]
+        earlier = [p for p in reversed(out) if len(p) == h and h and len(p[0]) == w]
+        wp = WeightedPredictor(w) if corrects else None
+        for y in range(h):
+            for x in range(w):
+                near = _neighbours(px, x, y, w)
+                guess = wp.predict(x, y, *near[:5]) if wp else 0
+                node = tree[0]
+                while node[0] is not None:
+                    node = tree[node[2] if _property(node[0], c, stream, x, y, px, near, earlier, wp) > node[1] else node[3]]
+                _, ctx, predictor, offset, times = node
+                px[y][x] = unpack(reader.get(ctx)) * times + offset + (guess if predictor == 6 else _predict(predictor, *near))
+                if wp:
+                    wp.learn(px[y][x])
+        out.append(px)
+    reader.finish()
+    return [np.array(p, np.int64).reshape(h, w) for p, (w, h) in zip(out, shapes, strict=True)]
+
+
+def _stream(b: Bits, layout: Layout, tree, code, most: int):
+    """The header of a stream: its tree and code, with its transforms taken into ``layout``."""
+    own = not b.flag()
+    if not b.flag():
+        raise Unsupported("other parameters of the self-correcting predictor")
+    transforms(b, layout)
+    if own:
+        tree, leaves = read_tree(b, most)
+        code = Code.read(b, leaves)
+    if tree is None:
+        raise ValueError("no tree")
+    return tree, code
 
 
-def decode(data: bytes) -> list[np.ndarray]:
-    """Planes of a lossless image of one group."""
+def decode(data: bytes, region: tuple[int, int, int, int] | None = None) -> list[np.ndarray]:
+    """Planes of a lossless image; of several groups, only those that ``region`` (x0, y0, x1, y1) touches are decoded."""
     head = jpegxl.read_headers(data)
     if "frame" not in head:
         raise Unsupported("a profile or a preview before the frame")
-    f, meta = head["frame"], head["metadata"]
-    if not f["modular"] or meta["xyb"] or f["flags"] or head["geometry"]["sections"] != 1 or f["upsampling"] != 1 or meta["depth"]["exponent"]:
-        raise Unsupported("lossy, composed, float or several groups")
-    w, h = f["width"], f["height"]
+    f, g, meta = head["frame"], head["geometry"], head["metadata"]
+    if not f["modular"] or meta["xyb"] or f["flags"] or f["passes"]["n"] != 1 or f["upsampling"] != 1 or meta["depth"]["exponent"] or any(e["shift"] for e in meta["extra"]):
+        raise Unsupported("lossy, composed, float, subsampled or progressive images")
+    w, h, dim = f["width"], f["height"], g["group"]
+    x0, y0, x1, y1 = region or (0, 0, w, h)
     channels = (1 if meta["colour"]["space"] == "grey" else 3) + len(meta["extra"])
+    sections = [(head["body"] + at, n) for at, n in head["sections"]]
     b = Bits(data)
-    b.at = 8 * head["body"]
+    b.at = 8 * sections[0][0]
     if not b.flag():
         for _ in range(3):
             b.f16()
@@ -618,33 +695,26 @@ def decode(data: bytes) -> list[np.ndarray]:
     if b.flag():
         tree, leaves = read_tree(b, most)
         code = Code.read(b, leaves)
-    own = not b.flag()
-    if not b.flag():
-        raise Unsupported("other parameters of the self-correcting predictor")
     layout = Layout([(w, h)] * channels, meta["depth"]["bits"])
-    transforms(b, layout)
-    if own:
-        tree, leaves = read_tree(b, most)
-        code = Code.read(b, leaves)
-    if tree is None:
-        raise ValueError("no tree")
-    corrects = any(n[0] == 15 or n[0] is None and n[2] == 6 for n in tree)
-    reader, out = Symbols(b, code), []
-    for c, (cw, ch) in enumerate(layout.shapes):
-        px = [[0] * cw for _ in range(ch)]
-        earlier = [p for p in reversed(out) if len(p) == ch and ch and len(p[0]) == cw]
-        wp = WeightedPredictor(cw) if corrects else None
-        for y in range(ch):
-            for x in range(cw):
-                near = _neighbours(px, x, y, cw)
-                guess = wp.predict(x, y, *near[:5]) if wp else 0
-                node = tree[0]
-                while node[0] is not None:
-                    node = tree[node[2] if _property(node[0], c, 0, x, y, px, near, earlier, wp) > node[1] else node[3]]
-                _, ctx, predictor, offset, times = node
-                px[y][x] = unpack(reader.get(ctx)) * times + offset + (guess if predictor == 6 else _predict(predictor, *near))
-                if wp:
-                    wp.learn(px[y][x])
-        out.append(px)
-    reader.finish()
-    return layout.restore([np.array(p, np.int64).reshape(ch, cw) for p, (cw, ch) in zip(out, layout.shapes, strict=True)])
+    own_tree, own_code = _stream(b, layout, tree, code, most)
+    several = g["sections"] > 1
+    own = _global_channels(layout, dim) if several else len(layout.shapes)
+    planes = _channels(b, own_tree, own_code, layout.shapes[:own], 0)
+    rest = layout.shapes[own:]
+    if any(s != (w, h) for s in rest):
+        raise Unsupported("squeezes over several groups")
+    planes += [np.zeros((h, w), np.int64) for _ in rest]
+    for i, (gx, gy) in enumerate(_groups(w, h, dim) if rest else []):
+        if gx >= x1 or gy >= y1 or gx + dim <= x0 or gy + dim <= y0:
+            continue
+        at, _ = sections[2 + g["coarse"] + i]
+        b = Bits(data)
+        b.at = 8 * at
+        size = (min(dim, w - gx), min(dim, h - gy))
+        local = Layout([size] * len(rest), meta["depth"]["bits"])
+        its_tree, its_code = _stream(b, local, tree, code, most)
+        got = local.restore(_channels(b, its_tree, its_code, local.shapes, 1 + 3 * g["coarse"] + _TABLES + i))
+        for p, part in zip(planes[own:], got, strict=True):
+            p[gy : gy + size[1], gx : gx + size[0]] = part
+    planes = layout.restore(planes)
+    return planes if region is None else [p[y0:y1, x0:x1] for p in planes]

@@ -156,9 +156,7 @@ def scan_planes(files: DataFrame, region: tuple[int, int, int, int] | None = Non
             if reduction:
                 raise ValueError("no reduced resolutions in this format")
             stream = b"".join(data[p : p + n] for _, _, p, n in boxes.jxl_segments(data))
-            planes, warnings = modular.decode(stream), []
-            if region is not None:
-                planes = [p[region[1] : region[3], region[0] : region[2]] for p in planes]
+            planes, warnings = modular.decode(stream, region), []
         else:
             _, at, end = _codestream(data)
             planes, warnings = jpeg2000.decode(data, region, reduction, at, end)

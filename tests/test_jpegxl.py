@@ -150,3 +150,23 @@ def test_lossless_palettes():
         assert colours.shape[0] == n and (colours[:, found] == np.stack(planes)).all()
         small, large = M.encode(planes), M.encode(planes, use_palette=False)
         assert len(small) < len(large) and all((a == b).all() for a, b in zip(planes, M.decode(small), strict=True))
+
+
+def test_lossless_groups(monkeypatch):
+    from tessella.sources import modular as M
+
+    rng = np.random.default_rng(9)
+    h, w = 140, 300
+    y, x = np.mgrid[:h, :w]
+    for planes in ([(x + y * c + rng.integers(0, 5, (h, w))) % 256 for c in range(3)], [rng.integers(0, 5, (h, w)) * 40]):
+        data = M.encode(planes, group_shift=7)
+        head = X.read_headers(data)
+        assert head["geometry"]["groups"] == 6 and len(head["sections"]) == 9
+        assert all((a == b).all() for a, b in zip(planes, M.decode(data), strict=True))
+        calls, real = [], M._channels
+        monkeypatch.setattr(M, "_channels", lambda *a: calls.append(a[-1]) or real(*a))
+        part = M.decode(data, (130, 20, 250, 100))
+        monkeypatch.undo()
+        assert all((a[20:100, 130:250] == b).all() for a, b in zip(planes, part, strict=True)) and len(calls) == 2
+    with pytest.raises(ValueError):
+        M.encode([planes[0]], squeeze=True, group_shift=7)
