@@ -14,8 +14,15 @@ STATES = (
 SIGN, REFINE, RUN, UNIFORM = 9, 14, 17, 18
 
 
+# Code-block styles.
+RESET, CAUSAL, SEGMENT_MARKS = 0x02, 0x08, 0x20
+
+
 class _Contexts:
     def __init__(self):
+        self.restart()
+
+    def restart(self) -> None:
         self.state = [0] * 19
         self.state[0], self.state[RUN], self.state[UNIFORM] = 4, 3, 46
         self.mps = [0] * 19
@@ -164,20 +171,23 @@ SIGNS = {(1, 1): (13, 0), (1, 0): (12, 0), (1, -1): (11, 0), (0, 1): (10, 0), (0
 class _Passes:
     """The three passes over a code block; ``bit(cx, p)`` codes or decodes one decision for position p."""
 
-    def __init__(self, w: int, h: int, band: str):
-        self.w, self.h, self.s = w, h, w + 2
+    def __init__(self, w: int, h: int, band: str, style: int = 0):
+        self.w, self.h, self.s, self.style = w, h, w + 2, style
         n = self.s * (h + 2)
         self.sig, self.sign, self.seen, self.done = [0] * n, [0] * n, [0] * n, [0] * n
         self.zero = ZERO[band]
 
     def _around(self, p: int) -> tuple[int, int, int]:
         s, g = self.s, self.sig
+        if self.style & CAUSAL and (p // s - 1) % 4 == 3:  # the next stripe is not looked at
+            return g[p - 1] + g[p + 1], g[p - s], g[p - s - 1] + g[p - s + 1]
         return g[p - 1] + g[p + 1], g[p - s] + g[p + s], g[p - s - 1] + g[p - s + 1] + g[p + s - 1] + g[p + s + 1]
 
     def _signs(self, p: int) -> tuple[int, int]:
         s, g, m = self.s, self.sig, self.sign
         one = lambda q: g[q] * (1 - 2 * m[q])
-        h, v = one(p - 1) + one(p + 1), one(p - s) + one(p + s)
+        below = 0 if self.style & CAUSAL and (p // s - 1) % 4 == 3 else one(p + s)
+        h, v = one(p - 1) + one(p + 1), one(p - s) + below
         return SIGNS[max(-1, min(1, h)), max(-1, min(1, v))]
 
     def stripes(self):
@@ -223,12 +233,16 @@ class _Passes:
         for i in range(passes):
             plane = planes - 1 - (i + 2) // 3
             (self.cleanup, self.significance, self.refinement)[i % 3](plane)
+            if self.style & SEGMENT_MARKS and i % 3 == 0:
+                self.mark()
+            if self.style & RESET:
+                self.mq.restart()
 
 
 class BlockEncoder(_Passes):
-    def __init__(self, values, band: str):
+    def __init__(self, values, band: str, style: int = 0):
         h, w = values.shape
-        super().__init__(w, h, band)
+        super().__init__(w, h, band, style)
         self.mq, self.mag = Encoder(), [0] * len(self.sig)
         for y, row in enumerate(values.tolist()):
             for x, v in enumerate(row):
@@ -258,6 +272,10 @@ class BlockEncoder(_Passes):
             self.mq.put(UNIFORM, at & 1)
         return at
 
+    def mark(self):
+        for b in (1, 0, 1, 0):
+            self.mq.put(UNIFORM, b)
+
     def encode(self) -> tuple[int, int, bytes]:
         """(bit planes, passes, bytes)."""
         if not self.planes:
@@ -268,8 +286,8 @@ class BlockEncoder(_Passes):
 
 
 class BlockDecoder(_Passes):
-    def __init__(self, data: bytes, w: int, h: int, band: str):
-        super().__init__(w, h, band)
+    def __init__(self, data: bytes, w: int, h: int, band: str, style: int = 0):
+        super().__init__(w, h, band, style)
         self.mq, self.mag = Decoder(data), [0] * len(self.sig)
 
     def bit(self, cx, p, plane):
@@ -289,6 +307,10 @@ class BlockDecoder(_Passes):
             return 4
         return self.mq.get(UNIFORM) << 1 | self.mq.get(UNIFORM)
 
+    def mark(self):
+        if [self.mq.get(UNIFORM) for _ in range(4)] != [1, 0, 1, 0]:
+            raise EOFError("a segmentation mark is broken")
+
     def decode(self, planes: int, passes: int):
         import numpy as np
 

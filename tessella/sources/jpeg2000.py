@@ -15,7 +15,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 
 from tessella.functions import wavelet
-from tessella.functions.mq import BlockDecoder, BlockEncoder
+from tessella.functions.mq import CAUSAL, RESET, SEGMENT_MARKS, BlockDecoder, BlockEncoder
 
 # Markers.
 SOC, SOT, SOD, EOC, SIZ, COD, COC, QCD, QCC, RGN, POC = 0xFF4F, 0xFF90, 0xFF93, 0xFFD9, 0xFF51, 0xFF52, 0xFF53, 0xFF5C, 0xFF5D, 0xFF5E, 0xFF5F
@@ -462,7 +462,7 @@ def inverse_component_transform(planes: list[np.ndarray], reversible: bool) -> l
 def encode(
     planes: list[np.ndarray], bits: int = 8, signed: bool = False, levels: int = 3, tile: int | None = None, lossless: bool = True, step: float = 1 / 16, progression: str = "LRCP",
     layers: int = 1, precinct: int | None = None, markers: bool = False, sub: list[tuple[int, int]] | None = None, size: tuple[int, int] | None = None,
-    own_levels: dict[int, int] | None = None, changes: list[tuple[int, int, int, int, int, str]] | None = None, roi: int = 0,
+    style: int = 0, own_levels: dict[int, int] | None = None, changes: list[tuple[int, int, int, int, int, str]] | None = None, roi: int = 0,
 ) -> bytes:
     """A codestream; lossless, or with quantiser steps that are multiples of ``step``.
 
@@ -476,19 +476,19 @@ def encode(
     tile = tile or max(w, h)
     transform = len(planes) >= 3 and sub is None
     sub = sub or [(1, 1)] * len(planes)
-    header = Header(w, h, 0, 0, tile, tile, 0, 0, [bits] * len(planes), [signed] * len(planes), sub, progression, layers, transform, levels, (64, 64), lossless, 0, markers, markers)
+    header = Header(w, h, 0, 0, tile, tile, 0, 0, [bits] * len(planes), [signed] * len(planes), sub, progression, layers, transform, levels, (64, 64), lossless, style, markers, markers)
     header.precincts = [(precinct, precinct)] * (levels + 1) if precinct else []
     header.steps = _steps(levels, bits, lossless, transform, step)
     header.quant = 0 if lossless else 2
     out = [struct.pack(">H", SOC)]
     seg = lambda marker, body: struct.pack(">HH", marker, len(body) + 2) + body
     out.append(seg(SIZ, struct.pack(">HIIIIIIIIH", 0, w, h, 0, 0, tile, tile, 0, 0, len(planes)) + b"".join(bytes([(bits - 1) | signed << 7, dx, dy]) for dx, dy in sub)))
-    out.append(seg(COD, struct.pack(">BBHBBBBBB", int(precinct is not None) | 6 * markers, PROGRESSIONS.index(progression), layers, int(transform), levels, 4, 4, 0, int(lossless)) + bytes([precinct << 4 | precinct] * (levels + 1) if precinct else [])))
+    out.append(seg(COD, struct.pack(">BBHBBBBBB", int(precinct is not None) | 6 * markers, PROGRESSIONS.index(progression), layers, int(transform), levels, 4, 4, style, int(lossless)) + bytes([precinct << 4 | precinct] * (levels + 1) if precinct else [])))
     quant = bytes(e << 3 for e, _ in header.steps) if lossless else b"".join(struct.pack(">H", e << 11 | m) for e, m in header.steps)
     out.append(seg(QCD, bytes([header.quant | GUARD << 5]) + quant))
     for c, n in (own_levels or {}).items():
         steps = _steps(n, bits, lossless, transform, step)
-        body = bytes([c, int(precinct is not None), n, 4, 4, 0, int(lossless)]) + bytes([precinct << 4 | precinct] * (n + 1) if precinct else [])
+        body = bytes([c, int(precinct is not None), n, 4, 4, style, int(lossless)]) + bytes([precinct << 4 | precinct] * (n + 1) if precinct else [])
         _style(header, COC, body, -1)
         out.append(seg(COC, body))
         body = bytes([c, header.quant | GUARD << 5]) + (bytes(e << 3 for e, _ in steps) if lossless else b"".join(struct.pack(">H", e << 11 | m) for e, m in steps))
@@ -536,7 +536,7 @@ def _encode_tile(header: Header, t: int, planes: list[np.ndarray]) -> bytes:
             coef, bx0, by0 = bands[p.comp, q.band]
             for b in q.blocks:
                 x0, y0, x1, y1 = b.rect
-                b.planes, b.passes, b.data = BlockEncoder(coef[y0 - by0 : y1 - by0, x0 - bx0 : x1 - bx0], q.name).encode()
+                b.planes, b.passes, b.data = BlockEncoder(coef[y0 - by0 : y1 - by0, x0 - bx0 : x1 - bx0], q.name, header.view(t, p.comp).style).encode()
                 if b.planes > q.limit:
                     raise ValueError("a coefficient needs more bit planes than its band has")
     out = []
@@ -594,8 +594,8 @@ def _packet(header: Header, layer: int, p: Precinct) -> tuple[bytes, list[bytes]
 def check(header: Header) -> None:
     """Refuse what is not decoded, by name."""
     styles = {header.style} | {d["style"] for ds in header.overrides.values() for d in ds if "style" in d}
-    if any(styles):
-        raise Unsupported(f"code-block style {max(styles):#x}")
+    if odd := [s for s in styles if s & ~(RESET | CAUSAL | SEGMENT_MARKS)]:
+        raise Unsupported(f"code-block style {max(odd):#x}")
     if max(header.bits) > 31:
         raise Unsupported("more than 31 bits a sample")
 
@@ -625,7 +625,11 @@ def decode_tile(header: Header, t: int, body: bytes, reduction: int = 0) -> tupl
             for b in q.blocks:
                 if b.passes:
                     x0, y0, x1, y1 = b.rect
-                    v = BlockDecoder(b.data, x1 - x0, y1 - y0, q.name).decode(b.planes, b.passes)
+                    try:
+                        v = BlockDecoder(b.data, x1 - x0, y1 - y0, q.name, h.style).decode(b.planes, b.passes)
+                    except EOFError as e:
+                        warnings.append(f"tile {t}: {e}")
+                        continue
                     if h.roi:
                         v = np.where(np.abs(v) >= 1 << h.roi, np.sign(v) * (np.abs(v) >> h.roi), v)
                     if not h.reversible:

@@ -59,6 +59,16 @@ def test_subsampled_components(order):
     assert not warnings and all((a == b).all() for a, b in zip([luma, *chroma], out, strict=True))
 
 
+@pytest.mark.parametrize("style", [0x02, 0x08, 0x20, 0x2A])
+def test_block_styles(style):
+    p = picture(40, 70, 1)
+    data = jpeg2000.encode(p, style=style)
+    out, warnings = jpeg2000.decode(data)
+    assert not warnings and (out[0] == p[0]).all() and data != jpeg2000.encode(p)
+    with pytest.raises(jpeg2000.Unsupported):
+        jpeg2000.decode(jpeg2000.encode(p, style=0x40))
+
+
 def test_overrides_changes_and_regions_of_interest():
     p = picture(70, 90, 2)
     segments = [(0, 0, 2, 2, 2, "RLCP"), (0, 0, 3, 6, 1, "CPRL"), (0, 0, 3, 6, 2, "LRCP")]
