@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import small_batches
+from tessella.llm.common import small_batches, trimmed
 
 #: Distinct pre-tokens that a worker remembers before it starts afresh.
-MEMO = 400_000
+MEMO = 200_000
 #: Pre-tokens of more bytes than this are encoded but not remembered.
 MEMO_BYTES = 64
 
@@ -157,4 +157,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, key: str =
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(trimmed(run), schema).withColumnRenamed("key", key)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fold, small_batches
+from tessella.llm.common import fold, small_batches, trimmed
 
 #: Trigrams are hashed to so many buckets; a model has languages x BUCKETS numbers.
 BUCKETS = 1 << 15
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, per_language: int = 2_000, folds: int = 5, held_out: in
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1_000_003)) / 1_000_003
-    sums = rows.filter(draw < share).select("lang", "text").mapInArrow(_gram_rows, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = rows.filter(draw < share).select("lang", "text").mapInArrow(trimmed(_gram_rows), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     langs = sorted(sizes)
     counts = np.zeros((len(langs), BUCKETS))
     table = sums.toArrow()
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     kept = [docs[text].alias("_text"), docs[key].alias("_key"), *(docs[c].alias(f"_c{i}") for i, c in enumerate(carry))]
     small = docs.select(*kept)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema.fields[1:]) + ", lang_pred string, score double, languages map<string,double>"
-    out = small.mapInArrow(run, schema).withColumnRenamed("_key", key)
+    out = small.mapInArrow(trimmed(run), schema).withColumnRenamed("_key", key)
     for i, c in enumerate(carry):
         out = out.withColumnRenamed(f"_c{i}", c)
     return out

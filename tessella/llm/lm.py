@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fold, materialize
+from tessella.llm.common import fold, materialize, trimmed
 
 #: Documents of a block at most.
 BLOCK = 512
@@ -263,16 +263,16 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), fold(docs[key], folds).alias("fold"))
     key_type = to_arrow_type(docs.schema[key].dataType)
 
-    sent = rows.mapInArrow(_send(parts), _ROW)
+    sent = rows.mapInArrow(trimmed(_send(parts)), _ROW)
     totals = materialize(sent.groupBy("part").applyInArrow(_sum_range, _ROW), "lm-totals")
     stats = totals.filter("block = -1 and kind = 1").select("counts").toArrow().column("counts").to_pylist()
     distinct, total = (int(x) for x in sum((np.frombuffer(x, np.int64) for x in stats), np.zeros(2, np.int64)))
     back = totals.filter("block >= 0")
 
-    held = rows.mapInArrow(_pack(True), _ROW).unionByName(back.filter("block % 2 = 1"))
+    held = rows.mapInArrow(trimmed(_pack(True)), _ROW).unionByName(back.filter("block % 2 = 1"))
     events = held.groupBy("block").applyInArrow(_events(total, distinct), "b long, r1 long, r2 long, n long").groupBy("b", "r1", "r2").agg(F.sum("n").alias("n")).toArrow()
     weights = learn_weights(np.stack([events.column(c).to_numpy() for c in ("b", "r1", "r2", "n")], axis=1) if events.num_rows else np.zeros((0, 4)))
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.mapInArrow(_pack(False), _ROW).unionByName(back).groupBy("block").applyInArrow(_score(total, distinct, weights, key_type), schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(trimmed(_pack(False)), _ROW).unionByName(back).groupBy("block").applyInArrow(_score(total, distinct, weights, key_type), schema).withColumnRenamed("key", key)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import lookup_join, materialize, small_batches
+from tessella.llm.common import lookup_join, materialize, small_batches, trimmed
 
 WORDS = 5
 PERCENT = 75
@@ -282,7 +282,7 @@ def _few(ids: DataFrame) -> DataFrame:
 def sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, set, sig) of some documents, shingled again: sets of all documents are never kept."""
     some = texts.join(_few(ids), texts["doc_id"] == ids["id"]).select("doc_id", "text")
-    return materialize(some.mapInArrow(_sets, "id long, set binary, sig binary").dropDuplicates(["id"]), "dup-sets")
+    return materialize(some.mapInArrow(trimmed(_sets), "id long, set binary, sig binary").dropDuplicates(["id"]), "dup-sets")
 
 
 def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     own = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "set")
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = partners.unionByName(own).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return materialize(dealt.mapInArrow(_confirm, "a long, b long"), "dup-links")
+    return materialize(dealt.mapInArrow(trimmed(_confirm), "a long, b long"), "dup-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -344,7 +344,7 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     small_batches(spark, 500)
     texts = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    signed = materialize(texts.mapInArrow(_sign, "doc_id long, n_shingles long, set_id binary, sig binary"), "dup-signed")
+    signed = materialize(texts.mapInArrow(trimmed(_sign), "doc_id long, n_shingles long, set_id binary, sig binary"), "dup-signed")
     full = signed.filter("doc_id is not null and n_shingles > 0")
     classes = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1"), "dup-classes")
     copies = classes.agg(F.sum("n")).first()[0] or 0
@@ -353,7 +353,7 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     reps = marked.filter("rep = doc_id")
     reps = materialize(reps.filter("alone").unionByName(reps.filter("not alone").dropDuplicates(["doc_id"])).select("doc_id", "n_shingles", "sig"), "dup-reps")
 
-    bands = reps.select("doc_id", "sig").mapInArrow(_band, "bucket long, doc_id long")
+    bands = reps.select("doc_id", "sig").mapInArrow(trimmed(_band), "bucket long, doc_id long")
     buckets = materialize(bands.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "dup-buckets")
     members = buckets.agg(F.sum("n")).first()[0] or 0
     banded = materialize(lookup_join(bands, buckets, "bucket", "n", members).filter("hub is not null"), "dup-banded")
@@ -378,11 +378,11 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         count = int(spark.conf.get("spark.sql.shuffle.partitions"))
         deal = lambda d: d.repartition(count, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
         member = "bucket long, i int, j int, part int, doc_id long, component long, n_shingles long"
-        near = materialize(deal(rows).mapInArrow(_open_members, member), "dup-near")
+        near = materialize(deal(rows).mapInArrow(trimmed(_open_members), member), "dup-near")
         ids = materialize(near.select(F.col("doc_id").alias("id")).distinct(), "dup-near-ids")
         loaded = near.join(sets_of(ids, texts).withColumnRenamed("id", "doc_id"), "doc_id")
         loaded = loaded.select("bucket", "i", "j", "part", "doc_id", "component", "n_shingles", "sig", "set")
-        more = materialize(deal(loaded).mapInArrow(_block_links, "a long, b long"), "dup-more")
+        more = materialize(deal(loaded).mapInArrow(trimmed(_block_links), "a long, b long"), "dup-more")
         links = materialize(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "dup-all-links")
         groups = components(links)
 

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fold, small_batches
+from tessella.llm.common import fold, small_batches, trimmed
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _WORD = re.compile(r"[^\W_]+")
 #: Leading characters of a word that are features beside the whole word.
 STEMS = (3, 4, 5, 6)
 #: Words that a worker remembers before it starts afresh.
-MEMO = 300_000
+MEMO = 120_000
 
 
 def features(word: str) -> list[str]:
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, vocabulary: in
     # at most about `sample` small rows, so the labels can be broadcast
     known = F.broadcast(known.filter(draw < min(1.0, sample / n)))
     rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
-    bags = rows.mapInArrow(_bags, "label int, f array<string>")
+    bags = rows.mapInArrow(trimmed(_bags), "label int, f array<string>")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
@@ -102,6 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, vocabulary: in
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, memo = place.value, {}
         for batch in batches:
+            if len(memo) > MEMO:
+                memo.clear()
             label, count, lens, ids = [], [], [], []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 empty, ln, fs = 0, [], []
@@ -122,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, vocabulary: in
                 ids.append(fs)
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(count, pa.int32()), pa.array(lens, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32()))], ["label", "bare", "lens", "ids"])
 
-    data = rows.mapInArrow(encode, "label int, bare int, lens array<int>, ids array<int>").toArrow()
+    data = rows.mapInArrow(trimmed(encode), "label int, bare int, lens array<int>, ids array<int>").toArrow()
     label = data.column("label").to_numpy().astype(float)
     bare = data.column("bare").to_numpy().astype(float)
     lens = data.column("lens").combine_chunks()
@@ -190,7 +192,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     small = docs.select(docs[text].alias("_text"), docs[key].alias("_key"), *(docs[c].alias(f"_c{i}") for i, c in enumerate(carry)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema.fields[1:]) + ", score double, predicted int" + ", offending array<struct<sentence:string,p:double>>" * spans
-    out = small.mapInArrow(run, schema).withColumnRenamed("_key", key)
+    out = small.mapInArrow(trimmed(run), schema).withColumnRenamed("_key", key)
     for i, c in enumerate(carry):
         out = out.withColumnRenamed(f"_c{i}", c)
     return out
