@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.arrays import let
+
 _EDGE = r"^[\x00-\x20]+|[\x00-\x20]+$"
 
 
@@ -19,8 +21,8 @@ def trim_nul(s: Column) -> Column:
 
 def _last_of_each(entries: Column) -> Column:
     """Map of (key, value) entries; of repeated keys the last value stands."""
-    later = lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"])
-    return F.map_from_entries(F.filter(entries, later))
+    last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda o: o["k"] == e["k"]))
+    return F.map_from_entries(let(entries, last))
 
 
 def description_header(text: Column) -> Column:

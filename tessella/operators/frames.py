@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.functions.arrays import let
 from tessella.plans import views as V
 from tessella.registry import query
 
@@ -113,17 +114,19 @@ _FIELD = "trim(regexp_extract(text, '\\|{0}\\s*=([^|]*)', 1))"
 
 @query("aperio_properties", f"SELECT event_id, 'Vendor Image Library v1' AS header, {_FIELD.format('AppMag')}::DOUBLE AS magnification, {_FIELD.format('MPP')}::DOUBLE AS mpp, {_FIELD.format('Title')} AS title, '' AS flag, {_FIELD.format('Note')} AS note, 5::INT AS fields FROM properties")
 def aperio_properties(spark, sf_dir):
-    m = T.description_properties(F.col("text"))
-    d = V.properties(spark, sf_dir).select("event_id", T.description_header(F.col("text")).alias("header"), m.alias("m"))
-    get = lambda k: F.try_element_at("m", F.lit(k))
-    return d.select("event_id", "header", T.number(get("AppMag")).alias("magnification"), T.number(get("MPP")).alias("mpp"), get("Title").alias("title"), get("Flag").alias("flag"), get("Note").alias("note"), F.size("m").alias("fields"))
+    def fields(m):
+        get = lambda k: F.try_element_at(m, F.lit(k))
+        return F.struct(T.number(get("AppMag")).alias("magnification"), T.number(get("MPP")).alias("mpp"), get("Title").alias("title"), get("Flag").alias("flag"), get("Note").alias("note"), F.size(m).alias("fields"))
+
+    d = V.properties(spark, sf_dir).select("event_id", T.description_header(F.col("text")).alias("header"), let(T.description_properties(F.col("text")), fields).alias("f"))
+    return d.select("event_id", "header", "f.*")
 
 
 @query("ndpi_properties", "SELECT event_id, event_type AS kind, (event_id % 9)::VARCHAR AS lens, 2::INT AS fields FROM events")
 def ndpi_properties(spark, sf_dir):
     text = F.concat(F.lit("Kind="), F.col("event_type"), F.lit("\r\nLens = "), (F.col("event_id") % 9).cast("string"), F.lit("\nEmpty=\n=None\nplain"))
-    d = V.table(spark, sf_dir, "events").select("event_id", T.line_properties(text).alias("m"))
-    return d.select("event_id", F.try_element_at("m", F.lit("Kind")).alias("kind"), F.try_element_at("m", F.lit("Lens")).alias("lens"), F.size("m").alias("fields"))
+    fields = lambda m: F.struct(F.try_element_at(m, F.lit("Kind")).alias("kind"), F.try_element_at(m, F.lit("Lens")).alias("lens"), F.size(m).alias("fields"))
+    return V.table(spark, sf_dir, "events").select("event_id", let(T.line_properties(text), fields).alias("f")).select("event_id", "f.*")
 
 
 @query("associated_name", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'label' WHEN 1 THEN 'macro2' ELSE '' END AS name FROM events")
