@@ -2,13 +2,13 @@
 
 Samples become frames of twelve pitch-class energies.  Sixteen rectangle filters
 over the integral image of the frames, two Gray-coded bits each, give one packed
-32-bit integer for every window of frames.  Recordings that share an integer vote
-for the offset between them; the offsets with most votes are confirmed by the
-share of differing bits over the overlap.
+32-bit integer for every window of frames.  Queries are compared with all recordings
+at all offsets; a match is told by the share of differing bits over the overlap.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +32,10 @@ CUTS = (-0.25, 0.0, 0.25)
 MOST_ERRORS, LEAST_OVERLAP = 0.15, 16
 #: Lists of bare ids of at most so many rows are broadcast.
 ID_ROWS = 500_000
+#: Words of queries that go to all tasks at once, 4 bytes each.
+ROUND_WORDS = 2_000_000
+#: Columns of matches.
+MATCH = "q long, r long, offset int, overlap int, errors double"
 
 
 def _pitch_weights() -> np.ndarray:
@@ -148,32 +152,130 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return end - start, int(np.bitwise_count(x).sum()) / (32 * (end - start))
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for q, r, offset, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            overlap, errors = bit_errors(np.array(x, np.int32), np.array(y, np.int32), offset)
-            if overlap >= LEAST_OVERLAP and errors <= MOST_ERRORS:
-                for c, v in zip(out, (q, r, offset, overlap, errors), strict=True):
-                    c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["q", "r", "offset", "overlap", "errors"])
+def _lay_out(prints: list[np.ndarray], n: int) -> dict[str, np.ndarray]:
+    """Recordings end to end, so far apart that a query of ``n`` words overlaps one of them by LEAST_OVERLAP at most places only.
+
+    words and pairs (of neighbouring words) by place; for each place a query may
+    start at: the recording, the offset, and the query's first and last word over it.
+    """
+    gap = n - LEAST_OVERLAP
+    sizes = np.array([len(p) for p in prints])
+    starts = gap + np.concatenate([[0], np.cumsum(sizes + gap)[:-1]])
+    words = np.zeros(starts[-1] + sizes[-1] + gap, np.uint32)
+    for at, p in zip(starts, prints, strict=True):
+        words[at : at + len(p)] = p
+    places = sizes + n - 2 * LEAST_OVERLAP + 1
+    which = np.repeat(np.arange(len(prints)), places)
+    at = np.arange(len(which)) - np.repeat(np.cumsum(places) - places, places) + starts[which] - gap
+    offset = starts[which] - at
+    first, last = np.maximum(offset, 0), np.minimum(offset + sizes[which], n)
+    pairs = words[:-1] | words[1:].astype(np.uint64) << np.uint64(32)
+    most = np.floor(32 * (last - first) * MOST_ERRORS + 1e-6).astype(np.int64)
+    return {"words": words, "pairs": pairs, "which": which, "at": at, "offset": offset, "first": first, "last": last, "most": most}
+
+
+def _differing(query: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Differing bits of the query against what lies at each place it may start at."""
+    n, places = len(query), len(words) - len(query) + 1
+    total, some = np.zeros(places, np.uint32), np.zeros(places, np.uint8)
+    both, bits = np.empty(places, np.uint64), np.empty(places, np.uint8)
+    twos = query[: n // 2 * 2 : 2] | query[1::2].astype(np.uint64) << np.uint64(32)
+    for k, two in enumerate(twos):
+        np.bitwise_count(np.bitwise_xor(pairs[2 * k : 2 * k + places], two, out=both), out=bits)
+        some += bits
+        if k % 3 == 2:  # 3 * 64 bits fit a byte
+            total += some
+            some[:] = 0
+    total += some
+    if n % 2:
+        total += np.bitwise_count(words[n - 1 :] ^ query[-1])
+    return total
+
+
+def best_offsets(queries: list[np.ndarray], prints: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, float]]:
+    """(query, recording, offset, overlap, errors) of each pair that matches at any offset; all offsets are compared.
+
+    The best one of a pair: fewest errors, then most overlap, then least offset.
+    """
+    kept = [k for k, p in enumerate(prints) if len(p) >= LEAST_OVERLAP]
+    by_size: dict[int, list[int]] = {}
+    for k, q in enumerate(queries):
+        by_size.setdefault(len(q), []).append(k)
+    for n, members in by_size.items():
+        if n < LEAST_OVERLAP or not kept:
+            continue
+        d = _lay_out([prints[k] for k in kept], n)
+        for k in members:
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(queries[k]), dtype=np.int64)])
+            # words over a gap differ in the query's own bits
+            errors = _differing(queries[k], d["words"], d["pairs"])[d["at"]] - (before[d["first"]] + before[n] - before[d["last"]])
+            near = np.flatnonzero(errors <= d["most"])
+            if len(near):
+                overlap = d["last"][near] - d["first"][near]
+                share, r, offset = errors[near] / (32 * overlap), d["which"][near], d["offset"][near]
+                order = np.lexsort((offset, -overlap, share, r))
+                for i in order[np.concatenate([[True], r[order][1:] != r[order][:-1]])]:
+                    if share[i] <= MOST_ERRORS:
+                        yield k, kept[r[i]], int(offset[i]), int(overlap[i]), float(share[i])
+
+
+def _compare(prints: DataFrame, ids: list[int], queries: list[np.ndarray], itself: bool) -> DataFrame:
+    """Matches of some queries, which every task gets, in one pass over ``prints``."""
+    shared = prints.sparkSession.sparkContext.broadcast((ids, queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, words = shared.value
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            listed = batch.column(1)
+            ends, flat = listed.offsets.to_numpy(), listed.values.to_numpy(zero_copy_only=False).view(np.uint32)
+            recordings = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            out = [(asked[q], names[r], *rest) for q, r, *rest in best_offsets(words, recordings) if itself or asked[q] != names[r]]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds, strict=True)], ["q", "r", "offset", "overlap", "errors"])
+
+    out = materialize(prints.mapInArrow(run, MATCH), "audio-matches")
+    shared.unpersist()
+    return out
 
 
-def align(prints: DataFrame, asked: DataFrame, votes: int = 1, itself: bool = False) -> DataFrame:
+def align(prints: DataFrame, asked: DataFrame, itself: bool = False) -> DataFrame:
     """Matches (q, r, offset, overlap, errors) of the recordings ``asked`` among ``prints``, both (id, fingerprint).
 
-    Both are written tables with unique ids.  Each shared integer votes for an offset;
-    every offset with at least ``votes`` votes is a candidate, and the best confirmed
-    one of a pair is returned (fewest errors, then most overlap, then least offset).
+    Both are written tables with unique ids.  Every query is compared with every
+    recording at every offset: bits that differ may lie in all words, so no shared
+    integer can be asked for.  The best match of a pair is returned (fewest errors,
+    then most overlap, then least offset).  Queries go out in rounds of ROUND_WORDS,
+    each one pass over the recordings, so neither side has to fit a machine.
     ``itself`` keeps matches of equal ids, for queries that were altered.
     """
-    posts = prints.select("id", F.posexplode("fingerprint").alias("at", "word"))
-    asks = asked.select(F.col("id").alias("q"), F.posexplode("fingerprint").alias("q_at", "word"))
-    hits = asks.join(posts, "word").filter(F.lit(itself) | (F.col("q") != F.col("id"))).select("q", F.col("id").alias("r"), (F.col("q_at") - F.col("at")).alias("offset"))
-    ballot = materialize(hits.groupBy("q", "r", "offset").agg(F.count("*").alias("votes")).filter(F.col("votes") >= votes), "audio-votes")
-    left, right = asked.select(F.col("id").alias("q"), F.col("fingerprint").alias("x")), prints.select(F.col("id").alias("r"), F.col("fingerprint").alias("y"))
-    found = ballot.join(left, "q").join(right, "r").select("q", "r", "offset", "x", "y").mapInArrow(_confirm, "q long, r long, offset int, overlap int, errors double")
-    return found.groupBy("q", "r").agg(F.min(F.struct("errors", (-F.col("overlap")).alias("o"), "offset")).alias("best")).select("q", "r", "best.offset", (-F.col("best.o")).alias("overlap"), "best.errors")
+    spark = prints.sparkSession
+    small_batches(spark, 500)
+    rows, least = prints.count(), spark.sparkContext.defaultParallelism
+    dealt: DataFrame | None = None
+    found: list[DataFrame] = []
+    ids: list[int] = []
+    queries: list[np.ndarray] = []
+
+    def send() -> None:
+        nonlocal dealt
+        if dealt is None:
+            dealt = materialize(prints.select("id", "fingerprint").repartition(max(3 * least, min(2_000, rows // 1_000))), "audio-dealt")
+        found.append(_compare(dealt, list(ids), list(queries), itself))
+        ids.clear()
+        queries.clear()
+
+    held = 0
+    for row in asked.select("id", "fingerprint").toLocalIterator():
+        ids.append(row[0])
+        queries.append(np.array(row[1] or [], np.int32).view(np.uint32))
+        held += len(queries[-1])
+        if held >= ROUND_WORDS:
+            send()
+            held = 0
+    if ids:
+        send()
+    return functools.reduce(DataFrame.union, found) if found else spark.createDataFrame([], MATCH)
 
 
 def excerpt(samples: np.ndarray, start: int = 10 * HOP, noise: float = 0.05) -> np.ndarray:
