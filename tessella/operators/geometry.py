@@ -282,3 +282,31 @@ def render_region(spark, sf_dir):
     values = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get("row", F.col("rx") + 2 * i))
     v = read.select("image_id", "plane", "level", F.explode(values).alias("v"))
     return v.groupBy("image_id", "plane", "level").agg(F.count("*").alias("pixels"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("peak"))
+
+
+@query(
+    "render_region_whole",
+    _BEST.strip().replace(
+        "SELECT image_id, x0, y0, rw, rh, d, n, level FROM best WHERE k = 1",
+        """, sides AS (SELECT image_id AS plane, max(x) + 1 AS pw, max(y) + 1 AS ph FROM raster GROUP BY ALL),
+asked AS (SELECT image_id, level, plane, x0 % pw AS rx, y0 % ph AS ry, rw, rh, ((1 << level) * greatest(1, floor(d / (1 << level))))::INT AS step FROM best JOIN sides ON plane = image_id % (SELECT max(plane) + 1 FROM sides) WHERE k = 1)
+SELECT a.image_id, plane, level, count(*) AS pixels, round(avg(v)::DOUBLE, 6) AS mean, max(v) AS peak FROM asked a JOIN raster r ON r.image_id = plane AND r.y >= ry AND r.y < ry + rh AND r.x >= rx AND r.x < rx + rw AND (r.y - ry) % step = 0 AND (r.x - rx) % step = 0 GROUP BY ALL""",
+    ),
+)
+def render_region_whole(spark, sf_dir):
+    """The minimum slice on all planes: best level, the region in its own size clipped to the plane, and statistics of what is read.
+
+    The step is the level's scale times the whole part of what is left of the downsample.
+    """
+    rows = V.planes(spark, sf_dir).select(F.col("image_id").alias("plane"), "y", "row")
+    sides = rows.groupBy("plane").agg(F.max(F.size("row")).alias("pw"), (F.max("y") + 1).alias("ph"))
+    asked = best_level(V.requests(spark, sf_dir), V.levels(spark, sf_dir)).crossJoin(F.broadcast(sides.agg((F.max("plane") + 1).alias("planes"))))
+    asked = asked.withColumn("plane", F.col("image_id") % F.col("planes")).join(sides, "plane")
+    scale = F.call_function("shiftleft", F.lit(1), F.col("level"))
+    asked = asked.select("image_id", "plane", "level", "rw", "rh", "pw", "ph", (F.col("x0") % F.col("pw")).alias("rx"), (F.col("y0") % F.col("ph")).alias("ry"), (scale * F.greatest(F.lit(1), F.floor(F.col("d") / scale))).cast("int").alias("step"))
+    inside = lambda at, size, side: F.sequence(F.col(at).cast("int"), (F.least(F.col(at) + F.col(size), F.col(side)) - 1).cast("int"), F.col("step"))
+    asked = asked.select("image_id", "plane", "level", inside("rx", "rw", "pw").alias("xs"), F.explode(inside("ry", "rh", "ph")).alias("y"))
+    read = asked.join(rows, ["plane", "y"]).withColumn("vs", F.transform("xs", lambda x: F.get("row", x)))
+    of_row = read.select("image_id", "plane", "level", F.size("vs").alias("n"), F.aggregate("vs", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.array_max("vs").alias("peak"))
+    out = of_row.groupBy("image_id", "plane", "level").agg(F.sum("n").alias("pixels"), F.sum("total").alias("total"), F.max("peak").alias("peak"))
+    return out.select("image_id", "plane", "level", "pixels", F.round(F.col("total") / F.col("pixels"), 6).alias("mean"), "peak")
