@@ -206,6 +206,17 @@ def custom_float_decode(spark, sf_dir):
     return d.select(*KEY, (_r(S.custom_float(F.col("v"), 4, 3)) + 0.0).alias("value"))
 
 
+@query(
+    "custom_float_classes",
+    "SELECT image_id, y, x, CASE WHEN (v >> 3) % 16 < 15 THEN 'finite' WHEN v % 8 > 0 THEN 'nan' WHEN (v >> 7) % 2 = 1 THEN '-inf' ELSE 'inf' END AS class, CASE WHEN (v >> 3) % 16 < 15 THEN 0.0 + round(CASE WHEN (v >> 7) % 2 = 1 THEN -1 ELSE 1 END * CASE WHEN (v >> 3) % 16 = 0 THEN (v % 8) * pow(2.0::DOUBLE, -9) ELSE (1 + (v % 8) / 8.0::DOUBLE) * pow(2.0::DOUBLE, (v >> 3) % 16 - 7) END, 6) END AS value FROM raster",
+)
+def custom_float_classes(spark, sf_dir):
+    """Every sample as a float; infinities and NaN have a class and no value."""
+    d = V.raster(spark, sf_dir).withColumn("f", S.custom_float(F.col("v"), 4, 3))
+    kind = F.when(F.isnan("f"), "nan").when(F.col("f") == float("inf"), "inf").when(F.col("f") == float("-inf"), "-inf").otherwise("finite")
+    return d.select(*KEY, kind.alias("class"), F.when(kind == "finite", _r(F.col("f")) + 0.0).alias("value"))
+
+
 @query("quantise_deadzone", "SELECT image_id, y, x, (sign(v - 128) * least(40, floor(abs(v - 128) / 2.5::DOUBLE)))::INT AS q, round((sign(v - 128) * least(40, floor(abs(v - 128) / 2.5::DOUBLE)))::INT * 2.5::DOUBLE * 0.5, 6) AS back FROM raster")
 def quantise_deadzone(spark, sf_dir):
     d = V.raster(spark, sf_dir).withColumn("q", S.quantise(F.col("v") - 128, 2.5, 40))

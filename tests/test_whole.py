@@ -29,3 +29,12 @@ def test_regions_read_every_plane(spark, sf_dir):
         assert (r.plane, r.pixels, r.peak) == (plane, len(v), max(v)) and abs(r.mean - sum(v) / len(v)) < 1e-6
         checked += 1
     assert checked
+
+
+def test_floats_of_every_sample(spark, sf_dir):
+    out = QUERIES["custom_float_classes"](spark, sf_dir)
+    assert out.count() == V.raster(spark, sf_dir).count()
+    kinds = {r["class"]: r["count"] for r in out.groupBy("class").count().collect()}
+    assert kinds["finite"] == QUERIES["custom_float_decode"](spark, sf_dir).count() and kinds["nan"] and kinds["inf"]
+    print(kinds)
+    assert out.filter("(value is null) = (class = 'finite')").count() == 0
