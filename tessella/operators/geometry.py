@@ -181,6 +181,13 @@ def background_fill(spark, sf_dir):
     return tiles(V.levels(spark, sf_dir).filter("level = 3")).join(data, ["image_id", "tx"], "left").select("image_id", "tile", F.coalesce("v", F.lit(255)).alias("v"))
 
 
+@query("background_fill_levels", f"SELECT t.image_id, level, tile, coalesce(v, 255) AS v FROM ({_TILES}) t LEFT JOIN (SELECT o_orderkey AS image_id, max(l_partkey % 255)::INT AS v, 0::BIGINT AS tx FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) s ON s.image_id = t.image_id AND s.tx = t.tx")
+def background_fill_levels(spark, sf_dir):
+    """Tiles without data are painted with the background value, on all levels."""
+    data = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.max(F.col("l_partkey") % 255).cast("int").alias("v")).withColumn("tx", F.lit(0).cast("long"))
+    return tiles(V.levels(spark, sf_dir)).join(data, ["image_id", "tx"], "left").select("image_id", "level", "tile", F.coalesce("v", F.lit(255)).alias("v"))
+
+
 @query("style_precedence_coalesce", "SELECT o.o_orderkey, c.c_custkey, coalesce(t.l_quantity, CASE WHEN o.o_orderkey % 3 = 0 THEN o.o_totalprice END, CASE WHEN c.c_custkey % 2 = 0 THEN c.c_acctbal END, n.n_nationkey::DOUBLE) AS style FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber = 7 GROUP BY 1) t ON t.l_orderkey = o.o_orderkey")
 def style_precedence_coalesce(spark, sf_dir):
     """Four sources in order of precedence: tile component, tile, main component, main."""
@@ -269,6 +276,19 @@ def geometry_bands(spark, sf_dir):
     return d.select("*", blocks("x0", "x1").alias("blocks_x"), blocks("y0", "y1").alias("blocks_y"), (F.col("xo") + F.col("yo")).alias("gain"))
 
 
+@query("geometry_bands_levels", "WITH b AS (SELECT image_id, level, w, h, nb, o[1]::INT AS xo, o[2]::INT AS yo FROM levels, (SELECT unnest(range(1, 4))::INT AS nb), (SELECT unnest([[1, 0], [0, 1], [1, 1]]) AS o)), g AS (SELECT image_id, level, nb, xo, yo, ((17 - xo * (1 << (nb - 1)) + (1 << nb) - 1) >> nb)::BIGINT AS x0, ((9 - yo * (1 << (nb - 1)) + (1 << nb) - 1) >> nb)::BIGINT AS y0, (w - xo * (1 << (nb - 1)) + (1 << nb) - 1) >> nb AS x1, (h - yo * (1 << (nb - 1)) + (1 << nb) - 1) >> nb AS y1 FROM b) SELECT image_id, level, nb, xo, yo, x0, y0, x1, y1, ((x1 + 63) >> 6) - (x0 >> 6) AS blocks_x, ((y1 + 63) >> 6) - (y0 >> 6) AS blocks_y, xo + yo AS gain FROM g")
+def geometry_bands_levels(spark, sf_dir):
+    """Sub-band rectangles of three decomposition levels of every level of the pyramid, and their 64 x 64 code-block grids."""
+    d = V.levels(spark, sf_dir).withColumn("nb", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    d = d.select("image_id", "level", "w", "h", "nb", F.inline(F.array(*(F.struct(F.lit(x).alias("xo"), F.lit(y).alias("yo")) for x, y in ((1, 0), (0, 1), (1, 1))))))
+    one = F.lit(1).cast("long")
+    shl, shr = lambda a, n: F.call_function("shiftleft", a, n), lambda a, n: F.call_function("shiftright", a, n)
+    edge = lambda c, o: shr(c - F.col(o) * shl(one, F.col("nb") - 1) + shl(one, F.col("nb")) - 1, F.col("nb"))
+    d = d.select("image_id", "level", "nb", "xo", "yo", edge(F.lit(17).cast("long"), "xo").alias("x0"), edge(F.lit(9).cast("long"), "yo").alias("y0"), edge(F.col("w"), "xo").alias("x1"), edge(F.col("h"), "yo").alias("y1"))
+    blocks = lambda a, b: F.shiftright(F.col(b) + 63, 6) - F.shiftright(F.col(a), 6)
+    return d.select("*", blocks("x0", "x1").alias("blocks_x"), blocks("y0", "y1").alias("blocks_y"), (F.col("xo") + F.col("yo")).alias("gain"))
+
+
 @query(
     "render_region",
     _BEST.strip().replace("SELECT image_id, x0, y0, rw, rh, d, n, level FROM best WHERE k = 1", "SELECT b.image_id, r.image_id AS plane, level, count(*) AS pixels, round(avg(v)::DOUBLE, 6) AS mean, max(v) AS peak FROM best b JOIN raster r ON r.image_id = b.image_id % 7 AND r.y >= b.y0 % 48 AND r.y < b.y0 % 48 + 16 AND r.x >= b.x0 % 48 AND r.x < b.x0 % 48 + 16 AND (r.y - b.y0 % 48) % 2 = 0 AND (r.x - b.x0 % 48) % 2 = 0 WHERE k = 1 GROUP BY ALL"),

@@ -38,3 +38,11 @@ def test_floats_of_every_sample(spark, sf_dir):
     assert kinds["finite"] == QUERIES["custom_float_decode"](spark, sf_dir).count() and kinds["nan"] and kinds["inf"]
     print(kinds)
     assert out.filter("(value is null) = (class = 'finite')").count() == 0
+
+
+def test_levels_are_all_used(spark, sf_dir):
+    for name, part in (("background_fill_levels", "background_fill"), ("geometry_bands_levels", "geometry_bands")):
+        rows = {r["level"]: r["count"] for r in QUERIES[name](spark, sf_dir).groupBy("level").count().collect()}
+        assert set(rows) == set(range(5))
+        assert rows[{"background_fill": 3, "geometry_bands": 1}[part]] == QUERIES[part](spark, sf_dir).count()
+        print(name, sum(rows.values()), rows)
