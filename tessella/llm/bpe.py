@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import small_batches, trimmed
+from tessella.llm.common import trimmed
 
 #: Distinct pre-tokens that a worker remembers before it starts afresh.
 MEMO = 200_000
@@ -103,8 +103,6 @@ class Codec:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         return b"".join(map(self.memo.__getitem__, self.find(text)))
 
     def decode(self, packed: bytes) -> bytes:
@@ -119,6 +117,8 @@ class _Memo(dict):
     def __missing__(self, piece: str) -> bytes:
         out = self.codec.encode_piece(piece)
         if len(piece) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
             self[piece] = out
         return out
 
@@ -129,12 +129,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, key: str =
     Returns key, n_tokens, ids_sha256, decoded_sha256 and, with ``with_ids``, ids (array of int).
     A null text counts as empty: 0 tokens and the digests of no bytes.  Repeated
     rows are encoded each; other columns of ``docs``, whatever their names, are ignored.
+    Whole texts are encoded however long; a task holds some hundred of them at a time.
     The vocabulary file (under a few MB) is read on the driver and broadcast.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     ranks = load_ranks(vocabulary)
-    shared = spark.sparkContext.broadcast((ranks, serialize_model(ranks)))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, serialize_model(ranks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = shared.value

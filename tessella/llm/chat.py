@@ -35,22 +35,24 @@ def format_conversations(rows: DataFrame, learn: tuple[str, ...] = ("assistant",
 
     Turns are ordered by (turn, role, text), null first.  Null texts and roles are
     empty; rows with a null conv_id form one conversation; repeated rows are turns
-    of their own.  ``loss_spans`` are (start, length) in characters of ``formatted``,
-    0-based: one for each text of a role in ``learn``, without the marks around it.
-    An empty table gives no rows; other columns are ignored.
+    of their own.  ``loss_spans`` are (start, length) in characters of ``formatted``
+    and (byte_start, byte_length) in its UTF-8 bytes, 0-based: one for each text of a
+    role in ``learn``, without the marks around it.  An empty table gives no rows; other
+    columns are ignored.  Work grows with a conversation's length (offsets: n log n);
+    a conversation is one row, of 2 GB at most.
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    # every array that a lambda looks into is bound by let(): a column would be computed again for each element
 
-    def merge(acc: Column, x: Column) -> Column:
-        one = F.struct(x["role"].alias("role"), F.array(x["text"]).alias("texts"))
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(x["text"])).alias("texts"))
-        same = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["role"] == x["role"])
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(one)))
+    def split(turns: Column) -> Column:
+        role = lambda i: F.get(turns, i)["role"]
+        changes = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
+        texts = lambda i, end: F.transform(F.sequence(i, end - 1), lambda j: F.get(turns, j)["text"])
+        block = lambda cuts, k: F.struct(role(F.get(cuts, k)).alias("role"), texts(F.get(cuts, k), F.get(cuts, k + 1)).alias("texts"))
+        return let(F.concat(changes, F.array(F.size(turns))), lambda cuts: F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda k: block(cuts, k)))
 
-    chats = chats.select("conv_id", F.aggregate("turns", empty, merge).alias("blocks"))
+    chats = chats.select("conv_id", let(F.col("turns"), split).alias("blocks"))
     # the pieces of the format in order, with whether each is under the mask
     piece = lambda text, learned: F.struct(text.alias("text"), learned.alias("learned"))
     no = F.lit(False)
@@ -61,16 +63,27 @@ def format_conversations(rows: DataFrame, learn: tuple[str, ...] = ("assistant",
         texts = F.flatten(F.transform(b["texts"], lambda t, i: F.array(piece(F.when(i == 0, head).otherwise(F.lit(SEP)), no), piece(escape(t), learned))))
         return F.concat(texts, F.array(piece(F.lit(END), no)))
 
-    chats = chats.withColumn("pieces", F.concat(F.array(piece(F.lit(START), no)), F.flatten(F.transform("blocks", pieces))))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    def offsets(pieces: Column, chars: Column, octets: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            n, m = F.char_length(x["text"]).cast("bigint"), F.octet_length(x["text"]).cast("bigint")
+            return F.struct((F.get(chars, i) - n).alias("start"), n.alias("length"), (F.get(octets, i) - m).alias("byte_start"), m.alias("byte_length"))
 
-    def step(acc: Column, x: Column) -> Column:
-        n = F.char_length(x["text"])
-        span = F.array(F.struct(acc["at"].alias("start"), n.alias("length")))
-        return F.struct((acc["at"] + n).alias("at"), F.when(x["learned"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        return F.filter(F.transform(pieces, lambda x, i: F.when(x["learned"], span(x, i))), lambda s: s.isNotNull())
 
-    spans = F.aggregate("pieces", state, step, lambda acc: acc["spans"])
-    return chats.select("conv_id", F.array_join(F.transform("pieces", lambda x: x["text"]), "").alias("formatted"), spans.alias("loss_spans"))
+    def written(pieces: Column) -> Column:
+        chars = running_sum(F.transform(pieces, lambda x: F.char_length(x["text"]).cast("bigint")))
+        octets = running_sum(F.transform(pieces, lambda x: F.octet_length(x["text"]).cast("bigint")))
+        spans = let(chars, lambda c: let(octets, lambda o: offsets(pieces, c, o)))
+        return F.struct(F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("formatted"), spans.alias("loss_spans"))
+
+    all_pieces = F.concat(F.array(piece(F.lit(START), no)), F.flatten(F.transform("blocks", pieces)))
+    return chats.select("conv_id", let(all_pieces, written).alias("_w")).select("conv_id", "_w.formatted", "_w.loss_spans")
+
+
+def running_sum(values: Column) -> Column:
+    """The sums of the first 1, 2, ... numbers of an array, by doubling: n log n steps instead of n copies of n numbers."""
+    add = lambda acc, k: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.pow(F.lit(2), k).cast("int")), F.lit(0)))
+    return let(values, lambda v: F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(v) + 1)).cast("int")), v, add))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -90,7 +103,9 @@ def read_turns(formatted: Column) -> Column:
 def digest(chats: DataFrame) -> DataFrame:
     """Read the formatted conversations back and digest turns and masked text."""
     turns = let(read_turns(F.col("formatted")), lambda t: F.struct(F.size(t).cast("bigint").alias("n"), F.sha2(F.array_join(F.transform(t, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256).alias("sha")))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    # by bytes: a place in characters would be counted from the start of the text each time
+    cut = lambda b, s: F.decode(F.substring(b, (s["byte_start"] + 1).cast("int"), s["byte_length"].cast("int")), "UTF-8")
+    loss = let(F.encode("formatted", "UTF-8"), lambda b: F.array_join(F.transform("loss_spans", lambda s: unescape(cut(b, s))), ""))
     seen = chats.select("conv_id", turns.alias("turns"), let(loss, lambda x: F.struct(F.char_length(x).cast("bigint").alias("n"), F.sha2(x, 256).alias("sha"))).alias("loss"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
     return seen.select("conv_id", F.col("turns.n").alias("n_turns"), F.col("turns.sha").alias("turns_sha256"), F.col("loss.n").alias("loss_chars"), F.col("loss.sha").alias("loss_sha256"), "formatted_chars")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fold, small_batches, trimmed
+from tessella.llm.common import fold, trimmed
 
 #: Trigrams are hashed to so many buckets; a model has languages x BUCKETS numbers.
 BUCKETS = 1 << 15
@@ -27,12 +27,13 @@ UNDETERMINED = "und"
 
 _TABLE = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
 _SPACES = re.compile(rb" +")
-_LETTER = re.compile(r"[^\W\d_]")
+#: A model of at most so many bytes goes to the driver and to every task.
+MOST_BYTES = 512 << 20
 
 
 def trigram_counts(text: str) -> np.ndarray | None:
     """Bucket counts of the letters' byte trigrams, words set off by one space; None without a letter."""
-    if not _LETTER.search(text):
+    if not any(map(str.isalpha, text)):
         return None
     raw = b" " + _SPACES.sub(b" ", text.lower().encode("utf-8").translate(_TABLE)).strip() + b" "
     b = np.frombuffer(raw, np.uint8).astype(np.uint32)
@@ -96,7 +97,8 @@ def fit(docs: DataFrame, per_language: int = 2_000, folds: int = 5, held_out: in
     """Fit on about ``per_language`` documents of each lang value, drawn by a hash of doc_id.
 
     Only rows with text, lang and doc_id whose crc32(doc_id) mod ``folds`` is not
-    ``held_out`` are eligible.  The model collected holds languages x BUCKETS counts.
+    ``held_out`` are eligible.  The model collected holds languages x BUCKETS counts,
+    of MOST_BYTES at most: more values of lang raise an error.
     """
     rows = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", folds) != held_out))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -106,6 +108,8 @@ def fit(docs: DataFrame, per_language: int = 2_000, folds: int = 5, held_out: in
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1_000_003)) / 1_000_003
     sums = rows.filter(draw < share).select("lang", "text").mapInArrow(trimmed(_gram_rows), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     langs = sorted(sizes)
+    if 8 * BUCKETS * len(langs) > MOST_BYTES:
+        raise ValueError(f"{len(langs)} values of lang are more than a model can hold")
     counts = np.zeros((len(langs), BUCKETS))
     table = sums.toArrow()
     if table.num_rows:
@@ -122,11 +126,11 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
     ``lang_pred`` is the chosen language with the largest proportion and ``score``
     that proportion.  A null, empty or letterless text, or a model fitted on no
-    rows, gives ``und``, score 0 and an empty map.  Only the text is looked at.
+    rows, gives ``und``, score 0 and an empty map.  A letter is what Unicode calls one:
+    digits, fractions and numerals are none.  Only the text is looked at, and the whole
+    of it, however long; a task holds one text's counts at a time.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

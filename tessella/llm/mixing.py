@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import BROADCAST_ROWS, lookup_join, materialize
 
 #: Weights of the sources in code-point order, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -52,10 +52,13 @@ def _ordered(docs: DataFrame, key: str, text: str, source: str, weights: tuple[f
     shares = [float(weights[i % len(weights)]) for i in range(len(known))]
     goal = targets([r["size"] for r in known], shares)
     plan = spark.createDataFrame(
-        [(r["source"], r["size"], t, int(t) // r["size"] if r["size"] else 0, int(t) % r["size"] if r["size"] else 0, max(1, min(RANGES, r["n"] // RANGE_ROWS))) for r, t in zip(known, goal, strict=True)],
-        "_source string, source_size long, target double, epochs long, rest long, ranges long",
+        [(r["source"], r["size"], t, int(t) // r["size"] if r["size"] else 0, int(t) % r["size"] if r["size"] else 0, max(1, min(RANGES, r["n"] // RANGE_ROWS)), r["n"]) for r, t in zip(known, goal, strict=True)],
+        "_source string, source_size long, target double, epochs long, rest long, ranges long, n long",
     )
-    rows = slim.join(F.broadcast(plan), slim["source"].eqNullSafe(plan["_source"])).drop("_source")
+    # null is a source of its own, so it gets a key
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    plan = plan.withColumn("_key", named("_source")).drop("_source")
+    rows = lookup_join(slim.withColumn("_key", named("source")), plan, "_key", "n", sum(r["n"] for r in known)).drop("_key")
     # the first 16 bits of the hash, cut into the source's ranges
     rows = rows.withColumn("range", F.floor(F.conv(F.substring("draw", 1, 4), 16, 10).cast("long") * F.col("ranges") / 65536))
     sums = materialize(rows.groupBy("source", "range").agg(F.sum("size").alias("n")), "mix-ranges")
@@ -106,8 +109,10 @@ def mix_whole(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     taken = (F.col("before") < F.col("rest")) & ((F.col("rest") - F.col("before")) * 2 >= F.col("size"))
     kind = docs.schema[key].dataType.simpleString()
     cuts = rows.groupBy("source", "epochs").agg(F.max(F.when(taken, F.struct("draw", "key"))).alias("cut")).collect()
+    many = len(cuts)
     cuts = spark.createDataFrame([(r["source"], r["epochs"], r["cut"]) for r in cuts], f"_source string, _epochs long, _cut struct<draw:string,key:{kind}>")
-    found = docs.join(F.broadcast(cuts), docs[source].eqNullSafe(cuts["_source"]))
+    few = F.broadcast(cuts) if many <= BROADCAST_ROWS else cuts
+    found = docs.join(few, docs[source].eqNullSafe(cuts["_source"]))
     more = F.coalesce(F.struct(draw(docs[key], seed).alias("draw"), docs[key].alias("key")) <= F.col("_cut"), F.lit(False))
     copies = F.col("_epochs") + more.cast("int")
     return found.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*(docs[c] for c in docs.columns))

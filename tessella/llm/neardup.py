@@ -15,10 +15,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import lookup_join, materialize, small_batches, trimmed
+from tessella.llm.common import discard, fits, lookup_join, materialize, trimmed
 
 WORDS = 5
 PERCENT = 75
@@ -29,8 +29,12 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 16, 1e-6
 #: The first hashes, one byte of each, are compared inside a bucket.
 FIRST = 64
-#: Bucket members that one block holds.
-BLOCK = 800
+#: Bucket members that a part of a block holds: of first bytes, and of full sets.
+WIDE, BLOCK = 4_000, 800
+#: Bytes of full sets that a part of a block holds on average; a single larger set is a part.
+SET_BYTES = 16 << 20
+#: Sizes of a pair that can be linked differ by less than this factor.
+CLASS = 1.34
 #: Lists of bare ids of at most so many rows are broadcast.
 ID_ROWS = 500_000
 #: Words whose hashes a worker remembers before it starts afresh.
@@ -143,7 +147,8 @@ def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             keys = band_keys(_matrix(batch.column(1), np.uint32, HASHES))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "doc_id"])
+            ids, sizes = (np.repeat(batch.column(c).to_numpy(), BANDS) for c in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(sizes)], ["bucket", "doc_id", "n_shingles"])
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,14 +178,14 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of rows with the same (bucket, i, j), which the rows come sorted by."""
+    """Runs of rows with the same (bucket, class, i, j), which the rows come sorted by."""
     key, rows = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:3] != key:
+            if row[:4] != key:
                 if len(rows) > 1:
                     yield key, rows
-                key, rows = row[:3], []
+                key, rows = row[:4], []
             rows.append(row)
     if len(rows) > 1:
         yield key, rows
@@ -190,9 +195,9 @@ class _Block:
     """Members of a block; each pair of different groups is met once, those of one part of two in their own block."""
 
     def __init__(self, key: tuple, rows: list[tuple]):
-        self.parts = None if key[1] == key[2] else np.array([r[3] for r in rows])
-        self.first = key[1]
-        self.ids, self.group, self.n = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
+        self.parts = None if key[2] == key[3] else np.array([r[4] for r in rows])
+        self.first = key[2]
+        self.ids, self.group, self.n = (np.array([r[k] for r in rows], np.int64) for k in (5, 6, 7))
 
     def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
         """(member, later or opposite members that their groups and sizes leave)."""
@@ -211,19 +216,19 @@ class _Block:
 
 def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of a block that have a partner in another group which their first hashes do not rule out."""
-    least, names = least_matches(FIRST), ["bucket", "i", "j", "part", "doc_id", "component", "n_shingles"]
+    least, names = least_matches(FIRST), ["bucket", "doc_id", "component", "n_shingles"]
     for key, rows in _blocks(batches):
         block, found = _Block(key, rows), np.zeros(len(rows), bool)
-        first = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, FIRST)
+        first = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(-1, FIRST)
         for k, others in block.pairs():
             if found[k] and found[others].all():
                 continue
             near = others[(first[others] == first[k]).sum(axis=1) >= least]
             found[near] = True
             found[k] |= len(near) > 0
-        kept = [r[:7] for r, f in zip(rows, found, strict=True) if f]
+        kept = [(r[0], *r[5:8]) for r, f in zip(rows, found, strict=True) if f]
         if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if x in ("i", "j", "part") else pa.int64()) for x, c in zip(names, zip(*kept, strict=True), strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], names)
 
 
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +240,8 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for key, rows in _blocks(batches):
         block = _Block(key, rows)
-        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint32).reshape(-1, HASHES)
-        sets = [np.frombuffer(r[8], np.uint64) for r in rows]
+        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint32).reshape(-1, HASHES)
+        sets = [np.frombuffer(r[9], np.uint64) for r in rows]
         band = int(np.flatnonzero(band_keys(sig[:1])[0] == key[0])[0])
         root = {int(g): int(g) for g in block.group}
 
@@ -276,7 +281,7 @@ def _needed(pairs: DataFrame) -> DataFrame:
 
 def _few(ids: DataFrame) -> DataFrame:
     """Written ids, marked for broadcast where there are few."""
-    return F.broadcast(ids) if ids.count() <= ID_ROWS else ids
+    return F.broadcast(ids) if fits(ids, ID_ROWS) else ids
 
 
 def sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
@@ -339,10 +344,10 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     empty and wordless texts have no shingles and stay alone.  Rows with equal
     texts are linked even if their id repeats; rows with a null id are counted
     but linked with nothing: component_id is null and they are kept.
-    Shingles are told apart by 64-bit hashes.
+    Shingles are told apart by 64-bit hashes.  Whole texts are shingled, however
+    long: a task holds one text's shingles, or SET_BYTES of sets, at a time.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
     texts = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     signed = materialize(texts.mapInArrow(trimmed(_sign), "doc_id long, n_shingles long, set_id binary, sig binary"), "dup-signed")
     full = signed.filter("doc_id is not null and n_shingles > 0")
@@ -353,38 +358,40 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     reps = marked.filter("rep = doc_id")
     reps = materialize(reps.filter("alone").unionByName(reps.filter("not alone").dropDuplicates(["doc_id"])).select("doc_id", "n_shingles", "sig"), "dup-reps")
 
-    bands = reps.select("doc_id", "sig").mapInArrow(trimmed(_band), "bucket long, doc_id long")
+    bands = reps.select("doc_id", "sig", "n_shingles").mapInArrow(trimmed(_band), "bucket long, doc_id long, n_shingles long")
     buckets = materialize(bands.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "dup-buckets")
     members = buckets.agg(F.sum("n")).first()[0] or 0
     banded = materialize(lookup_join(bands, buckets, "bucket", "n", members).filter("hub is not null"), "dup-banded")
     stars = materialize(banded.filter("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "dup-stars")
     links = verify(stars, reps, texts)
+    discard(stars)
 
     # buckets whose members are not in one group yet, without those whose only pair was compared
     groups = components(links)
     now = lookup_groups(banded, groups)
+    discard(links, banded, buckets)
     split = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low <> high and m > 2").select("bucket", "m")
     split = materialize(split, "dup-split")
     total = split.agg(F.sum("m")).first()[0] or 0
     if total:
-        open_ = lookup_join(now, split.withColumn("n", F.col("m")), "bucket", "n", total).filter("m is not null")
-        first = reps.select("doc_id", "n_shingles", F.col("sig"))
-        open_ = open_.join(first, "doc_id").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
-        part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts")).cast("int").alias("part")
-        rows = open_.select("bucket", "parts", part, "doc_id", "component", "n_shingles", "sig")
-        # a part meets each other part once
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "component", "n_shingles", first_bytes("sig").alias("first"))
+        open_ = lookup_join(now, split.withColumn("n", F.col("m")), "bucket", "n", total).filter("m is not null").drop("m")
         count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        deal = lambda d: d.repartition(count, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        member = "bucket long, i int, j int, part int, doc_id long, component long, n_shingles long"
-        near = materialize(deal(rows).mapInArrow(trimmed(_open_members), member), "dup-near")
+        place = ("bucket", "class", "i", "j")
+        deal = lambda d: d.repartition(count, *place).sortWithinPartitions(*place)
+        member = (*place, "part", "doc_id", "component", "n_shingles")
+        first = reps.select("doc_id", first_bytes("sig").alias("first"))
+        rows = in_blocks(open_, WIDE).join(first, "doc_id").select(*member, "first")
+        near = deal(rows).mapInArrow(trimmed(_open_members, 5_000), "bucket long, doc_id long, component long, n_shingles long")
+        near = materialize(near.distinct(), "dup-near")
         ids = materialize(near.select(F.col("doc_id").alias("id")).distinct(), "dup-near-ids")
-        loaded = near.join(sets_of(ids, texts).withColumnRenamed("id", "doc_id"), "doc_id")
-        loaded = loaded.select("bucket", "i", "j", "part", "doc_id", "component", "n_shingles", "sig", "set")
+        sets = sets_of(ids, texts)
+        loaded = in_blocks(near, BLOCK).join(sets.withColumnRenamed("id", "doc_id"), "doc_id").select(*member, "sig", "set")
         more = materialize(deal(loaded).mapInArrow(trimmed(_block_links), "a long, b long"), "dup-more")
+        discard(near, ids, sets)
         links = materialize(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "dup-all-links")
         groups = components(links)
+        discard(more, links)
+    discard(now, split)
 
     sized = groups.join(classes.select(F.col("rep").alias("id"), "n"), "id", "left")
     sized = materialize(sized.groupBy(F.col("id").alias("rep")).agg(F.max("component").alias("component"), F.coalesce(F.max("n"), F.lit(1)).cast("long").alias("n")), "dup-groups")
@@ -395,12 +402,38 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def lookup_groups(banded: DataFrame, groups: DataFrame) -> DataFrame:
-    """(bucket, doc_id, component) of the banded members; unlinked ones are their own group."""
-    table = F.broadcast(groups) if groups.count() <= ID_ROWS else groups
-    out = banded.select("bucket", "doc_id").join(table.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    """(bucket, doc_id, n_shingles, component) of the banded members; unlinked ones are their own group."""
+    table = F.broadcast(groups) if fits(groups, ID_ROWS) else groups
+    out = banded.select("bucket", "doc_id", "n_shingles").join(table.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return materialize(out.withColumn("component", F.coalesce("component", "doc_id")), "dup-now")
 
 
+def in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Members of open buckets dealt to blocks (bucket, class, i, j) in which each pair of like size meets once.
+
+    Members are told apart by classes of size: a pair that can be linked is of one
+    class or of two neighbours.  A class of a bucket is cut into parts of about
+    ``block`` members and SET_BYTES of sets.  In block (i, j) of class c, part i of c
+    meets part j; the parts of class c + 1 are numbered behind those of c.
+    """
+    members = members.withColumn("class", F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(CLASS))).cast("int"))
+    sums = members.groupBy("bucket", "class").agg(F.count("*").alias("m"), F.sum(8 * F.col("n_shingles")).alias("held"))
+    parts = F.greatest(F.ceil(F.col("m") / block), F.least(F.col("m"), F.ceil(F.col("held") / SET_BYTES))).cast("int")
+    order = Window.partitionBy("bucket").orderBy("class")
+    beside = lambda f, step: F.coalesce(F.when(f("class").over(order) == F.col("class") + step, f("parts").over(order)), F.lit(0))
+    cells = sums.withColumn("parts", parts).withColumn("lower", beside(F.lag, -1)).withColumn("upper", beside(F.lead, 1))
+    # a member that would stand alone meets nobody
+    cells = cells.filter("m > 1 or lower > 0 or upper > 0").drop("m", "held")
+    some = members.join(cells, ["bucket", "class"])
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts")).cast("int")
+    # in its own class a member meets the parts of both; in the class below, the parts of that class
+    own = F.transform(F.sequence(F.lit(0), F.col("parts") + F.col("upper") - 1), lambda k: F.struct(F.col("class").alias("class"), F.least("_part", k).alias("i"), F.greatest("_part", k).alias("j"), F.col("_part").alias("part")))
+    at = F.col("lower") + F.col("_part")
+    below = F.transform(F.sequence(F.lit(0), F.col("lower") - 1), lambda k: F.struct((F.col("class") - 1).alias("class"), k.alias("i"), at.alias("j"), at.alias("part")))
+    below = F.when(F.col("lower") > 0, below).otherwise(F.array().cast("array<struct<class:int,i:int,j:int,part:int>>"))
+    return some.withColumn("_part", part).withColumn("_at", F.explode(F.concat(own, below))).select("bucket", "_at.class", "_at.i", "_at.j", "_at.part", "doc_id", "component", "n_shingles")
+
+
 def first_bytes(sig):
     """The lowest byte of each of the FIRST first hashes."""
     return F.unhex(F.regexp_replace(F.substring(F.hex(sig), 1, 8 * FIRST), "(..)......", "$1"))

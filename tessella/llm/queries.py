@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import audio, bpe, chat, langid, lm, mixing, neardup, sketch, toxicity, warc
-from tessella.llm.common import fold
+from tessella.llm.common import held_out
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -14,6 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every text; a null text counts as empty."""
     return bpe.encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
@@ -23,20 +24,24 @@ def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text; a null doc_id is not held out, and teaches nothing."""
     docs = _read(spark, sf_dir, "documents")
     out = langid.identify(docs, langid.fit(docs))
-    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "languages")
+    return out.select("doc_id", held_out("doc_id", 5).alias("held_out"), "lang_pred", "score", "languages")
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes back from the archives of all pages; a null html is an empty payload."""
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document; a null source is a source, a null text has no words."""
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is read back from all formatted conversations and one of control strings."""
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
@@ -44,20 +49,24 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every text, empty ones too; a null doc_id is not held out, and teaches nothing."""
     docs = _read(spark, sf_dir, "documents")
     out = toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
-    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "offending")
+    return out.select("doc_id", held_out("doc_id", 5).alias("held_out"), "score", "predicted", "offending")
 
 
 def op8_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-probability of every text; a null text is one end token, a null doc_id is not held out."""
     return lm.score_documents(_read(spark, sf_dir, "documents"))
 
 
 def op9_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document; wordless texts and null ids stay alone."""
     return neardup.group_documents(_read(spark, sf_dir, "documents"))
 
 
 def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness; a null text counts as empty."""
     return sketch.compare_with_edited(_read(spark, sf_dir, "documents"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 K = 128
 WORDS = 5
-#: Ranges of keys that documents are dealt by, at most.
+#: Ranges of keys that documents are dealt by, at most; larger ranges are sorted on disk.
 RANGES = 1 << 16
 
 
@@ -79,7 +79,9 @@ def to_string(a: Column) -> Column:
 
 
 def from_string(s: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), (F.length(s) / 16).cast("int") - 1), lambda i: F.conv(F.substring(s, i * 16 + 1, F.lit(16)), 16, -10).cast("bigint"))
+    """The sketch that ``to_string`` wrote; the empty string is the empty sketch."""
+    hashes = F.transform(F.sequence(F.lit(0), (F.length(s) / 16).cast("int") - 1), lambda i: F.conv(F.substring(s, i * 16 + 1, F.lit(16)), 16, -10).cast("bigint"))
+    return F.when(F.length(s) > 0, hashes).when(F.length(s) == 0, F.array().cast("array<bigint>"))
 
 
 def _range_of(key: Column, bounds: list[int]) -> Column:

@@ -9,7 +9,8 @@ sentence probabilities then locate the offending sentences.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,18 +18,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fold, small_batches, trimmed
+from tessella.llm.common import discard, fold, materialize, trimmed
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _WORD = re.compile(r"[^\W_]+")
 #: Leading characters of a word that are features beside the whole word.
 STEMS = (3, 4, 5, 6)
+#: Features are hashed to so many weights, so that every word has some, however rare.
+BUCKETS = 1 << 20
 #: Words that a worker remembers before it starts afresh.
 MEMO = 120_000
 
 
-def features(word: str) -> list[str]:
-    return [f"={word}", *(f"{n}{word[:n]}" for n in STEMS if len(word) > n)]
+def features(word: str) -> list[int]:
+    """Hashed features of a word: the word itself and its stems."""
+    names = [f"={word}", *(f"{n}{word[:n]}" for n in STEMS if len(word) > n)]
+    return [zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS for x in names]
 
 
 def sentences(text: str) -> list[str]:
@@ -36,23 +41,36 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.split(text) if _WORD.search(s)]
 
 
+class Memo(dict):
+    """``make`` of each word, remembered for at most MEMO words at a time."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        if len(self) >= MEMO:
+            self.clear()
+        self[word] = value = self.make(word)
+        return value
+
+
 @dataclass
 class Model:
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32))
     bias: float = -6.0  # of a sentence
-    empty: float = 0.0  # score of a text without words
 
-    def scores(self, text: str | None, memo: dict[str, float]) -> np.ndarray:
+    @property
+    def empty(self) -> float:
+        """Score of a text without words: that of one sentence of no known word."""
+        return float(1 / (1 + np.exp(-self.bias)))
+
+    def memo(self) -> Memo:
+        return Memo(lambda w: float(self.weights[features(w)].sum()))
+
+    def scores(self, text: str | None, memo: Memo) -> np.ndarray:
         """Probability of each sentence of ``text``."""
-        sums = []
-        for s in sentences(text or ""):
-            z = self.bias
-            for w in set(_WORD.findall(s.lower())):
-                v = memo.get(w)
-                if v is None:
-                    v = memo[w] = sum(self.weights.get(f, 0.0) for f in features(w))
-                z += v
-            sums.append(z)
+        sums = [self.bias + sum(map(memo.__getitem__, set(_WORD.findall(s.lower())))) for s in sentences(text or "")]
         return 1 / (1 + np.exp(-np.clip(np.array(sums, float), -40, 40)))
 
     def noisy_or(self, p: np.ndarray) -> float:
@@ -60,102 +78,107 @@ class Model:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its label and its distinct features, and per sentence their words."""
+    """Per document: label, draw, the number of features of each sentence, and the features."""
+    memo = Memo(features)
     for batch in batches:
-        label, words = [], []
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            label.append(int(toxic))
-            words.append(sorted({f for w in set(_WORD.findall((text or "").lower())) for f in features(w)}))
-        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(words, pa.list_(pa.string()))], ["label", "f"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, vocabulary: int = 4_000, folds: int = 5, held_out: int = 0, steps: int = 150) -> Model:
-    """Train on about ``sample`` labelled documents drawn by a hash of doc_id.
-
-    Candidates for features are counted in Spark over that sample; the
-    ``vocabulary`` ones whose rate differs most between the two labels get a
-    weight.  The driver receives only the chosen features of the sampled
-    sentences.  Rows without doc_id or label, or of the fold ``held_out``, are left
-    out; repeated labels of one document count once, the largest standing.
+        lens, ids = [], []
+        for text in batch.column(0):
+            ln, fs = [], []
+            for s in sentences(text.as_py() or ""):
+                before = len(fs)
+                for w in set(_WORD.findall(s.lower())):
+                    fs += memo[w]
+                ln.append(len(fs) - before)
+            lens.append(ln)
+            ids.append(fs)
+        size = [len(x) + len(y) for x, y in zip(ids, lens, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(lens, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32()))], ["label", "draw", "size", "lens", "ids"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, entries: int = 16_000_000, folds: int = 5, held_out: int = 0) -> Model:
+    """Train on at most about ``sample`` labelled documents, half of each label where there are as many.
+
+    They are drawn by a hash of doc_id within each label and weighted by the share
+    drawn; should they hold more than ``entries`` features (of long texts), a smaller
+    share is drawn.  These bounds are for the labelled rows only: every word of the
+    sample is a feature.  The driver receives the hashed features of the sampled
+    sentences, 4 bytes each.  Rows without doc_id or label, or of the fold
+    ``held_out``, are left out; repeated labels of one document count once, the
+    largest standing.  ``docs`` is read once.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", folds) != held_out)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    n = known.count()
-    if not n:
-        return Model()
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", folds) != held_out)).groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("label"))
+    size = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    if len(size) < 2:
+        return Model()  # nothing to tell apart: every text scores low
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1_000_003)) / 1_000_003
+    few = min(sample // 2, *size.values())
+    share = {label: min(1.0, (few if n == few else sample - few) / n) for label, n in size.items()}
+    some = known.withColumn("draw", draw).filter(F.col("draw") < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
     # at most about `sample` small rows, so the labels can be broadcast
-    known = F.broadcast(known.filter(draw < min(1.0, sample / n)))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
-    bags = rows.mapInArrow(trimmed(_bags), "label int, f array<string>")
-    size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    pos, neg = size.get(1, 0), size.get(0, 0)
-    if not pos or not neg:
-        return Model()  # nothing to tell apart: every text scores low
-    rates = bags.select("label", F.explode("f").alias("f")).groupBy("f").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).filter(F.col("p") + F.col("q") >= 5)
-    a, b = (F.col("p") + 0.5) / (pos + 1), (F.col("q") + 0.5) / (neg + 1)
-    spread = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
-    chosen = [r["f"] for r in rates.orderBy(F.abs((F.log(a) - F.log(b)) / spread).desc(), "f").limit(vocabulary).collect()]
-    place = spark.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, memo = place.value, {}
-        for batch in batches:
-            if len(memo) > MEMO:
-                memo.clear()
-            label, count, lens, ids = [], [], [], []
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                empty, ln, fs = 0, [], []
-                for s in sentences(text or ""):
-                    got = []
-                    for w in set(_WORD.findall(s.lower())):
-                        if w not in memo:
-                            memo[w] = [at[f] for f in features(w) if f in at]
-                        got += memo[w]
-                    if got:
-                        ln.append(len(got))
-                        fs += got
-                    else:
-                        empty += 1
-                label.append(int(toxic))
-                count.append(empty)
-                lens.append(ln)
-                ids.append(fs)
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(count, pa.int32()), pa.array(lens, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32()))], ["label", "bare", "lens", "ids"])
-
-    data = rows.mapInArrow(trimmed(encode), "label int, bare int, lens array<int>, ids array<int>").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label", "draw")
+    bags = materialize(rows.mapInArrow(trimmed(_bags), "label int, draw double, size long, lens array<int>, ids array<int>"), "toxicity-bags")
+    held = bags.agg(F.sum("size")).first()[0] or 0
+    cut = min(1.0, entries / max(held, 1))
+    data = bags.filter(F.col("draw") < cut * F.when(F.col("label") == 1, share[1]).otherwise(share[0])).orderBy("draw").toArrow()
+    discard(bags)
     label = data.column("label").to_numpy().astype(float)
-    bare = data.column("bare").to_numpy().astype(float)
-    lens = data.column("lens").combine_chunks()
-    ids = data.column("ids").combine_chunks().flatten().to_numpy()
-    per_doc = np.diff(lens.offsets.to_numpy())
-    per_sentence = lens.flatten().to_numpy()
-    doc_of = np.repeat(np.arange(len(label)), per_doc)
-    sent_of = np.repeat(np.arange(len(per_sentence)), per_sentence)
-    return _train(label, bare, doc_of, sent_of, ids, chosen, steps)
-
-
-def _train(label, bare, doc_of, sent_of, ids, chosen, steps) -> Model:
-    """Full-batch Adam on the noisy-or log-likelihood; sentences without a feature share the bias alone."""
-    docs, sents, size = len(label), len(doc_of), len(chosen)
-    w, bias, rate = np.zeros(size), -4.0, 0.15
+    if len(set(label.tolist())) < 2:
+        return Model()
+    lens, ids = (data.column(c).combine_chunks() for c in ("lens", "ids"))
+    weight = np.where(label > 0, 1 / share[1], 1 / share[0])
+    return train(label, weight, np.diff(lens.offsets.to_numpy()), lens.flatten().to_numpy(), ids.flatten().to_numpy())
+
+
+def train(label: np.ndarray, weight: np.ndarray, per_doc: np.ndarray, per_sentence: np.ndarray, ids: np.ndarray, batch: int = 128, epochs: int = 10, least_steps: int = 600, evidence: float = 0.5) -> Model:
+    """Minimise the noisy-or loss plus an L1 penalty by proximal Adam over batches of documents in a fixed order.
+
+    label and weight by document; its sentences; their features, one after the other.
+    The penalty is worth ``evidence`` documents: a feature that moves the loss less
+    than they would gets weight 0.  A document without sentences counts as one
+    sentence without features.
+    The bias stays at or below the log-odds of a toxic document, so a sentence of
+    unknown words is never likelier toxic than a document is.
+    """
+    docs = len(label)
+    seen = np.bincount(ids, minlength=BUCKETS) > 0
+    used, size = np.flatnonzero(seen), int(seen.sum())
+    ids = (np.cumsum(seen, dtype=np.int32) - 1)[ids]
+    doc_at = np.concatenate([[0], np.cumsum(per_doc)])
+    sent_at = np.concatenate([[0], np.cumsum(per_sentence)])
+    rate = (weight * label).sum() / weight.sum()
+    most = float(np.log(rate / (1 - rate)))
+    weight = weight / weight.mean()
+    w, bias = np.zeros(size), min(-4.0, most)
     m, v = np.zeros(size + 1), np.zeros(size + 1)
+    order = np.random.default_rng(7).permutation(docs)
+    batches = [np.sort(order[i : i + batch]) for i in range(0, docs, batch)]
+    steps = max(epochs * len(batches), least_steps)
     for step in range(1, steps + 1):
-        z = bias + np.bincount(sent_of, w[ids], minlength=sents)
-        p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+        some = batches[step % len(batches)]
+        n = per_doc[some]
+        s = np.repeat(doc_at[some] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        doc_of = np.repeat(np.arange(len(some)), n)
+        k = per_sentence[s]
+        f = ids[np.repeat(sent_at[s] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())]
+        sent_of = np.repeat(np.arange(len(s)), k)
+        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(sent_of, w[f], minlength=len(s)), -35, 35)))
         p0 = 1 / (1 + np.exp(-bias))
-        clear = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=docs) + bare * np.log1p(-p0)
+        bare = n == 0
+        clear = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(some)) + bare * np.log1p(-p0)
         q = np.clip(-np.expm1(clear), 1e-9, 1 - 1e-12)
         # d loss / d z of a sentence: p (1 - y / q)
-        pull = 1 - label / q
+        pull = (1 - label[some] / q) * weight[some] / len(some)
         gz = p * pull[doc_of]
-        g = np.append(np.bincount(ids, gz[sent_of], minlength=size) / docs + 1e-5 * w, (gz.sum() + (bare * p0 * pull).sum()) / docs)
+        g = np.append(np.bincount(f, gz[sent_of], minlength=size), gz.sum() + (bare * p0 * pull).sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, bias = w - move[:-1], float(np.clip(bias - move[-1], -15, 5))
-    weights = {f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-4}
-    return Model(weights, bias, float(1 / (1 + np.exp(-bias))))
+        pace = 0.05 * (1 - 0.9 * step / steps)
+        scale = pace / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        move = scale * m / (1 - 0.9**step)
+        w, bias = w - move[:-1], float(np.clip(bias - move[-1], -15, most))
+        w = np.sign(w) * np.maximum(np.abs(w) - scale[:-1] * evidence / docs, 0)
+    out = np.zeros(BUCKETS, np.float32)
+    out[used] = w
+    return Model(out, bias)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", spans: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -164,17 +187,15 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     ``offending`` lists (sentence, probability) of the sentences with probability
     0.5 or more, or of the strongest one where only their union reaches 0.5.
     A text without words (null and empty ones too) scores as one sentence of no known word.
+    Whole texts are scored, sentence by sentence, however long; rows with a null key too.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, memo = shared.value, {}
+        m = shared.value
+        memo = m.memo()
         for batch in batches:
             out, found = [], []
-            if len(memo) > MEMO:
-                memo.clear()
             for value in batch.column(0):
                 t = value.as_py()
                 p = m.scores(t, memo)

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import lookup_join, materialize, scratch_path, small_batches
+from tessella.llm.common import discard, lookup_join, materialize, scratch_path, trimmed
 
 #: Smaller payloads are stored whole wherever they occur.
 LEAST_BYTES = 1_000
-#: Records of one archive file at most: it is read back by one task.
-FILE_RECORDS = 1_000
+#: Records of one archive file at most, and about its bytes at most: it is read back by one task.
+FILE_RECORDS, FILE_BYTES = 1_000, 256 << 20
 CRLF = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -50,10 +50,14 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     """
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("bigint")).withColumn("payload_digest", F.sha1("html"))
-    known = materialize(originals(rows.select("page_id", "payload_bytes", "payload_digest")), "warc-originals")
+    headers = materialize(rows.select("page_id", "payload_bytes", "payload_digest"), "warc-seen")
+    known = materialize(originals(headers), "warc-originals")
+    longest = headers.agg(F.max("payload_bytes")).first()[0] or 0
     total = known.agg(F.sum("n")).first()[0] or 0
-    rows = lookup_join(rows, known, "payload_digest", "n", total)
-    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original")) & (F.col("payload_bytes") >= LEAST_BYTES)
+    # smaller payloads are responses wherever they occur: they have no key to meet by
+    rows = rows.withColumn("_key", F.when(F.col("payload_bytes") >= LEAST_BYTES, F.col("payload_digest")))
+    rows = lookup_join(rows, known.withColumnRenamed("payload_digest", "_key"), "_key", "n", total)
+    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
@@ -71,8 +75,14 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit(CRLF),
     )
-    out = rows.select(F.concat(header, block).alias("value"))
-    out.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    # records of like size share files, as many as FILE_BYTES holds of the largest
+    least, most = -1, FILE_BYTES // FILE_RECORDS
+    while least < longest:
+        some = rows.filter((F.col("payload_bytes") > least) & (F.col("payload_bytes") <= most)).select(F.concat(header, block).alias("value"))
+        records = max(1, min(FILE_RECORDS, FILE_BYTES // most))
+        some.write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+        least, most = most, most * 32
+    discard(headers, known)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -126,9 +136,8 @@ def read_archives(spark, path: str, payloads: bool = False) -> DataFrame:
                 n = 8 if payloads else 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out[:n], kinds, strict=False)], names[:n])
 
-    small_batches(spark, 100)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, _READ + ", payload binary" * payloads)
+    return files.mapInArrow(trimmed(run, 1), _READ + ", payload binary" * payloads)
 
 
 def resolve_revisits(headers: DataFrame) -> DataFrame:
