@@ -2,8 +2,9 @@
 
 Samples become frames of twelve pitch-class energies.  Sixteen rectangle filters
 over the integral image of the frames, two Gray-coded bits each, give one packed
-32-bit integer for every window of frames.  Queries are compared with all recordings
-at all offsets; a match is told by the share of differing bits over the overlap.
+32-bit integer for every window of frames.  For each query and recording, a histogram
+over all offsets counts the agreeing bits of sampled words; offsets that stand out are
+compared in full, and a match is told by the share of differing bits over the overlap.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import lookup_join, materialize, small_batches
+from tessella.llm.common import fits, lookup_join, materialize, trimmed
 
 #: Samples a second, of a frame, and between frames.
 RATE, FRAME, HOP = 4_000, 1_024, 512
@@ -30,6 +31,8 @@ FILTERS = [(k % 6, (5 * k) % 12, 3 + k % 4 * 3, (4, 8, 12, 16)[k * 7 // 4 % 4])
 CUTS = (-0.25, 0.0, 0.25)
 #: A match: at most this share of differing bits over at least so many integers.
 MOST_ERRORS, LEAST_OVERLAP = 0.15, 16
+#: Every so many words, two count for the offset histogram; an offset is given up beyond so many standard deviations.
+SAMPLE_EVERY, SAMPLE_Z = 8, 4.0
 #: Lists of bare ids of at most so many rows are broadcast.
 ID_ROWS = 500_000
 #: Words of queries that go to all tasks at once, 4 bytes each.
@@ -133,14 +136,12 @@ def fingerprint(df: DataFrame, key: str, media: str, decode: Callable = wav_samp
 
     Null, empty, too short and undecodable media have the empty fingerprint.
     """
-    small_batches(df.sparkSession, 500)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint_frames(chroma(decode(v.as_py()))).view(np.int32) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int32()))], ["key", "fingerprint"])
 
-    return df.select(df[key].cast("long").alias("key"), df[media].alias("media")).mapInArrow(run, "key long, fingerprint array<int>").withColumnRenamed("key", key)
+    return df.select(df[key].cast("long").alias("key"), df[media].alias("media")).mapInArrow(trimmed(run), "key long, fingerprint array<int>").withColumnRenamed("key", key)
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
@@ -155,7 +156,7 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
 def _lay_out(prints: list[np.ndarray], n: int) -> dict[str, np.ndarray]:
     """Recordings end to end, so far apart that a query of ``n`` words overlaps one of them by LEAST_OVERLAP at most places only.
 
-    words and pairs (of neighbouring words) by place; for each place a query may
+    words and pairs (of neighbouring words, for the histogram) by place; for each place a query may
     start at: the recording, the offset, and the query's first and last word over it.
     """
     gap = n - LEAST_OVERLAP
@@ -170,30 +171,71 @@ def _lay_out(prints: list[np.ndarray], n: int) -> dict[str, np.ndarray]:
     offset = starts[which] - at
     first, last = np.maximum(offset, 0), np.minimum(offset + sizes[which], n)
     pairs = words[:-1] | words[1:].astype(np.uint64) << np.uint64(32)
+    # places are told apart by the words they overlap, as few kinds; kind 0 overlaps too little
+    spans, inverse = np.unique(first * (n + 1) + last, return_inverse=True)
+    kind = np.zeros(len(words) - n + 1, np.uint16 if len(spans) < 65_535 else np.uint32)
+    kind[at] = inverse + 1
     most = np.floor(32 * (last - first) * MOST_ERRORS + 1e-6).astype(np.int64)
-    return {"words": words, "pairs": pairs, "which": which, "at": at, "offset": offset, "first": first, "last": last, "most": most}
+    return {"words": words, "pairs": pairs, "which": which, "at": at, "offset": offset, "first": first, "last": last, "most": most, "kind": kind, "spans": spans}
 
 
-def _differing(query: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Differing bits of the query against what lies at each place it may start at."""
-    n, places = len(query), len(words) - len(query) + 1
-    total, some = np.zeros(places, np.uint32), np.zeros(places, np.uint8)
-    both, bits = np.empty(places, np.uint64), np.empty(places, np.uint8)
-    twos = query[: n // 2 * 2 : 2] | query[1::2].astype(np.uint64) << np.uint64(32)
-    for k, two in enumerate(twos):
-        np.bitwise_count(np.bitwise_xor(pairs[2 * k : 2 * k + places], two, out=both), out=bits)
+def _offset_histogram(query: np.ndarray, pairs: np.ndarray, places: int, sampled: np.ndarray) -> np.ndarray:
+    """For each place the query may start at: how many bits of its sampled pairs of words differ from what lies there."""
+    total = np.zeros(places, np.uint16 if len(sampled) < 1_000 else np.uint32)
+    some, both, bits = np.zeros(places, np.uint8), np.empty(places, np.uint64), np.empty(places, np.uint8)
+    for at, k in enumerate(sampled):
+        two = query[k] | query[k + 1].astype(np.uint64) << np.uint64(32)
+        np.bitwise_count(np.bitwise_xor(pairs[k : k + places], two, out=both), out=bits)
         some += bits
-        if k % 3 == 2:  # 3 * 64 bits fit a byte
+        if at % 3 == 2:  # 3 * 64 bits fit a byte
             total += some
             some[:] = 0
     total += some
-    if n % 2:
-        total += np.bitwise_count(words[n - 1 :] ^ query[-1])
     return total
 
 
+def _best(query: np.ndarray, d: dict[str, np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
+    """(recording, offset, overlap, errors) of the best offset of each matching recording.
+
+    The histogram of differing bits over all offsets is taken from two words in every
+    SAMPLE_EVERY; offsets are compared in full unless their sample differs by more than
+    SAMPLE_Z standard deviations above MOST_ERRORS.
+    """
+    n = len(query)
+    sampled = np.arange(0, n - 1, SAMPLE_EVERY)
+    used = np.zeros(n, bool)
+    used[sampled] = used[sampled + 1] = True
+    own = np.bitwise_count(query).astype(np.int64)
+    before = np.concatenate([[0], np.cumsum(np.where(used, own, 0))])
+    seen = np.concatenate([[0], np.cumsum(used)])
+    begin, end = d["spans"] // (n + 1), d["spans"] % (n + 1)
+    bits = 32.0 * (seen[end] - seen[begin])
+    # words over a gap differ in the query's own bits
+    limit = np.floor(bits * MOST_ERRORS + SAMPLE_Z * np.sqrt(bits * MOST_ERRORS * (1 - MOST_ERRORS))) + before[begin] + before[n] - before[end]
+    limit = np.concatenate([[-1], limit]).astype(np.int32)
+    differ = _offset_histogram(query, d["pairs"], len(d["kind"]), sampled)
+    some = np.flatnonzero(differ <= limit.max(initial=-1))  # few, before each meets its own limit
+    some = np.searchsorted(d["at"], some[differ[some] <= limit[d["kind"][some]]])
+    first, last = d["first"], d["last"]
+    errors = np.empty(len(some), np.int64)
+    for a in range(0, len(some), 4_096):
+        at = some[a : a + 4_096]
+        x = np.bitwise_count(d["words"][d["at"][at][:, None] + np.arange(n)] ^ query)
+        inside = (np.arange(n) >= first[at][:, None]) & (np.arange(n) < last[at][:, None])
+        errors[a : a + len(at)] = np.where(inside, x, 0).sum(axis=1)
+    near = errors <= d["most"][some]
+    some, errors = some[near], errors[near]
+    if len(some):
+        overlap = last[some] - first[some]
+        share, r, offset = errors / (32 * overlap), d["which"][some], d["offset"][some]
+        order = np.lexsort((offset, -overlap, share, r))
+        for i in order[np.concatenate([[True], r[order][1:] != r[order][:-1]])]:
+            if share[i] <= MOST_ERRORS:
+                yield int(r[i]), int(offset[i]), int(overlap[i]), float(share[i])
+
+
 def best_offsets(queries: list[np.ndarray], prints: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, float]]:
-    """(query, recording, offset, overlap, errors) of each pair that matches at any offset; all offsets are compared.
+    """(query, recording, offset, overlap, errors) of each pair that matches at any offset.
 
     The best one of a pair: fewest errors, then most overlap, then least offset.
     """
@@ -206,17 +248,8 @@ def best_offsets(queries: list[np.ndarray], prints: list[np.ndarray]) -> Iterato
             continue
         d = _lay_out([prints[k] for k in kept], n)
         for k in members:
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(queries[k]), dtype=np.int64)])
-            # words over a gap differ in the query's own bits
-            errors = _differing(queries[k], d["words"], d["pairs"])[d["at"]] - (before[d["first"]] + before[n] - before[d["last"]])
-            near = np.flatnonzero(errors <= d["most"])
-            if len(near):
-                overlap = d["last"][near] - d["first"][near]
-                share, r, offset = errors[near] / (32 * overlap), d["which"][near], d["offset"][near]
-                order = np.lexsort((offset, -overlap, share, r))
-                for i in order[np.concatenate([[True], r[order][1:] != r[order][:-1]])]:
-                    if share[i] <= MOST_ERRORS:
-                        yield k, kept[r[i]], int(offset[i]), int(overlap[i]), float(share[i])
+            for r, *rest in _best(queries[k], d):
+                yield k, kept[r], *rest
 
 
 def _compare(prints: DataFrame, ids: list[int], queries: list[np.ndarray], itself: bool) -> DataFrame:
@@ -234,7 +267,7 @@ def _compare(prints: DataFrame, ids: list[int], queries: list[np.ndarray], itsel
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds, strict=True)], ["q", "r", "offset", "overlap", "errors"])
 
-    out = materialize(prints.mapInArrow(run, MATCH), "audio-matches")
+    out = materialize(prints.mapInArrow(trimmed(run), MATCH), "audio-matches")
     shared.unpersist()
     return out
 
@@ -242,15 +275,15 @@ def _compare(prints: DataFrame, ids: list[int], queries: list[np.ndarray], itsel
 def align(prints: DataFrame, asked: DataFrame, itself: bool = False) -> DataFrame:
     """Matches (q, r, offset, overlap, errors) of the recordings ``asked`` among ``prints``, both (id, fingerprint).
 
-    Both are written tables with unique ids.  Every query is compared with every
-    recording at every offset: bits that differ may lie in all words, so no shared
-    integer can be asked for.  The best match of a pair is returned (fewest errors,
+    Both are written tables with unique ids.  Every query meets every recording at
+    every offset in a histogram of sampled bits: bits that differ may lie in all words,
+    so no shared integer can be asked for.  If bits err independently, a match at the
+    limit of MOST_ERRORS is given up there with probability 3e-5.  The best match of a pair is returned (fewest errors,
     then most overlap, then least offset).  Queries go out in rounds of ROUND_WORDS,
     each one pass over the recordings, so neither side has to fit a machine.
     ``itself`` keeps matches of equal ids, for queries that were altered.
     """
     spark = prints.sparkSession
-    small_batches(spark, 500)
     rows, least = prints.count(), spark.sparkContext.defaultParallelism
     dealt: DataFrame | None = None
     found: list[DataFrame] = []
@@ -306,7 +339,7 @@ def match_recordings(df: DataFrame, key: str, media: str, decode: Callable = wav
     asked = reps.filter("asked").select("id", "fingerprint")
     if alter is not None:
         ids = materialize(asked.select(F.col("id").alias(key)), "audio-asked")
-        some = df.select(key, media).join(F.broadcast(ids) if ids.count() <= ID_ROWS else ids, key).dropDuplicates([key])
+        some = df.select(key, media).join(F.broadcast(ids) if fits(ids, ID_ROWS) else ids, key).dropDuplicates([key])
         asked = materialize(fingerprint(some, key, media, lambda v: alter(decode(v))).withColumnRenamed(key, "id"), "audio-queries")
     matches = align(reps.select("id", "fingerprint"), asked, itself=alter is not None)
     best = matches.groupBy("q").agg(F.count("*").alias("n_matches"), F.min(F.struct("errors", F.col("r").alias("match_id"), "offset", "overlap")).alias("best"))
