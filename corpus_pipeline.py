@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, langid, mixing, neardup, toxicity
-from tessella.llm.common import materialize
+from tessella.llm.common import fits, materialize
 
 #: A document stays if one language makes up at least this share of it.
 LEAST_SHARE = 0.35
@@ -53,17 +53,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = neardup.group_documents(docs)
     # the ids that go: far fewer than the documents, and written, so that the larger side need not move
     gone = materialize(groups.filter("not kept").select("doc_id").distinct(), "pipeline-gone")
-    few = F.broadcast(gone) if gone.count() <= neardup.ID_ROWS else gone
+    few = F.broadcast(gone) if fits(gone, neardup.ID_ROWS) else gone
     return docs.join(few, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents by the sources' targets; a document taken twice stands twice."""
+    """Whole documents by the sources' targets; a document taken twice stands twice.
+
+    A null source is a source of its own; null and empty texts have no words and
+    go with their source's order; rows with a null id share a place in it.
+    """
     return mixing.mix_whole(docs)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text's token ids and digests."""
+    """Each text's token ids and digests; a null or empty text has no tokens and the digests of no bytes."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
