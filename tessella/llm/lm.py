@@ -1,21 +1,25 @@
-"""N-gram language model by deleted interpolation, trained and applied in packed blocks.
-
-P(w | v) = l2(b) c(v,w)/c(v) + l1(b) c(w)/N + l0(b) / (V + 1), where b is the
-logarithmic bucket of c(v).  The weights are learned by expectation-maximisation
-on held-out documents of the training part, each of which is scored with its own
-counts deleted.
-
-Documents travel in blocks.  A block sends its distinct word and word-pair
-hashes, sorted and cut into key ranges, with their counts in its training
-documents; each range is summed over all blocks, and the totals go back to the
-blocks in the same order.  No table of words is ever held in one place, and a
-shuffle moves a few packed rows for each block instead of a row for each token.
+"""Trigram language model by deleted interpolation, trained and applied in packed blocks.
+
+    P1(w)      = a1 c(w) / N            + (1 - a1) / (V + 1)
+    P2(w | v)  = a2[b] c(v,w) / c(v)    + (1 - a2[b]) P1(w)        b: bucket of c(v)
+    P3(w | uv) = a3[b] c(u,v,w) / c(u,v) + (1 - a3[b]) P2(w | v)   b: bucket of c(u,v)
+
+A bucket is the logarithm of the context's count.  The weights are learned, order
+by order, by expectation-maximisation on held-out documents of the training part,
+each of which is scored with its own counts deleted.
+
+Documents travel in blocks, which are numbered and written once.  A block sends the
+distinct hashes of its words, pairs and triples, sorted and cut into key ranges, with
+their counts in its training documents; each range is summed over all blocks, and the
+totals go back to the blocks in the same order.  No table of words is ever held in one
+place.  The number of ranges follows from the number of tokens, so a range has about
+the same bytes at every size; a key has at most one entry for each block.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +27,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fold, materialize, trimmed
+from tessella.llm.common import discard, fold, materialize, release, trimmed
 
-#: Documents of a block at most.
-BLOCK = 512
+#: Documents of a block at most, and bytes of text after which a block ends.
+BLOCK, BLOCK_BYTES = 2_048, 6 << 20
+#: Bits of a key.
+BITS = 56
+#: Tokens whose messages share a key range: about 10 bytes a token.
+RANGE_TOKENS = 1_250_000
 #: Context buckets: 0 for an unseen context, then one for each power of two.
 BUCKETS = 41
-_ROW = "block long, part int, kind int, keys binary, counts binary"
+#: Ratios of an estimate to the one it backs off to are told apart in steps of 1/STEPS of a power of two.
+STEPS, NEVER = 8, -9999
 _START = np.uint64(0x9E3779B97F4A7C15)
+_ROW = "block long, part long, keys binary, counts binary"
+_BLOCK = "block long, tokens long, learned long, body binary"
+_NAMES = ["block", "part", "keys", "counts"]
+_KINDS = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,199 +58,275 @@ class _Ids(dict):
         return n
 
 
-class Tokens:
-    """The tokens of a block: words of ASCII-lower-cased texts, then one end each."""
-
-    END = b" "
-
-    def __init__(self, texts: list[bytes]):
-        import xxhash
-
-        ids, lists = _Ids(), []
-        end = ids[self.END]
-        for t in texts:
-            words = t.lower().split()
-            words.append(self.END)
-            lists.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
-        self.lens = np.array([len(x) for x in lists], np.int64)
-        self.word = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        self.doc = np.repeat(np.arange(len(lists)), self.lens)
-        self.size = len(ids)
-        starts = np.cumsum(self.lens) - self.lens
-        self.context = np.concatenate(([end], self.word[:-1])) if len(self.word) else self.word
-        self.context[starts] = end  # the start has the end's count: one for each document
-        self.hash = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ids), np.uint64, len(ids))
-        self.order = np.argsort(self.hash)
-        self.pair = self.context * self.size + self.word
-        self.pairs, self.pair_at = np.unique(self.pair, return_inverse=True)
-        v, w = self.pairs // max(self.size, 1), self.pairs % max(self.size, 1)
-        self.pair_hash = _mix(_mix(self.hash[v] + _START) ^ self.hash[w])
-        self.pair_order = np.argsort(self.pair_hash)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes], np.ndarray, np.ndarray]]:
-    """(block, ids, texts, fold) of each batch; documents for the weights (fold 1) form blocks of their own."""
-    n = TaskContext.get().partitionId() << 24
-    for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(at, BLOCK)
-            folds = np.array([-1 if x is None else x for x in part.column(2).to_pylist()])
-            texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-            ids = part.column(0).to_pylist()
-            for weights in (0, 1):
-                some = np.flatnonzero((folds == 1) == weights)
-                yield 2 * n + weights, [ids[i] for i in some], [texts[i] for i in some], folds[some]
-            n += 1
-
-
-def _edges(parts: int) -> np.ndarray:
-    return np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
-
-
-def _send(parts: int):
-    def run(batches):
-        edges = _edges(parts)
-        for block, _, texts, folds in _blocks(batches):
-            if not texts:
-                continue
-            t = Tokens(texts)
-            learn = (folds > 0)[t.doc]
-            out = []
-            for kind, keys, order, at in ((1, t.hash, t.order, t.word), (2, t.pair_hash, t.pair_order, t.pair_at)):
-                counts = np.bincount(at[learn], minlength=len(keys)).astype(np.uint32)[order]
-                keys = keys[order]
-                cut = [0, *np.searchsorted(keys, edges), len(keys)]
-                out += [(p, kind, keys[a:b].tobytes(), counts[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())], ["block", "part", "kind", "keys", "counts"])
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], _NAMES)
 
-    return run
 
+END = b" "
 
-def _stamp(keys: np.ndarray) -> bytes:
-    """Eight bytes that tell key lists apart."""
-    return np.bitwise_xor.reduce(keys, initial=np.uint64(0)).tobytes()
 
+def tokenize(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each distinct word, word of each token, tokens of each text); every text ends in one END."""
+    import xxhash
 
-def _sum_range(table: pa.Table) -> pa.Table:
-    """Totals of one key range, sent back to every block in the block's order; block -1: distinct keys and their sum."""
-    blocks, kinds = table.column("block").to_pylist(), table.column("kind").to_pylist()
-    keys, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
-    part = table.column("part")[0].as_py()
-    out = []
-    for kind in (1, 2):
-        rows = [i for i, k in enumerate(kinds) if k == kind]
-        if not rows:
-            continue
-        k = np.concatenate([np.frombuffer(keys[i], np.uint64) for i in rows])
-        n = np.concatenate([np.frombuffer(counts[i], np.uint32) for i in rows]).astype(np.int64)
-        order = np.argsort(k, kind="stable")
-        k = k[order]
-        first = np.concatenate(([True], k[1:] != k[:-1]))
-        sums = np.add.reduceat(n[order], np.flatnonzero(first))
-        back = np.empty(len(k), np.int64)
-        back[order] = sums[np.cumsum(first) - 1]
-        at = 0
-        for i in rows:
-            m = len(keys[i]) // 8
-            out.append((blocks[i], part, kind, _stamp(np.frombuffer(keys[i], np.uint64)), back[at : at + m].tobytes()))
-            at += m
-        out.append((-1, part, kind, b"", np.array([(sums > 0).sum(), sums.sum()], np.int64).tobytes()))
-    return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.binary()), pa.array([x[4] for x in out], pa.binary())], names=["block", "part", "kind", "keys", "counts"])
-
-
-def _pack(weights_only: bool):
-    def run(batches):
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for block, ids, texts, folds in _blocks(batches):
-            if texts and (block & 1 or not weights_only):
-                body = squeeze.compress(pickle.dumps((ids, texts, folds)))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([body], pa.binary()), pa.array([b""], pa.binary())], ["block", "part", "kind", "keys", "counts"])
+    ids, lists = _Ids(), []
+    end = ids[END]
+    for t in texts:
+        words = np.fromiter(map(ids.__getitem__, t.lower().split()), np.uint32)
+        lists.append(np.append(words, np.uint32(end)))
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ids), np.uint64, len(ids))
+    return hashes, np.concatenate(lists), np.array([len(x) for x in lists], np.int64)
 
-    return run
 
+class Tokens:
+    """The words, pairs and triples of a block.
+
+    A text starts like after an END, so the start's count is the number of texts.
+    Its first word has no triple of its own: there, the pair stands for it.
+    Keys of words are odd and the others even, so one sorted list holds them all.
+    """
 
-def _unpack(table: pa.Table) -> tuple[list, np.ndarray, Tokens, np.ndarray, np.ndarray]:
-    """(ids, folds, tokens, counts of the block's words, counts of its pairs)."""
+    def __init__(self, hashes: np.ndarray, word: np.ndarray, lens: np.ndarray):
+        self.lens, self.word, self.size = lens, word.astype(np.int64), len(hashes)
+        self.doc = np.repeat(np.arange(len(lens)), lens)
+        self.first = np.cumsum(lens) - lens
+        self.context = np.concatenate(([0], self.word[:-1]))
+        self.context[self.first] = 0  # END is word 0
+        self.pairs, self.pair_at = np.unique(self.context * self.size + self.word, return_inverse=True)
+        later = np.ones(len(self.word), bool)
+        later[self.first] = False
+        self.later = np.flatnonzero(later)  # tokens with a triple
+        self.triples, self.triple_at = np.unique(self.pair_at[self.later - 1] * self.size + self.word[self.later], return_inverse=True)
+        words = hashes
+        v, w = self.pairs // self.size, self.pairs % self.size
+        pairs = _mix(_mix(words[v] + _START) ^ words[w])
+        before, last = self.triples // max(self.size, 1), self.triples % max(self.size, 1)
+        triples = _mix(_mix(pairs[before] + _START) ^ words[last])
+        drop = np.uint64(64 - BITS)
+        self.keys = np.concatenate([words >> drop | np.uint64(1), *(x >> drop & ~np.uint64(1) for x in (pairs, triples))])
+        self.order = np.argsort(self.keys)
+
+    def counts(self, some: np.ndarray) -> np.ndarray:
+        """How often each key occurs in the texts marked by ``some``."""
+        here = some[self.doc]
+        return np.concatenate([np.bincount(self.word[here], minlength=self.size), np.bincount(self.pair_at[here], minlength=len(self.pairs)), np.bincount(self.triple_at[here[self.later]], minlength=len(self.triples))])
+
+    def spread(self, per_key: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each token the counts of its word, of the word before, of their pair, and of the pair before and the triple."""
+        words, pairs, triples = np.split(per_key, [self.size, self.size + len(self.pairs)])
+        w, v, vw = words[self.word], words[self.context], pairs[self.pair_at]
+        uv, uvw = v.copy(), vw.copy()
+        uv[self.later] = pairs[self.pair_at[self.later - 1]]
+        uvw[self.later] = triples[self.triple_at]
+        return w, v, vw, uv, uvw
+
+    def own(self) -> tuple[np.ndarray, ...]:
+        """The same counts within each token's own text."""
+
+        def inside(what: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
+            _, at, n = np.unique(doc * max(size, 1) + what, return_inverse=True, return_counts=True)
+            return n[at]
+
+        w = inside(self.word, self.doc, self.size)
+        v = np.concatenate(([1], w[:-1]))
+        v[self.first] = 1  # a text has one start
+        vw = inside(self.pair_at, self.doc, len(self.pairs))
+        uv, uvw = v.copy(), vw.copy()
+        uv[self.later] = vw[self.later - 1]
+        uvw[self.later] = inside(self.triple_at, self.doc[self.later], len(self.triples))
+        return w, v, vw, uv, uvw
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbered blocks; documents for the weights (fold 1) form odd ones of their own."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3)
+    n = TaskContext.get().partitionId() << 32
+    open_: dict[int, list] = {0: [], 1: []}
+    held = [0, 0]
+
+    def close(kind: int) -> pa.RecordBatch:
+        nonlocal n
+        ids, texts, folds = zip(*open_[kind], strict=True)
+        body = squeeze.compress(pickle.dumps((list(ids), list(texts), np.array(folds))))
+        open_[kind], held[kind] = [], 0
+        n += 2
+        lens = np.array([len(t.split()) + 1 for t in texts])
+        learned = int(lens[np.array(folds) > 0].sum())
+        row = (n + kind, pa.int64()), (int(lens.sum()), pa.int64()), (learned, pa.int64()), (body, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in row], ["block", "tokens", "learned", "body"])
+
+    for batch in batches:
+        for key, text, part in zip(*(batch.column(i) for i in range(3)), strict=True):
+            part, raw = part.as_py(), (text.as_py() or "").encode()
+            kind = int(part == 1)
+            open_[kind].append((key.as_py(), raw, -1 if part is None else part))
+            held[kind] += len(raw)
+            if len(open_[kind]) >= BLOCK or held[kind] >= BLOCK_BYTES:
+                yield close(kind)
+    for kind, some in open_.items():
+        if some:
+            yield close(kind)
+
+
+def _load(body: bytes) -> tuple[list, np.ndarray, Tokens]:
     import zstandard
 
-    kinds, parts = table.column("kind").to_pylist(), table.column("part").to_pylist()
-    body = table.column("keys")[kinds.index(0)].as_py()
     ids, texts, folds = pickle.loads(zstandard.ZstdDecompressor().decompress(body))
-    t = Tokens(texts)
-    found = []
-    for kind, keys, order in ((1, t.hash, t.order), (2, t.pair_hash, t.pair_order)):
-        rows = sorted((p, i) for i, (k, p) in enumerate(zip(kinds, parts, strict=True)) if k == kind)
-        got = np.concatenate([np.frombuffer(table.column("counts")[i].as_py(), np.int64) for _, i in rows])
-        stamps = np.array([np.frombuffer(table.column("keys")[i].as_py(), np.uint64)[0] for _, i in rows], np.uint64)
-        if len(got) != len(order) or _stamp(stamps) != _stamp(keys):
-            raise RuntimeError("a block was dealt differently when it was read again; write the input to a table first")
-        counts = np.empty(len(order), np.int64)
-        counts[order] = got
-        found.append(counts)
-    return ids, folds, t, *found
+    return ids, folds, Tokens(*tokenize(texts))
 
 
-def _bucket(c: np.ndarray) -> np.ndarray:
-    return np.where(c > 0, np.log2(np.maximum(c, 1)).astype(np.int64) + 1, 0).clip(0, BUCKETS - 1)
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys: the first, then the steps, in as many bytes as the largest step needs."""
+    steps = np.diff(keys)
+    width = (int(steps.max(initial=0)).bit_length() + 7) // 8
+    return bytes([width]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _own(doc: np.ndarray, what: np.ndarray, size: int) -> np.ndarray:
-    """For each token, how often its document holds the same thing."""
-    _, at, n = np.unique(doc * size + what, return_inverse=True, return_counts=True)
-    return n[at]
+def _unpack_keys(data: bytes) -> np.ndarray:
+    width, n = data[0], 1
+    if width:
+        n += (len(data) - 9) // width
+    steps = np.zeros((n, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
+    steps[1:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(n - 1, width)
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _events(total: int, distinct: int):
-    """Held-out events of a block by bucket and by the likelihoods of their estimates, in eighths of a power of two."""
+def _pack_counts(x: np.ndarray) -> bytes:
+    """One byte each; those of 255 or more stand as eight bytes each behind the others."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype(np.int64).tobytes()
+
+
+def _unpack_counts(data: bytes, n: int) -> np.ndarray:
+    x = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    x[x == 255] = np.frombuffer(data, np.uint8, offset=n).view(np.int64) if len(data) > n else 255
+    return x
 
-    def run(table: pa.Table) -> pa.Table:
-        _, _, t, words, pairs = _unpack(table)
-        w = words[t.word] - _own(t.doc, t.word, t.size)
-        # a document holds a context as often as the word itself; the start as often as the end: once
-        v = words[t.context] - _own(t.doc, t.context, t.size)
-        vw = pairs[t.pair_at] - _own(t.doc, t.pair_at, len(t.pairs))
-        rest = np.maximum(total - t.lens[t.doc], 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r1 = np.where(w > 0, np.round(8 * np.log2(w / rest * (distinct + 1))), -9999).astype(np.int64)
-            r2 = np.where((vw > 0) & (v > 0), np.round(8 * np.log2(vw / v * (distinct + 1))), -9999).astype(np.int64)
-        got, n = np.unique(np.stack([_bucket(v), r1, r2]), axis=1, return_counts=True)
-        return pa.table([pa.array(got[0]), pa.array(got[1]), pa.array(got[2]), pa.array(n)], names=["b", "r1", "r2", "n"])
+
+def _send(parts: int) -> Callable:
+    edges = np.array([(p << BITS) // parts for p in range(1, parts)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                _, folds, t = _load(body.as_py())
+                counts, keys = t.counts(folds > 0)[t.order], t.keys[t.order]
+                cut = [0, *np.searchsorted(keys, edges), len(keys)]
+                yield _batch([(block, p, _pack_keys(keys[a:b]), _pack_counts(counts[a:b])) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a])
 
     return run
 
 
+def _sum_range(table: pa.Table) -> pa.Table:
+    """Totals of one key range, sent back to every block in the block's order; block -1: the distinct words."""
+    keys = [_unpack_keys(x.as_py()) for x in table.column("keys")]
+    counts = np.concatenate([_unpack_counts(x.as_py(), len(k)) for x, k in zip(table.column("counts"), keys, strict=True)])
+    flat, part = np.concatenate(keys), table.column("part")[0].as_py()
+    order = np.argsort(flat, kind="stable")
+    ordered = flat[order]
+    first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    sums = np.add.reduceat(counts[order], np.flatnonzero(first))
+    words = int(((ordered[first] & np.uint64(1) == 1) & (sums > 0)).sum())
+    back = np.empty(len(flat), np.int64)
+    back[order] = sums[np.cumsum(first) - 1]
+    ends = np.cumsum([len(k) for k in keys])
+    out = [(block, part, len(k).to_bytes(8, "little"), _pack_counts(back[e - len(k) : e])) for block, k, e in zip(table.column("block").to_pylist(), keys, ends, strict=True)]
+    return pa.Table.from_batches([_batch([*out, (-1, part, words.to_bytes(8, "little"), b"")])])
+
+
+def _unpack(table: pa.Table) -> tuple[list, np.ndarray, Tokens, np.ndarray]:
+    """(ids, folds, tokens, total of each of the block's keys) from a block's own row (part -1) and its totals."""
+    rows = sorted(zip(table.column("part").to_pylist(), range(table.num_rows), strict=True))
+    ids, folds, t = _load(table.column("keys")[rows[0][1]].as_py())
+    got = [_unpack_counts(table.column("counts")[i].as_py(), int.from_bytes(table.column("keys")[i].as_py(), "little")) for _, i in rows[1:]]
+    counts = np.empty(len(t.order), np.int64)
+    counts[t.order] = np.concatenate(got)
+    return ids, folds, t, counts
+
+
+def _bucket(c: np.ndarray) -> np.ndarray:
+    return np.where(c > 0, np.log2(np.maximum(c, 1)).astype(np.int64) + 1, 0).clip(0, BUCKETS - 1)
+
+
+def _held(table: pa.Table) -> pa.Table:
+    """The held-out tokens of a block: distinct rows of their counts with their own texts deleted, and how often they occur."""
+    _, _, t, totals = _unpack(table)
+    counts = [a - b for a, b in zip(t.spread(totals), t.own(), strict=True)]
+    columns = [*counts, np.repeat(t.lens, t.lens)]
+    mixed = np.zeros(len(t.word), np.uint64)
+    for c in columns:
+        mixed = _mix(mixed + _START ^ c.astype(np.uint64))
+    _, at, n = np.unique(mixed, return_index=True, return_counts=True)
+    return pa.table([*(pa.array(c[at]) for c in columns), pa.array(n)], names=["w", "v", "vw", "uv", "uvw", "length", "n"])
+
+
+class Weights:
+    """Weights of the orders 1, 2 and 3, by context bucket; order 1 has one context."""
+
+    def __init__(self, total: int, distinct: int):
+        self.total, self.distinct, self.by_order = total, distinct, []
+
+    def probability(self, w, v, vw, uv, uvw, total=None) -> np.ndarray:
+        """Of each token, by the orders that have weights."""
+        total = self.total if total is None else total
+        p = np.full(len(w), 1 / (self.distinct + 1))
+        for weights, (count, context) in zip(self.by_order, ((w, total), (vw, v), (uvw, uv)), strict=False):
+            context = np.broadcast_to(context, count.shape)
+            mine = weights[_bucket(context)]
+            p = mine * count / np.maximum(context, 1) + (1 - mine) * p
+        return p
+
+    def events(self, w, v, vw, uv, uvw, length, n) -> tuple[np.ndarray, ...]:
+        """(bucket, ratio, n) of held-out tokens for the next order: its estimate against what it backs off to."""
+        total = np.maximum(self.total - length, 0)
+        count, context = ((w, total), (vw, v), (uvw, uv))[len(self.by_order)]
+        lower = self.probability(w, v, vw, uv, uvw, total)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where((count > 0) & (context > 0), np.round(STEPS * np.log2(count / context / lower)), NEVER).astype(np.int64)
+        return _bucket(context), ratio, n
+
+
 def learn_weights(events: np.ndarray, steps: int = 60) -> np.ndarray:
-    """EM for each bucket over rows (bucket, r1, r2, n); returns BUCKETS x 3 weights of (uniform, word, pair)."""
-    out = np.zeros((BUCKETS, 3))
-    last = None
-    for b in range(BUCKETS):
+    """EM for each bucket over rows (bucket, ratio, n); returns each bucket's weight of the specific estimate.
+
+    A bucket without events takes the weight of the one below, or 0.5; an unseen context has weight 0.
+    """
+    out = np.zeros(BUCKETS)
+    last = 0.5
+    for b in range(1, BUCKETS):
         e = events[events[:, 0] == b]
         if len(e):
-            like = np.stack([np.ones(len(e)), np.where(e[:, 1] > -9999, 2.0 ** (e[:, 1] / 8), 0), np.where(e[:, 2] > -9999, 2.0 ** (e[:, 2] / 8), 0)])
-            mix = np.full(3, 1 / 3) if b else np.array([0.5, 0.5, 0])
+            like = np.where(e[:, 1] > NEVER, 2.0 ** (e[:, 1] / STEPS), 0)
+            last = 0.5
             for _ in range(steps):
-                joint = mix[:, None] * like
-                mix = joint / joint.sum(0) @ e[:, 3] + (1.0, 1.0, float(b > 0))  # one more event of each kind
-                mix /= mix.sum()
-            last = mix
-        out[b] = last if last is not None else (0.5, 0.5, 0) if not b else (0.2, 0.4, 0.4)
-        if b and not len(e) and out[b, 2] == 0:
-            out[b] = (0.2, 0.4, 0.4)
+                mine = last * like / (last * like + 1 - last)
+                last = float((mine @ e[:, 2] + 1) / (e[:, 2].sum() + 2))  # one more event of each kind
+        out[b] = last
     return out
 
 
-def _score(total: int, distinct: int, weights: np.ndarray, key_type: pa.DataType):
+def _count_events(model: Weights) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, ratio, n = model.events(*(c.to_numpy() for c in batch.columns))
+            got, at = np.unique(b * 2 * -NEVER + ratio - NEVER, return_inverse=True)
+            sums = np.bincount(at, n, minlength=len(got)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(got // (2 * -NEVER)), pa.array(got % (2 * -NEVER) + NEVER), pa.array(sums)], ["b", "ratio", "n"])
+
+    return run
+
+
+def _score(model: Weights, key_type: pa.DataType) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        ids, folds, t, words, pairs = _unpack(table)
-        c, v, vw = words[t.word], words[t.context], pairs[t.pair_at]
-        base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-        mix = weights[_bucket(v)] if total else np.array([[1.0, 0, 0]])
-        p = mix[:, 0] / (distinct + 1) + mix[:, 1] * c / max(total, 1) + mix[:, 2] * vw / np.maximum(v, 1)
-        starts = np.cumsum(t.lens) - t.lens
-        sums = lambda x: np.add.reduceat(x, starts)
-        return pa.table([pa.array(ids, key_type), pa.array(folds == 0), pa.array(t.lens), pa.array(sums((c > 0).astype(np.int64))), pa.array(np.full(len(ids), total)), pa.array(sums(base)), pa.array(sums(np.log10(p)))], names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        ids, folds, t, totals = _unpack(table)
+        counts = t.spread(totals)
+        base = np.log10((counts[0] + 0.1) / (model.total + 0.1 * (model.distinct + 1)))
+        sums = lambda x: np.add.reduceat(x, t.first)
+        columns = [pa.array(ids, key_type), pa.array(folds == 0), pa.array(t.lens), pa.array(sums((counts[0] > 0).astype(np.int64))), pa.array(np.full(len(ids), model.total)), pa.array(sums(base)), pa.array(sums(np.log10(model.probability(*counts))))]
+        return pa.table(columns, names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -249,30 +338,33 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     mixture weights, each with its own counts deleted.  A null text counts as
     empty: one end token.  A row with a null key is scored but not learned from,
     and is not held out.  Repeated rows count as often as they stand.  Without
-    training rows, score and base_score are 0.  Words are told apart by 64-bit hashes.
-
-    ``docs`` is read three times and must come in the same order each time, as a
-    scan of files does; a block dealt differently stops the job.
+    training rows, score and base_score are 0.  Words, pairs and triples are told
+    apart by hashes of BITS bits.  A text longer than BLOCK_BYTES ends its block, so a
+    task holds one such text at a time.  ``docs`` is read once, so its rows may come
+    in any order.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), fold(docs[key], folds).alias("fold"))
     key_type = to_arrow_type(docs.schema[key].dataType)
-
-    sent = rows.mapInArrow(trimmed(_send(parts)), _ROW)
-    totals = materialize(sent.groupBy("part").applyInArrow(_sum_range, _ROW), "lm-totals")
-    stats = totals.filter("block = -1 and kind = 1").select("counts").toArrow().column("counts").to_pylist()
-    distinct, total = (int(x) for x in sum((np.frombuffer(x, np.int64) for x in stats), np.zeros(2, np.int64)))
-    back = totals.filter("block >= 0")
-
-    held = rows.mapInArrow(trimmed(_pack(True)), _ROW).unionByName(back.filter("block % 2 = 1"))
-    events = held.groupBy("block").applyInArrow(_events(total, distinct), "b long, r1 long, r2 long, n long").groupBy("b", "r1", "r2").agg(F.sum("n").alias("n")).toArrow()
-    weights = learn_weights(np.stack([events.column(c).to_numpy() for c in ("b", "r1", "r2", "n")], axis=1) if events.num_rows else np.zeros((0, 4)))
+    blocks = materialize(rows.mapInArrow(trimmed(_pack), _BLOCK), "lm-blocks")
+    tokens, total = (x or 0 for x in blocks.agg(F.sum("tokens"), F.sum("learned")).first())
+    parts = max(1, -(-tokens // RANGE_TOKENS))
+
+    totals = materialize(blocks.mapInArrow(trimmed(_send(parts), 1), _ROW).groupBy("part").applyInArrow(_sum_range, _ROW), "lm-totals")
+    release(docs.sparkSession)  # the messages are the largest shuffle by far
+    distinct = sum(int.from_bytes(x, "little") for x in totals.filter("block = -1").select("keys").toArrow().column(0).to_pylist())
+    own = blocks.select("block", F.lit(-1).cast("long").alias("part"), F.col("body").alias("keys"), F.lit(b"").alias("counts"))
+    whole = own.unionByName(totals.filter("block >= 0"))
+
+    counts = ("w", "v", "vw", "uv", "uvw", "length", "n")
+    held = materialize(whole.filter("block % 2 = 1").groupBy("block").applyInArrow(_held, ", ".join(f"{c} long" for c in counts)), "lm-held")
+    model = Weights(total, distinct)
+    for _ in range(3):
+        events = held.mapInArrow(trimmed(_count_events(model), 100_000), "b long, ratio long, n long").groupBy("b", "ratio").agg(F.sum("n").alias("n")).toArrow()
+        model.by_order.append(learn_weights(np.stack([events.column(c).to_numpy() for c in ("b", "ratio", "n")], axis=1)) if total else np.zeros(BUCKETS))
+    discard(held)
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.mapInArrow(trimmed(_pack(False)), _ROW).unionByName(back).groupBy("block").applyInArrow(_score(total, distinct, weights, key_type), schema).withColumnRenamed("key", key)
+    return whole.groupBy("block").applyInArrow(_score(model, key_type), schema).withColumnRenamed("key", key)
