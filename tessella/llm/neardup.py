@@ -411,13 +411,16 @@ def lookup_groups(banded: DataFrame, groups: DataFrame) -> DataFrame:
 def in_blocks(members: DataFrame, block: int) -> DataFrame:
     """Members of open buckets dealt to blocks (bucket, class, i, j) in which each pair of like size meets once.
 
-    Members are told apart by classes of size: a pair that can be linked is of one
-    class or of two neighbours.  A class of a bucket is cut into parts of about
+    A bucket that fits a block is one class.  In larger ones, members are told apart by
+    classes of size: a pair that can be linked is of one class or of two neighbours.  A class of a bucket is cut into parts of about
     ``block`` members and SET_BYTES of sets.  In block (i, j) of class c, part i of c
     meets part j; the parts of class c + 1 are numbered behind those of c.
     """
-    members = members.withColumn("class", F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(CLASS))).cast("int"))
-    sums = members.groupBy("bucket", "class").agg(F.count("*").alias("m"), F.sum(8 * F.col("n_shingles")).alias("held"))
+    held = F.sum(8 * F.col("n_shingles"))
+    large = members.groupBy("bucket").agg(F.count("*").alias("m"), held.alias("held")).filter((F.col("m") > block) | (F.col("held") > SET_BYTES)).select("bucket", F.lit(True).alias("large"))
+    size = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(CLASS))).cast("int")
+    members = members.join(large, "bucket", "left").withColumn("class", F.when(F.col("large"), size).otherwise(-1)).drop("large")
+    sums = members.groupBy("bucket", "class").agg(F.count("*").alias("m"), held.alias("held"))
     parts = F.greatest(F.ceil(F.col("m") / block), F.least(F.col("m"), F.ceil(F.col("held") / SET_BYTES))).cast("int")
     order = Window.partitionBy("bucket").orderBy("class")
     beside = lambda f, step: F.coalesce(F.when(f("class").over(order) == F.col("class") + step, f("parts").over(order)), F.lit(0))
