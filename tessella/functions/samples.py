@@ -161,3 +161,16 @@ def predict(kind: int, w: Column, n: Column, nw: Column, ne: Column, nn: Column,
         case 13:
             return div(6 * n - 2 * nn + 7 * w + ww + nee + 3 * ne + 8, 16)
     raise ValueError(f"no stateless predictor {kind}")
+
+
+def output_type(bits: Column, channels: Column, floating: Column, alpha: Column) -> Column:
+    """Element type and colour layout of a delivered raster: struct of sample_type and layout.
+
+    Samples of up to 8 bits are bytes, of up to 16 unsigned shorts, larger ones ints;
+    floating ones floats.  One and three colours are grey and rgb, with or without
+    alpha; any other number is delivered as bands.
+    """
+    kind = F.when(floating, "float").when(bits <= 8, "byte").when(bits <= 16, "ushort").otherwise("int")
+    colours = channels - alpha.cast("int")
+    layout = F.when(colours == 1, "grey").when(colours == 3, "rgb").otherwise("bands")
+    return F.struct(kind.alias("sample_type"), F.when(alpha & (layout != "bands"), F.concat(layout, F.lit("a"))).otherwise(layout).alias("layout"))

@@ -143,6 +143,22 @@ def format_sniff(spark, sf_dir):
     return scan.formats(ids.select(F.col("image_id").cast("string").alias("path"), content.alias("content")))
 
 
+@query(
+    "reader_dispatch",
+    "SELECT image_id::VARCHAR AS path, ['jp2', 'jxl', 'tiff', 'svs', 'ndpi', NULL, 'tiff'][image_id % 7 + 1] AS format, ['jpeg2000', 'jpegxl', 'tiff', 'slides', 'slides', NULL, 'tiff'][image_id % 7 + 1] AS reader, NULL::VARCHAR AS error FROM raster GROUP BY image_id",
+)
+def reader_dispatch(spark, sf_dir):
+    """Slides go before plain TIFF: vendor and description are looked up in the first directory, broken ones stay TIFF."""
+    size = [(tiff.WIDTH, 4, [5]), (tiff.HEIGHT, 4, [6])]
+    svs = tiff.build([[*size, (tiff.DESCRIPTION, 2, "Aperio Image Library v1\r\n5x6")]])
+    late = tiff.build([[*size, (tiff.DESCRIPTION, 2, "by Aperio")]])
+    ndpi = tiff.build([[(tiff.FORMAT_FLAG, 4, [1]), *size]], layout="oversize")
+    heads = [boxes.JP2_SIGNATURE, b"\xff\x0a\0\0", tiff.build([size]), svs, ndpi, b"junk", late]
+    ids = V.planes(spark, sf_dir).select("image_id").distinct()
+    content = F.element_at(F.array(*(F.lit(bytes(h)) for h in heads)), (F.col("image_id") % 7 + 1).cast("int"))
+    return scan.scan_readers(ids.select(F.col("image_id").cast("string").alias("path"), content.alias("content")))
+
+
 @query("jxl_segments", "SELECT doc_id::VARCHAR AS path, i::INT AS seq, (i * ((strlen(text) + 2) // 3))::BIGINT AS codestream_offset, (least((i + 1) * ((strlen(text) + 2) // 3), strlen(text)) - least(i * ((strlen(text) + 2) // 3), strlen(text)))::BIGINT AS length FROM documents, (SELECT unnest(range(3)) AS i) WHERE strlen(text) > 6")
 def jxl_segments(spark, sf_dir):
     """Codestreams dealt to three boxes of a container, and their places in the stream."""

@@ -256,3 +256,16 @@ def subsampled_replicate(spark, sf_dir):
     out = full.join(half, (full["image_id"] == half["i"]) & (full["sy"] == half["sy"]))
     take = F.transform(F.sequence(F.lit(0), F.lit(V.SIDE - 1)), lambda x: F.get("row", F.least(F.floor((x - 3) / 3.0).cast("int") + 2, F.lit(V.SIDE - 1))))
     return out.select("image_id", "y", F.posexplode(take).alias("x", "v"))
+
+
+@query(
+    "output_types",
+    "WITH p AS (SELECT *, v % 33 AS bits, x % 5 + 1 AS channels, v > 32 AND v % 33 = 32 AS floating, y % 2 = 1 AND x % 5 > 0 AS alpha FROM raster), "
+    "q AS (SELECT *, CASE channels - alpha::INT WHEN 1 THEN 'grey' WHEN 3 THEN 'rgb' ELSE 'bands' END AS plain FROM p) "
+    "SELECT image_id, y, x, CASE WHEN floating THEN 'float' WHEN bits <= 8 THEN 'byte' WHEN bits <= 16 THEN 'ushort' ELSE 'int' END AS sample_type, CASE WHEN alpha AND plain <> 'bands' THEN plain || 'a' ELSE plain END AS layout FROM q",
+)
+def output_types(spark, sf_dir):
+    """The raster type that each of many sample formats is delivered as."""
+    bits, channels = F.col("v") % 33, F.col("x") % 5 + 1
+    kind = S.output_type(bits, channels, (F.col("v") > 32) & (bits == 32), (F.col("y") % 2 == 1) & (channels > 1))
+    return V.raster(spark, sf_dir).withColumn("t", kind).select(*KEY, "t.sample_type", "t.layout")

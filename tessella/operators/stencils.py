@@ -215,3 +215,18 @@ def support_min_max(spark, sf_dir):
     near = lambda x: [F.get("row", x), F.get("up", x), F.get("down", x), *(_edge(r, x + k) for r in ("row", "up", "down") for k in (-1, 1))]
     rows = rows_around(spark, sf_dir)
     return rows.select("image_id", "y", F.inline(F.transform("row", lambda v, x: F.struct(x.alias("x"), F.least(*near(x)).alias("low"), F.greatest(*near(x)).alias("high")))))
+
+
+@query(
+    "support_min_max_5x5",
+    "WITH t AS (SELECT image_id, y, x, min(v) OVER c AS a, max(v) OVER c AS b FROM raster WINDOW c AS (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) "
+    "SELECT image_id, y, x, min(a) OVER o AS low, max(b) OVER o AS high FROM t WINDOW o AS (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
+)
+def support_min_max_5x5(spark, sf_dir):
+    """Smallest and largest sample of the 5 x 5 support, which an upsampled result is clamped to; edges repeat, so they add nothing."""
+    w = Window.partitionBy("image_id").orderBy("y")
+    rows = V.planes(spark, sf_dir)
+    for k in (1, 2):
+        rows = rows.withColumn(f"up{k}", F.lag("row", k).over(w)).withColumn(f"down{k}", F.lead("row", k).over(w))
+    near = lambda x: [F.get(r, x + k) for r in ("row", "up1", "up2", "down1", "down2") for k in range(-2, 3)]
+    return rows.select("image_id", "y", F.inline(F.transform("row", lambda v, x: F.struct(x.alias("x"), F.least(*near(x)).alias("low"), F.greatest(*near(x)).alias("high")))))

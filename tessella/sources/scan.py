@@ -7,6 +7,7 @@ its error instead of a failed job.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,39 @@ def formats(files: DataFrame) -> DataFrame:
     return files.select("path", kind.alias("format"))
 
 
+READERS = "path string, format string, reader string, error string"
+#: Which reader a format goes to; slides come before plain TIFF.
+READER_OF = {"ndpi": "slides", "svs": "slides", "jxl-container": "jpegxl", "jxl": "jpegxl", "jp2": "jpeg2000", "j2k": "jpeg2000", "tiff": "tiff", "tiff-big": "tiff"}
+#: A first directory with more entries is no slide's.
+MOST_ENTRIES = 8_192
+
+
+def slide_format(data: bytes) -> str | None:
+    """ndpi or svs by the first directory of a TIFF file, or None."""
+    try:
+        layout, directories = tiff.read(data)
+    except (ValueError, IndexError, KeyError, struct.error):
+        return None
+    if not directories or len(directories[0]) > MOST_ENTRIES:
+        return None
+    if layout == "oversize":
+        return "ndpi"
+    text = directories[0][tiff.DESCRIPTION].text if tiff.DESCRIPTION in directories[0] else ""
+    return "svs" if (text or "").startswith("Aperio") else None
+
+
+def _reader_rows(_, data):
+    kind = boxes.sniff(data[:16])
+    if kind and kind.startswith("tiff"):
+        kind = slide_format(data) or kind
+    yield {"format": kind, "reader": READER_OF.get(kind)}
+
+
+def scan_readers(files: DataFrame) -> DataFrame:
+    """Each file's format, slides told from plain TIFF by their directories, and the reader that takes it (null: none)."""
+    return _scan(files, _reader_rows, READERS)
+
+
 def _scan(files: DataFrame, rows_of, schema: str) -> DataFrame:
     """``rows_of(path, content)`` yields dicts; an exception becomes a row with its text."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -212,6 +212,9 @@ def test_scans(spark, tmp_path):
     assert info["b.jp2"].error and info["e.bin"].error
     kinds = {r.path.rsplit("/")[-1]: r.format for r in scan.formats(df).collect()}
     assert kinds == {"a.jp2": "jp2", "b.jp2": "jp2", "c.tif": "tiff", "d.jxl": "jxl", "e.bin": None}
+    readers = {r.path.rsplit("/")[-1]: (r.format, r.reader) for r in scan.scan_readers(df).collect()}
+    assert readers == {"a.jp2": ("jp2", "jpeg2000"), "b.jp2": ("jp2", "jpeg2000"), "c.tif": ("tiff", "tiff"), "d.jxl": ("jxl", "jpegxl"), "e.bin": (None, None)}
+    assert scan.slide_format(b"II*\0\xff") is None
     rows = {r.y: r.row for r in scan.scan_planes(df.filter("path like '%a.jp2'"), (4, 3, 30, 20)).collect()}
     assert (np.array([rows[y] for y in sorted(rows)]) == p[0][3:20, 4:30]).all()
     assert scan.scan_tiles(df).filter("path like '%a.jp2'").count() == 4 and scan.scan_entries(df).filter("tag = 256").first().value == 5
