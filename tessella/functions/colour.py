@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,9 +22,9 @@ ICT = ((0.299, 0.587, 0.114), (-0.168736, -0.331264, 0.5), (0.5, -0.418688, -0.0
 RCT_ORDERS = ((0, 1, 2), (1, 2, 0), (2, 0, 1), (0, 2, 1), (1, 0, 2), (2, 1, 0))
 
 
-def _half(c: Column) -> Column:
+def _half(c: Column | np.ndarray) -> Column | np.ndarray:
     """Arithmetic shift by one: floor(c / 2)."""
-    return F.shiftright(c, 1)
+    return c >> 1 if isinstance(c, np.ndarray) else F.shiftright(c, 1)
 
 
 def clamp(c: Column, low, high) -> Column:
@@ -53,7 +54,7 @@ def inverse_ict(y: Column, cb: Column, cr: Column) -> tuple[Column, Column, Colu
 
 
 def forward_rct42(kind: int, planes: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
-    """Type 0..41 of the reversible family: a permutation, then one of seven differences."""
+    """Type 0..41 of the reversible family: a permutation, then one of seven differences; of columns or of NumPy arrays."""
     a, b, c = (planes[i] for i in RCT_ORDERS[kind // 7])
     match kind % 7:
         case 1:

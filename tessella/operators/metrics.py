@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -141,28 +144,35 @@ _RCT = (
 @query("rct42_cost_argmin", _RCT)
 def rct42_cost_argmin(spark, sf_dir):
     """Cost of every reversible transform of an image, and the cheapest; all 42 in one pass over image rows."""
-    d = V.rgb_rows(spark, sf_dir)
-
-    def cost(row):
-        # a row's bits: packed differences from the left neighbour
-        bits = F.transform(row, lambda v, i: S.bit_length(S.zigzag_pack(v - F.when(i > 0, F.get(row, i - 1)).otherwise(0)) + 1))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a + b)
-
-    def coded(kind):
-        def channel(z, i):
-            return let(F.transform(z, lambda p: C.forward_rct42(kind, (p["r"], p["g"], p["b"]))[i]), cost)
-
-        return lambda z: channel(z, 0) + channel(z, 1) + channel(z, 2)
-
-    zipped = F.arrays_zip("r", "g", "b")
-    total = []
-    for kind in range(42):
-        total.append(F.struct(F.lit(kind).alias("kind"), let(zipped, coded(kind)).alias("cost")))
-    s = d.select("image_id", F.inline(F.array(*total))).groupBy("image_id", "kind").agg(F.sum("cost").alias("cost"))
+    d = V.rgb_rows(spark, sf_dir).select("image_id", "r", "g", "b")
+    s = d.mapInArrow(_rct_costs, "image_id long, kind int, cost long").groupBy("image_id", "kind").agg(F.sum("cost").alias("cost"))
     w = Window.partitionBy("image_id").orderBy("cost", "kind")
     return s.select("image_id", "kind", "cost", (F.row_number().over(w) == 1).alias("best"))
 
 
+def _rct_costs(batches):
+    """(image_id, kind, cost) of the rows of each batch: bits of the packed differences from the left neighbour."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, image = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+        lengths = pc.list_value_length(batch.column(1)).to_numpy()
+        starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+        planes = tuple(batch.column(c).flatten().to_numpy().astype(np.int64) for c in (1, 2, 3))
+        image = np.repeat(image, lengths)
+
+        def cost(z):
+            step = np.diff(z, prepend=0)
+            step[starts] = z[starts]
+            packed = np.where(step >= 0, 2 * step, -2 * step - 1)
+            # the exponent is the number of bits
+            return np.bincount(image, np.frexp((packed + 1).astype(np.float64))[1], len(ids)).astype(np.int64)
+
+        costs = np.stack([sum(cost(z) for z in C.forward_rct42(kind, planes)) for kind in range(42)], axis=1)
+        kinds = np.tile(np.arange(42, dtype=np.int32), len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, 42)), pa.array(kinds), pa.array(costs.ravel())], ["image_id", "kind", "cost"])
+
+
 @query("rct42_round_trip", "SELECT image_id, count(*) * 42 AS samples, 0::BIGINT AS wrong FROM rgb GROUP BY image_id")
 def rct42_round_trip(spark, sf_dir):
     """Every type applied and undone: no sample may differ."""
