@@ -167,11 +167,20 @@ def orientation_1_to_8(spark, sf_dir):
 
 @query("missing_tiles_anti", f"SELECT image_id, count(*) AS missing, min(tile) AS first_missing FROM ({_TILES}) t WHERE level = 0 AND NOT EXISTS (SELECT 1 FROM requests r WHERE r.image_id = t.image_id AND t.x0 < r.x0 + rw AND t.x1 > r.x0 AND t.y0 < r.y0 + rh AND t.y1 > r.y0) GROUP BY image_id")
 def missing_tiles_anti(spark, sf_dir):
-    """Tiles that no request touched: how many of each image, and the first."""
-    levels = V.levels(spark, sf_dir)
-    seen = request_tiles(V.requests(spark, sf_dir), levels).select("image_id", "tx", "ty").distinct()
-    left = tiles(levels.filter("level = 0")).join(seen, ["image_id", "tx", "ty"], "left_anti")
-    return left.groupBy("image_id").agg(F.count("*").alias("missing"), F.min("tile").alias("first_missing"))
+    """Tiles that no request touched: how many of each image, and the first.
+
+    Only touched tiles are made, and merged to one set an image before they are
+    shuffled; a set has no more members than its image has tiles.  The first gap of
+    the sorted set is the first place at which another number stands.
+    """
+    levels = V.levels(spark, sf_dir).filter("level = 0")
+    number = F.col("ty") * ceil_div(F.col("w"), TILE) + F.col("tx")
+    seen = request_tiles(V.requests(spark, sf_dir), levels).groupBy("image_id").agg(F.sort_array(F.collect_set(number)).alias("seen"))
+    d = levels.withColumn("tiles", ceil_div(F.col("w"), TILE) * ceil_div(F.col("h"), TILE)).join(seen, "image_id", "left")
+    touched = F.when(F.col("seen").isNull(), 0).otherwise(F.size("seen")).cast("long")
+    gap = F.array_min(F.transform("seen", lambda v, i: F.when(v != i, i.cast("long"))))
+    d = d.select("image_id", (F.col("tiles") - touched).alias("missing"), F.coalesce(gap, touched).alias("first_missing"))
+    return d.filter("missing > 0")
 
 
 @query("background_fill", f"SELECT t.image_id, tile, coalesce(v, 255) AS v FROM ({_TILES}) t LEFT JOIN (SELECT o_orderkey AS image_id, max(l_partkey % 255)::INT AS v, 0::BIGINT AS tx FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) s ON s.image_id = t.image_id AND s.tx = t.tx WHERE level = 3")
