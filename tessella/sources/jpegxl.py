@@ -11,7 +11,7 @@ import struct
 
 import numpy as np
 
-from tessella.functions.kernels import lehmer_apply
+from tessella.functions.kernels import lehmer_apply, lehmer_of
 
 # Names by code.
 FRAME_TYPES = ("regular", "lf", "reference", "skip-progressive")
@@ -389,15 +389,45 @@ def geometry(f: dict) -> dict:
     return {"width": w, "height": h, "group": g, "columns": up(w, g), "rows": up(h, g), "groups": groups, "coarse": coarse, "sections": 1 if n == 1 and groups == 1 else 2 + coarse + n * groups}
 
 
-def contents(b: Bits, sizes: list[int], n: int) -> list[tuple[int, int]]:
-    """(offset, size) of each section, from the end of the table on; tables that are permuted are refused."""
-    if b.flag(False):
-        raise ValueError("a permuted table of contents")
+def permutation(b: Bits, n: int, order: list[int] | None = None) -> list[int]:
+    """An order of 0..n-1, entropy-coded as a Lehmer code without its trailing zeros; read, or written from ``order``."""
+    from tessella.sources.modular import Code, Symbols
+
+    context = lambda v: min(7, v.bit_length())
+    if order is not None:
+        code = lehmer_of(order)
+        symbols = [(context(n), len(code)), *((context(before), v) for before, v in zip([0, *code], code, strict=False))]
+        Code.fit(b, 8, symbols).write(b, symbols)
+        return order
+    reader = Symbols(b, Code.read(b, 8))
+    length = reader.get(context(n))
+    if length > n:
+        raise ValueError("a permutation that is longer than what it orders")
+    code, last = [], 0
+    for i in range(length):
+        last = reader.get(context(last))
+        if last >= n - i:
+            raise ValueError("a permutation that leaves its range")
+        code.append(last)
+    reader.finish()
+    return lehmer_apply(list(range(n)), code)
+
+
+def contents(b: Bits, sizes: list[int], n: int, order: list[int] | None = None) -> list[tuple[int, int]]:
+    """(offset, size) of each section, from the end of the table on.
+
+    Sections may stand in another order: section i is then entry ``order[i]`` of the table.
+    ``sizes`` are those of the entries.
+    """
+    permuted = b.flag(order is not None)
+    if permuted:
+        order = permutation(b, n, order)
     b.align()
     sizes = [b.choice(((0, 10), (1024, 14), (17408, 22), (4211712, 30)), sizes[i] if i < len(sizes) else 0) for i in range(n)]
     b.align()
     offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int).tolist() if n else []
-    return list(zip(offsets, sizes, strict=True))
+    entries = list(zip(offsets, sizes, strict=True))
+    return [entries[i] for i in order] if permuted else entries
 
 
 def reorder(entries: list[tuple[int, int]], lehmer: list[int]) -> list[tuple[int, int]]:
@@ -421,13 +451,13 @@ def read_headers(codestream: bytes) -> dict:
     return out
 
 
-def write_headers(width: int, height: int, meta: dict | None = None, first: dict | None = None, sizes: list[int] | None = None) -> bytes:
+def write_headers(width: int, height: int, meta: dict | None = None, first: dict | None = None, sizes: list[int] | None = None, order: list[int] | None = None) -> bytes:
     b = Bits()
     size(b, {"width": width, "height": height})
     m = metadata(b, meta or {})
     if first is not None:
         f = frame(b, first, m, width, height)
-        contents(b, sizes or [], geometry(f)["sections"])
+        contents(b, sizes or [], geometry(f)["sections"], order)
     return b"\xff\x0a" + b.bytes()  # whole bytes, so alignment is the same with or without them
 
 

@@ -170,3 +170,31 @@ def test_lossless_groups(monkeypatch):
         assert all((a[20:100, 130:250] == b).all() for a, b in zip(planes, part, strict=True)) and len(calls) == 2
     with pytest.raises(ValueError):
         M.encode([planes[0]], squeeze=True, group_shift=7)
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3, 4], [4, 3, 2, 1, 0], [2, 0, 1, 3, 4], [1, 0, 4, 2, 3]])
+def test_permuted_contents(order):
+    b = X.Bits()
+    sizes = [5, 0, 1500, 20_000, 7]
+    X.contents(b, sizes, 5, order)
+    starts = [sum(sizes[:i]) for i in range(5)]
+    assert X.contents(X.Bits(b.bytes()), [], 5) == [(starts[i], sizes[i]) for i in order]
+
+
+def test_sections_in_another_order():
+    from tessella.sources import modular as M
+
+    plane = (np.arange(300 * 270).reshape(300, 270) * 7 % 251).astype(np.int64)
+    data = M.encode([plane], group_shift=7)
+    h = X.read_headers(data)
+    n = len(h["sections"])
+    assert n > 4
+    order = [n - 1 - i for i in range(n)]
+    body = {order[i]: data[h["body"] + at : h["body"] + at + size] for i, (at, size) in enumerate(h["sections"])}
+    parts = [body[i] for i in range(n)]
+    again = X.write_headers(h["width"], h["height"], h["metadata"], h["frame"], [len(p) for p in parts], order) + b"".join(parts)
+    assert X.read_headers(again)["sections"] != h["sections"]
+    want, got = M.decode(data), M.decode(again)
+    assert all((a == b).all() for a, b in zip(want, got, strict=True))
+    with pytest.raises(EOFError):
+        X.read_headers(again[: h["body"] - 8])
