@@ -7,8 +7,10 @@ its error instead of a failed job.
 
 from __future__ import annotations
 
+import mmap
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tessella.sources import boxes, jpeg2000, jpegxl, modular, tiff
+from tessella.sources import boxes, jpeg2000, jpegxl, modular, slides, tiff
 
 BOXES = "path string, seq int, depth int, type string, header_offset long, payload_offset long, payload_length long, error string"
 ENTRIES = "path string, layout string, ifd int, tag int, type int, count long, value double, text string, error string"
@@ -182,26 +184,61 @@ def scan_info(files: DataFrame) -> DataFrame:
     return _scan(files, _info_rows, INFO)
 
 
-def scan_planes(files: DataFrame, region: tuple[int, int, int, int] | None = None, reduction: int = 0) -> DataFrame:
-    """Decoded rows of every channel, of a region and at a reduced resolution; only the region's tiles are decoded."""
-
+def _plane_rows(region: tuple[int, int, int, int] | None = None, reduction: int = 0, level: int = 0, step: int = 1):
     def rows(_, data):
-        if boxes.sniff(data) in ("jxl", "jxl-container"):
+        kind, warnings = boxes.sniff(data[:16]), []
+        x0, y0 = ((v + (1 << reduction) - 1) >> reduction for v in (region or (0, 0))[:2])
+        if kind in ("tiff", "tiff-big"):
+            if reduction:
+                raise ValueError("slides have levels, no reduced resolutions")
+            planes = np.moveaxis(_slide_region(data, region, level, step), 2, 0)
+        elif level or step != 1:
+            raise ValueError("levels and steps are read from slides only")
+        elif kind in ("jxl", "jxl-container"):
             if reduction:
                 raise ValueError("no reduced resolutions in this format")
             stream = b"".join(data[p : p + n] for _, _, p, n in boxes.jxl_segments(data))
-            planes, warnings = modular.decode(stream, region), []
+            planes = modular.decode(stream, region)
         else:
             _, at, end = _codestream(data)
             planes, warnings = jpeg2000.decode(data, region, reduction, at, end)
             if at:
                 planes = jpeg2000.present(planes, boxes.jp2_info(data))
-        x0, y0 = ((v + (1 << reduction) - 1) >> reduction for v in (region or (0, 0))[:2])
         for c, p in enumerate(planes):
             for y, row in enumerate(p.astype(np.int32)):
                 yield {"channel": c, "x0": x0, "y0": y0, "w": p.shape[1], "h": p.shape[0], "y": y, "row": row.tolist(), "warnings": warnings}
 
-    return _scan(files, rows, PLANES)
+    return rows
+
+
+def _slide_region(data, region: tuple[int, int, int, int] | None, level: int, step: int) -> np.ndarray:
+    if region is None:
+        levels = [r for r in tiff.structure(*tiff.read(data)) if r["kind"] == "level"]
+        if not 0 <= level < len(levels):
+            raise ValueError(f"level {level}; the slide has {len(levels)}")
+        region = 0, 0, levels[level]["width"], levels[level]["height"]
+    x0, y0, x1, y1 = region
+    return slides.read_region(data, level, x0, y0, x1 - x0, y1 - y0, step)
+
+
+def scan_planes(files: DataFrame, region: tuple[int, int, int, int] | None = None, reduction: int = 0, level: int = 0, step: int = 1) -> DataFrame:
+    """Decoded rows of every channel of a region (x0, y0, x1, y1); only the region's tiles are decoded.
+
+    Codestreams may be read at a reduced resolution.  Of slides, the region is one of a
+    ``level`` in its own pixels, every ``step``-th of which is read, as RGB.
+    """
+    return _scan(files, _plane_rows(region, reduction, level, step), PLANES)
+
+
+@contextmanager
+def _content(f):
+    """The bytes of a file; of a slide a map of it, so that only the parts in use are read."""
+    if (boxes.sniff(f.read(16)) or "").startswith("tiff"):
+        with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            yield data
+    else:
+        f.seek(0)
+        yield f.read()
 
 
 class _Range(InputPartition):
@@ -210,11 +247,15 @@ class _Range(InputPartition):
         self.paths = paths
 
 
-SCANS = {"boxes": (_box_rows, BOXES), "entries": (_entry_rows, ENTRIES), "levels": (_level_rows, LEVELS), "tiles": (_tile_rows, TILES), "info": (_info_rows, INFO)}
+SCANS = {"boxes": (_box_rows, BOXES), "entries": (_entry_rows, ENTRIES), "levels": (_level_rows, LEVELS), "tiles": (_tile_rows, TILES), "info": (_info_rows, INFO), "planes": (None, PLANES)}
 
 
 class RasterSource(DataSource):
-    """``spark.read.format("raster").option("mode", "info").load(glob)``: header scans of local or mounted files.
+    """``spark.read.format("raster").option("mode", "info").load(glob)``: scans of local or mounted files.
+
+    Mode "planes" reads pixels, with the options region ("x0,y0,x1,y1"), reduction, level
+    and step of ``scan_planes``.  Of a slide only the directories and the tiles that are
+    needed are read, so it may be larger than memory; other files are read whole.
 
     For files in a store that only Spark reads, use the scan functions on a binaryFile table.
     """
@@ -233,6 +274,9 @@ class RasterSource(DataSource):
 class _Reader(DataSourceReader):
     def __init__(self, options, names):
         self.mode, self.path, self.names = options.get("mode", "info"), options["path"], names
+        region = options.get("region")
+        numbers = [int(options.get(k, d)) for k, d in (("reduction", 0), ("level", 0), ("step", 1))]
+        self.planes = tuple(map(int, region.split(","))) if region else None, *numbers
 
     def partitions(self):
         import glob
@@ -240,11 +284,11 @@ class _Reader(DataSourceReader):
         return [_Range([p]) for p in sorted(glob.glob(self.path))]
 
     def read(self, partition):
-        rows_of = SCANS[self.mode][0]
+        rows_of = SCANS[self.mode][0] or _plane_rows(*self.planes)
         for path in partition.paths:
             try:
-                with open(path, "rb") as f:
-                    found = list(rows_of(path, f.read()))
+                with open(path, "rb") as f, _content(f) as data:
+                    found = list(rows_of(path, data))
             except Exception as e:  # noqa: BLE001
                 found = [{"error": f"{type(e).__name__}: {e}"}]
             for r in found:
