@@ -304,3 +304,10 @@ def jxl_info(spark, sf_dir):
 
     out = scan.scan_info(files(V.planes(spark, sf_dir), lambda p: modular.encode([p], 8)))
     return out.select("path", "format", "width", "height", "channels", "tiles", "colour", "lossless")
+
+
+@query("slide_scan_region", "SELECT image_id, (y // 2)::INT AS y, (x // 2)::INT AS x, CASE WHEN y >= 32 AND x >= 32 THEN 255 ELSE v END AS v FROM raster WHERE y % 2 = 0 AND x % 2 = 0")
+def slide_scan_region(spark, sf_dir):
+    """Every second pixel of whole slides as image rows; the missing tile shows the background."""
+    out = scan.scan_planes(files(V.planes(spark, sf_dir), _tiled_slide), step=2).filter("channel = 0")
+    return V.pixels(out.select(F.col("path").cast("long").alias("image_id"), "y", "row"))
